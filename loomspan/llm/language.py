@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.llm.common import table
 from loomspan.llm.wordhash import buffers
@@ -170,7 +172,8 @@ def _scorer(broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = broadcast.value
         for batch in batches:
-            text = batch.column("text")
+            row = batch.column("row")
+            text = batch.column("text") if batch.num_columns > 1 else pc.struct_field(row, "text")
             letters = np.array([bool(x) and LETTER.search(x) is not None for x in text.to_pylist()], bool)
             raw, off = buffers(text)
             if trees is None:
@@ -181,19 +184,20 @@ def _scorer(broadcast):
                 p = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1) if len(bits) else np.zeros(0)
                 lang = np.array(trees.langs, object)[best]
             lang[~letters] = "und"
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0))], names=["row", "lang_pred", "score"])
 
     return score
 
 
-def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """row (a struct of all columns of ``docs``), lang_pred and score; only ``text`` is an input of the prediction."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), schema).drop("text")
+def predict(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFrame:
+    """row (a struct of the ``keep`` columns), lang_pred and score; only ``text`` is an input of the prediction."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    rows = docs.select(row) if "text" in keep else docs.select(row, "text")
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = predict(docs.select("doc_id", "text"), fit(docs))
+    found = predict(docs, fit(docs), ["doc_id"])
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
