@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.llm.common import table
 
@@ -48,7 +49,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.select("doc_id", "th", "pos")
 
 
-@F.pandas_udf("struct<text string, n_lines int, n_removed int>")
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_lines", T.IntegerType()).add("n_removed", T.IntegerType()))
 def _without(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts in it:
         out = []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, language, line_dedup
+from loomspan.llm import decontaminate, exact_dedup, language, line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language.op2_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_packing": packing.op7_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 ORACLE_SQL = {
