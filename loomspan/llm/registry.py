@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, language, line_dedup, packing
+from loomspan.llm import decontaminate, exact_dedup, html_text, language, line_dedup, packing, pii, substring_dedup, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language.op2_language_id,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op5_suffix_dedup": substring_dedup.op5_suffix_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_html_text": html_text.op9_html_text,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_url_filter": url_filter.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
