@@ -2,7 +2,8 @@
 
 Every start of a ``length``-byte string (a window) is dealt by a content key: the least hash of the ``gram``-byte strings in
 it. Equal windows have equal keys, so no match is lost, and runs of windows with one key travel as one segment. Keys that
-occur once can't repeat and are dropped after a count that aggregates before its shuffle. Of the others, segments that
+occur once can't repeat and are dropped after a count that aggregates before its shuffle (a segment that holds its key's
+gram twice, as in a periodic text, counts as two). Of the others, segments that
 occur twice as a whole are covered as a whole; only distinct segments that share a key are dealt again by longer grams
 and then, in buckets of bounded size, go through the column-wise construction of the Burrows-Wheeler transform and
 common prefixes (``bcr``), which decides on every window left. A key whose distinct segments exceed a bucket is dealt on
@@ -63,21 +64,43 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
         power, size = power * power % 2**64, size * 2
 
 
+def _sliding(x: np.ndarray, w: int, best: np.ufunc, pad: int) -> np.ndarray:
+    """Minima or maxima of every ``w`` consecutive values, from those of blocks."""
+    n = len(x) - w + 1
+    grid = np.full(-(-len(x) // w) * w, np.uint64(pad))
+    grid[: len(x)] = x
+    grid = grid.reshape(-1, w)
+    ahead = best.accumulate(grid, axis=1).ravel()
+    back = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return best(back[:n], ahead[w - 1 : w - 1 + n])
+
+
+def _loops(grams: np.ndarray, least: np.ndarray, s: np.ndarray, e: np.ndarray, w: int) -> np.ndarray:
+    """Segments that hold their key's gram twice: only in these may a window repeat within the segment."""
+    out = np.zeros(len(s), bool)
+    if w == 1:
+        return out
+    edge = np.zeros(w - 1, np.uint64)
+    chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum, 0) == grams)
+    lo, hi = np.searchsorted(chosen, s), np.searchsorted(chosen, e + w - 1)
+    count = np.zeros(len(s), np.int64)
+    for k in range(int((hi - lo).max())):
+        at = np.minimum(lo + k, len(chosen) - 1)
+        count += (lo + k < hi) & (grams[chosen[at]] == least[s])
+    return count > 1
+
+
 def _segments(raw: np.ndarray, length: int, gram: int, content: bool) -> tuple[np.ndarray, ...]:
-    """keys, starts and numbers of windows of the segments of one text, and two content hashes."""
+    """keys, starts, numbers of windows and loop flags of the segments of one text, and two content hashes."""
     w = length - gram + 1
-    keys, starts, ends, one, two = [], [], [], [], []
+    keys, starts, ends, loops, one, two = [], [], [], [], [], []
     for a in range(0, len(raw) - length + 1, PIECE):
         part = raw[a : a + PIECE + length - 1]
         h = _gram_hashes(part, gram)
         n = len(h) - w + 1
-        if w > 1:  # sliding minima from minima of blocks
-            pad = np.full(-(-len(h) // w) * w, np.uint64(2**64 - 1))
-            pad[: len(h)] = h
-            grid = pad.reshape(-1, w)
-            ahead = np.minimum.accumulate(grid, axis=1).ravel()
-            back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-            h = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+        grams = h
+        if w > 1:
+            h = _sliding(h, w, np.minimum, 2**64 - 1)
         new = np.flatnonzero(h[1:] != h[:-1]) + 1
         s = np.append(0, new)
         e = np.append(new, n)
@@ -86,6 +109,7 @@ def _segments(raw: np.ndarray, length: int, gram: int, content: bool) -> tuple[n
             first = np.repeat(s, times)
             s = first + w * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
             e = np.minimum(s + w, np.repeat(e, times))
+        loops.append(_loops(grams, h, s, e, w))
         keys.append(h[s])
         starts.append(s + a)
         ends.append(e + a)
@@ -97,7 +121,7 @@ def _segments(raw: np.ndarray, length: int, gram: int, content: bool) -> tuple[n
                 to.append(mix((total[e + length - 1] - total[s]) * _table(pow(base, -1, 2**64), size)[s]))
     starts, ends = np.concatenate(starts), np.concatenate(ends)
     hashes = [np.concatenate(x) if content else np.zeros(0, np.uint64) for x in (one, two)]
-    return np.concatenate(keys), starts, ends - starts, *hashes
+    return np.concatenate(keys), starts, ends - starts, np.concatenate(loops), *hashes
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -110,14 +134,15 @@ def _key_reader(length: int, gram: int):
             raw, off = buffers(batch.column("text"))
             found = [np.zeros(0, np.uint64)]
             for i in np.flatnonzero(np.diff(off) >= length):
-                found.append(_segments(raw[off[i] : off[i + 1]], length, gram, False)[0])
+                m, _, _, loop, *_ = _segments(raw[off[i] : off[i + 1]], length, gram, False)
+                found += [m, m[loop]]  # a loop counts as a second occurrence
             keys, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([_long(keys), pa.array(n.astype(np.int64))], names=["m", "n"])
 
     return read
 
 
-SEGMENT = "m long, h1 long, h2 long, doc_id long, start long, cnt int"
+SEGMENT = "m long, h1 long, h2 long, doc_id long, start long, cnt int, loop boolean"
 
 
 def _segment_reader(length: int, gram: int):
@@ -126,10 +151,10 @@ def _segment_reader(length: int, gram: int):
             raw, off = buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             for i in np.flatnonzero(np.diff(off) >= length):
-                m, s, c, h1, h2 = _segments(raw[off[i] : off[i + 1]], length, gram, True)
+                m, s, c, loop, h1, h2 = _segments(raw[off[i] : off[i + 1]], length, gram, True)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(m), _long(h1), _long(h2), pa.array([ids[i]] * len(m), pa.int64()), pa.array(s.astype(np.int64)), pa.array(c.astype(np.int32))],
-                    names=["m", "h1", "h2", "doc_id", "start", "cnt"],
+                    [_long(m), _long(h1), _long(h2), pa.array([ids[i]] * len(m), pa.int64()), pa.array(s.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(loop)],
+                    names=["m", "h1", "h2", "doc_id", "start", "cnt", "loop"],
                 )
 
     return _merged(read)
@@ -168,11 +193,11 @@ def _cutter(length: int, gram: int):
 
 
 def _dealt(part: np.ndarray, doc_id: int | None, start: int, single: bool, length: int, gram: int) -> pa.RecordBatch:
-    m, s, c, h1, h2 = _segments(part, length, gram, True)
+    m, s, c, loop, h1, h2 = _segments(part, length, gram, True)
     n = len(m)
     return pa.RecordBatch.from_arrays(
-        [_long(m), _long(h1), _long(h2), pa.array([doc_id] * n, pa.int64()), pa.array(s.astype(np.int64) + start), pa.array(c.astype(np.int32)), pa.array([single] * n), pa.array([part[a : a + b + length - 1].tobytes() for a, b in zip(s, c, strict=True)], pa.binary())],
-        names=["m", "h1", "h2", "doc_id", "start", "cnt", "single", "seg"],
+        [_long(m), _long(h1), _long(h2), pa.array([doc_id] * n, pa.int64()), pa.array(s.astype(np.int64) + start), pa.array(c.astype(np.int32)), pa.array(loop), pa.array([single] * n), pa.array([part[a : a + b + length - 1].tobytes() for a, b in zip(s, c, strict=True)], pa.binary())],
+        names=["m", "h1", "h2", "doc_id", "start", "cnt", "loop", "single", "seg"],
     )
 
 
@@ -211,12 +236,12 @@ SPAN = "doc_id long, start long, stop long"
 def _decide(segments: DataFrame, length: int, single: bool) -> tuple[DataFrame, DataFrame]:
     """Spans of segments that repeat as a whole, and the distinct segments that stay open; ``segments`` is staged."""
     place = F.struct("doc_id", "start", *(["single", "seg"] if single else []))
-    kinds = staged(segments.groupBy("m", "h1", "h2").agg(F.count("*").alias("copies"), F.min("cnt").alias("cnt"), F.min(place).alias("at")))
+    kinds = staged(segments.groupBy("m", "h1", "h2").agg(F.count("*").alias("copies"), F.min("cnt").alias("cnt"), F.max("loop").alias("loop"), F.min(place).alias("at")))
     whole = segments.join(kinds.where("copies > 1").select("m", "h1", "h2"), ["m", "h1", "h2"])
     whole = (whole.where("single") if single else whole).select("doc_id", "start", (F.col("start") + F.col("cnt") + F.lit(length - 1)).alias("stop"))
     alone = F.expr("copies = 1 AND at.single") if single else F.expr("copies = 1")
-    keys = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max(alone.cast("int")).alias("any"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes"))
-    keys = keys.where("kinds > 1 AND any = 1").select("m", "bytes")
+    keys = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max(alone.cast("int")).alias("any"), F.max((alone & F.col("loop")).cast("int")).alias("loops"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes"))
+    keys = keys.where("kinds > 1 AND any = 1 OR loops = 1").select("m", "bytes")
     opened = kinds.join(keys, "m").select("m", "h1", "h2", "at.*", "cnt", "bytes", *([] if single else [F.expr("copies = 1").alias("single")]), *([F.expr("copies = 1").alias("__one")] if single else []))
     if single:
         opened = opened.withColumn("single", F.col("single") & F.col("__one")).drop("__one")

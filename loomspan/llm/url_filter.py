@@ -160,8 +160,8 @@ ruled AS (SELECT x, host, path, host || CASE WHEN path = '' THEN '/' ELSE path E
                  arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
           FROM parsed LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
 links AS (SELECT DISTINCT ra.node AS u, rb.node AS v FROM e JOIN ruled ra ON e.a = ra.x JOIN ruled rb ON e.b = rb.x),
-both AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
-reach AS (SELECT u, v FROM both UNION SELECT r.u, b.v FROM reach r JOIN both b ON r.v = b.u),
+sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT u, v FROM sym UNION SELECT r.u, b.v FROM reach r JOIN sym b ON r.v = b.u),
 spread AS (SELECT r.u AS node, min(action) AS action FROM reach r JOIN ruled t ON r.v = t.node WHERE action IS NOT NULL GROUP BY r.u)
 SELECT page_id, coalesce(t.host, '') AS host, coalesce(t.path, '') AS path, t.rule, coalesce(t.action, s.action, 'allow') AS verdict
 FROM p LEFT JOIN ruled t ON p.rest IS NOT DISTINCT FROM t.x LEFT JOIN spread s ON t.node = s.node
