@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, html_text, language, line_dedup, packing, pii, substring_dedup, url_filter
+from loomspan.llm import decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_suffix_dedup": substring_dedup.op5_suffix_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_packing": packing.op7_packing,
