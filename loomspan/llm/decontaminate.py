@@ -140,8 +140,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    return matches(whole, benchmark, window).where(F.size("hits") == 0).select("doc_id.*")
+    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    found = matches(docs.select(rest.alias("doc_id"), "text"), benchmark, window).where(F.size("hits") == 0)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
