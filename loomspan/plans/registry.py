@@ -1,4 +1,8 @@
 """Queries of the alignment operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from loomspan.plans import alignment_queries, profile_queries
+
+QUERIES = {**profile_queries.QUERIES, **alignment_queries.QUERIES}
+ORACLE_SQL = {**profile_queries.ORACLE_SQL, **alignment_queries.ORACLE_SQL}
