@@ -139,7 +139,7 @@ na AS (SELECT pair_id, count(*) AS n FROM m GROUP BY pair_id), nb AS (SELECT pai
 SELECT u.pair_id, coalesce(common, 0) AS common, round(coalesce(common, 0) / na.n, 6) AS recall, round(coalesce(common, 0) / nb.n, 6) AS precision
 FROM (SELECT DISTINCT user_id AS pair_id FROM events) u LEFT JOIN c USING (pair_id) LEFT JOIN na USING (pair_id) LEFT JOIN nb USING (pair_id)""")
 def common_pairs(spark, d):
-    """Overlap with a reference alignment, as a count and as precision and recall."""
+    """Overlap with a known alignment, as a count and as precision and recall."""
     a, b = aligned(spark, d, "a"), aligned(spark, d, "b")
     both = alignment.common(a, b, "pair_id")
     count = lambda df, name: alignment.matches(df).groupBy("pair_id").agg(F.count("*").alias(name))
