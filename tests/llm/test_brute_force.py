@@ -168,10 +168,10 @@ def test_packing_round_trip(spark, real):
     assert got["length"].sum() >= 0.98 * 2048 * got["sequence_id"].nunique()
 
 
-def test_token_cache():
+def test_encoded():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    texts = ["a b", "  a  b ", "a \nb", "\n a\tb c ", "x <|endoftext|> y", "don't we'll", "", " ", "é ü  z", "12 3,4 (5)"]
+    texts = ["a b", "  a  b ", "a \nb", "\n a\tb c ", "x <|endoftext|> y", "don't we'll", "", " ", "é ü  z", "12 3,4 (5)", " " * 200_000 + "x", "\U0001f600\ud7ff a" * 50, "'s 'S"]
     got = [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(texts, path)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
