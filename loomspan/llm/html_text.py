@@ -37,26 +37,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 CONTAINER = frozenset("article aside body div footer form header html main nav ol section table ul dl blockquote".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head label input figcaption".split())
+BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head label".split())
 NAMES = regex.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notices|alert|popup|modal|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|"
     r"masthead|comments?|respond|discussion|replies|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|tags|toolbar|pagination|pager|widget|legal|copyright)(?:$|[\s_-])",
     regex.I,
 )
-NAMED = regex.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", regex.I)
+ABOUT_OTHERS = regex.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[-_]\S+", regex.I)
+HEADER = regex.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", regex.I)
+ATTRIBUTE = regex.compile(r"([a-z_:@][^\s=>\"'/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", regex.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 PUNCTUATION = regex.compile(r"[.,;:!?。，；：！？、…]")
 SPACE = regex.compile(r"\s+")
 HEADING = regex.compile(r"h[1-6]$")
 
 
-def _named_boilerplate(attrs: str) -> bool:
-    for m in NAMED.finditer(attrs):
+def _named_boilerplate(attrs: str, main: bool) -> bool:
+    """Whether an element's class, id or role names it as something beside the text; an article may have its own header."""
+    for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and NAMES.search(value):
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
+        if name in ("class", "id"):
+            value = ABOUT_OTHERS.sub("", value)
+            if NAMES.search(HEADER.sub("", value) if main else value):
+                return True
     return False
 
 
@@ -118,7 +123,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             cut(len(stack) - 1)
         off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         inside = tag == "header" and main  # an article's own header holds its title
-        stack.append((tag, off or tag in BOILERPLATE and not inside or tag not in ("html", "body", "article", "main") and _named_boilerplate(m["attrs"]), main or tag in ("article", "main")))
+        stack.append((tag, off or tag in BOILERPLATE and not inside or tag not in ("html", "body", "article", "main") and _named_boilerplate(m["attrs"], main), main or tag in ("article", "main")))
     if at < len(page):
         parts.append(page[at:])
     flush()

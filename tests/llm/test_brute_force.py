@@ -219,6 +219,13 @@ def test_html_without_article():
     assert html_text.main_text(page) == "Title & more\n\nOne long sentence, with marks, and so on. And another one; it ends here.\n\nSecond long paragraph, again with more text, and stops. Yes."
 
 
+def test_html_names():
+    page = """<body class="has-sidebar"><div class="page no-sidebar" style="overflow:hidden" data-hidden="x"><article><div class="post-header"><h1>Head</h1></div>
+      <p style='a:"b"'>Body, one. Two.</p><figure><figcaption>A caption.</figcaption></figure><div class="share-bar">Share, now.</div><div hidden>Gone.</div>
+      <aside>Side.</aside><section id="comments"><p>Reader, here.</p></section><p>End &lt;of&gt; text.<br>Same\tblock</article></div>"""
+    assert html_text.main_text(page) == "Head\n\nBody, one. Two.\n\nA caption.\n\nEnd <of> text. Same block"
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(80)] + [(i, i + 1) for i in range(200, 240)]
