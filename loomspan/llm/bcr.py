@@ -1,4 +1,4 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short byte strings.
+"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short strings.
 
 Each round inserts one more symbol of every string that still has one, the last first: all suffixes one byte longer than
 those of the round before find their places at once, because a suffix that extends another keeps its order among those
@@ -6,7 +6,8 @@ that extend with the same byte. The transform and the common prefixes of neighbo
 pass. A common prefix that an insertion touches is one more than the least in the range that the two extended suffixes
 span in the order before. Prefixes are counted up to ``length``.
 
-A collection is one bucket of bounded size, so its two sequential files are arrays in memory.
+A symbol may stand for a longer string and then weighs as many bytes, which shortens the rounds where all strings hold a
+known one. A collection is one bucket of bounded size, so its two sequential files are arrays in memory.
 """
 
 from __future__ import annotations
@@ -14,32 +15,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def shared_windows(strings: list[bytes], length: int) -> np.ndarray:
-    """(string, position) of every substring of ``length`` bytes that starts at two or more places of the strings."""
+def shared_windows(strings: list[np.ndarray], length: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """(string, position) of every start from which a string of ``length`` bytes starts at two or more places.
+
+    ``strings`` are arrays of symbols from 0; symbol s weighs ``weight[s]`` bytes, one without weights."""
     k = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
     if not k or not sizes.max():
         return np.zeros((0, 2), np.int64)
-    joined = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
-    symbol = np.uint16 if joined.max() > 255 else np.uint8
+    joined = np.concatenate(strings).astype(np.int64) + 1
+    most = int(joined.max())
+    weight = np.append(0, np.ones(most, np.int64) if weight is None else weight)
+    symbol = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64
     joined = joined.astype(symbol)
     end = np.cumsum(sizes)
+    total = np.append(0, np.cumsum(weight[joined]))
 
     def before(ids: np.ndarray, done: int) -> np.ndarray:
-        """The symbol before the suffix of ``done`` bytes; 0 before a whole string."""
+        """The symbol before the suffix of ``done`` symbols; 0 before a whole string."""
         at = np.maximum(end[ids] - done - 1, 0)
         return np.where(sizes[ids] > done, joined[at], 0).astype(symbol)
 
     ids = np.arange(k)  # strings whose suffix the last round inserted, in the order of these suffixes
     places = np.arange(k)  # where these lie
-    bwt, prefix, tag = before(ids, 0), np.zeros(k, np.int16), None
+    bwt, prefix, tag = before(ids, 0), np.zeros(k, np.int32), None
     for done in range(1, int(sizes.max()) + 1):
         order = np.argsort(bwt, kind="stable")
         # Ranks of the places among equal symbols, in the order of the symbols.
         own = bwt[places]
         turn = np.argsort(own, kind="stable")
         own, ids, places = own[turn], ids[turn], places[turn]
-        counts = np.bincount(bwt, minlength=257)
+        counts = np.bincount(bwt, minlength=2)
         first = np.cumsum(counts) - counts
         closed = int(counts[0])
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -49,26 +55,31 @@ def shared_windows(strings: list[bytes], length: int) -> np.ndarray:
         ids = ids[own > 0]
         places = k + f - closed
         # Common prefixes with the neighbour before, of what is new and of what follows something new.
-        touched = np.unique(np.concatenate([f, f + 1]))
+        touched = np.sort(np.concatenate([f, f[np.append(f[:-1] + 1 != f[1:], True)] + 1]))
         touched = touched[touched < len(order)]
         left, right = order[touched - 1], order[touched]
         same = (touched > closed) & (bwt[left] == bwt[right])
-        value = np.zeros(len(touched), np.int16)
+        value = np.zeros(len(touched), np.int32)
         if same.any():
-            pairs = np.stack([left[same] + 1, right[same] + 1], 1).ravel()
-            value[same] = np.minimum(np.minimum.reduceat(np.append(prefix, np.int16(0)), pairs)[::2] + 1, length)
+            # From right to left, so that reduceat skips what lies between the ranges.
+            which = np.flatnonzero(same)
+            which = which[np.argsort(-left[which], kind="stable")]
+            pairs = np.stack([left[which] + 1, right[which] + 1], 1).ravel()
+            least = np.minimum.reduceat(np.append(prefix, np.int32(0)), pairs)[::2]
+            value[which] = np.minimum(least + weight[bwt[left[which]]], length)
         new = np.zeros(k + len(order) - closed, bool)
         new[places] = True
         old = ~new
-        moved, changed = np.empty(len(new), symbol), np.zeros(len(new), np.int16)
+        moved, changed = np.empty(len(new), symbol), np.zeros(len(new), np.int32)
         moved[old], moved[new] = bwt, before(ids, done)
         changed[old] = prefix
         changed[k + touched - closed] = value
-        if done >= length:
-            tags = np.full(len(new), -1, np.int64)
+        long = total[end[ids]] - total[end[ids] - done] >= length
+        if tag is not None or long.any():
+            tags = np.full(len(new), -1, np.int32)
             if tag is not None:
                 tags[old] = tag
-            tags[new] = ids * (int(sizes.max()) + 1) + sizes[ids] - done
+            tags[new] = np.where(long, ids * (int(sizes.max()) + 1) + sizes[ids] - done, -1)
             tag = tags
         bwt, prefix = moved, changed
     if tag is None:

@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.bcr import shared_windows
 from loomspan.llm.common import staged, table
-from loomspan.llm.wordhash import buffers, mix
+from loomspan.llm.wordhash import buffers, mix, slices
 
 LENGTH = 200
 GRAMS = (64, 160, 200)
 BUCKET_BYTES = 1 << 20
-PIECE = 1 << 19
+PIECE = 1 << 15
 _A, _B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_INVERSE = {x: pow(x, -1, 2**64) for x in (_A, _B)}
 _TABLES: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -90,38 +91,40 @@ def _loops(grams: np.ndarray, least: np.ndarray, s: np.ndarray, e: np.ndarray, w
     return count > 1
 
 
-def _segments(raw: np.ndarray, length: int, gram: int, content: bool) -> tuple[np.ndarray, ...]:
-    """keys, starts, numbers of windows and loop flags of the segments of one text, and two content hashes."""
+Found = tuple[np.ndarray, ...]  # row, key, start in the row, number of windows, loop flag, two content hashes
+
+
+def _segments(raw: np.ndarray, off: np.ndarray, length: int, gram: int, content: bool) -> Iterator[Found]:
+    """The segments of all rows that ``off`` cuts ``raw`` into, a bounded number of bytes at a time."""
     w = length - gram + 1
-    keys, starts, ends, loops, one, two = [], [], [], [], [], []
-    for a in range(0, len(raw) - length + 1, PIECE):
-        part = raw[a : a + PIECE + length - 1]
-        h = _gram_hashes(part, gram)
-        n = len(h) - w + 1
-        grams = h
-        if w > 1:
-            h = _sliding(h, w, np.minimum, 2**64 - 1)
-        new = np.flatnonzero(h[1:] != h[:-1]) + 1
-        s = np.append(0, new)
-        e = np.append(new, n)
-        if (e - s).max() > w:  # a periodic text: cut long runs
-            times = -(-(e - s) // w)
-            first = np.repeat(s, times)
-            s = first + w * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-            e = np.minimum(s + w, np.repeat(e, times))
-        loops.append(_loops(grams, h, s, e, w))
-        keys.append(h[s])
-        starts.append(s + a)
-        ends.append(e + a)
-        if content:
-            for base, to in ((_A, one), (_B, two)):
+    for i, j in slices(off, PIECE):
+        for a in range(int(off[i]), int(off[j]) - length + 1, PIECE):
+            part = raw[a : min(a + PIECE + length - 1, int(off[j]))]
+            grams = least = _gram_hashes(part, gram)
+            if w > 1:
+                least = _sliding(grams, w, np.minimum, 2**64 - 1)
+            inside = np.ones(len(least), bool)  # windows that don't reach into the next row
+            for end in (off[i + 1 : j + 1] - a).tolist():
+                inside[max(0, end - length + 1) : max(0, end)] = False
+            new = np.flatnonzero((least[1:] != least[:-1]) | (inside[1:] != inside[:-1])) + 1
+            s = np.append(0, new)
+            e = np.append(new, len(least))
+            s, e = s[inside[s]], e[inside[s]]
+            if not len(s):
+                continue
+            if (e - s).max() > w:  # a periodic text: cut long runs
+                times = -(-(e - s) // w)
+                first = np.repeat(s, times)
+                s = first + w * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+                e = np.minimum(s + w, np.repeat(e, times))
+            hashes = []
+            for base in (_A, _B) if content else ():
                 total = np.zeros(len(part) + 1, np.uint64)
                 size = PIECE + length
                 np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table(base, size)[: len(part)], out=total[1:])
-                to.append(mix((total[e + length - 1] - total[s]) * _table(pow(base, -1, 2**64), size)[s]))
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
-    hashes = [np.concatenate(x) if content else np.zeros(0, np.uint64) for x in (one, two)]
-    return np.concatenate(keys), starts, ends - starts, np.concatenate(loops), *hashes
+                hashes.append(mix((total[e + length - 1] - total[s]) * _table(_INVERSE[base], size)[s]))
+            row = np.searchsorted(off, s + a, "right") - 1
+            yield row, least[s], s + a - off[row], e - s, _loops(grams, least, s, e, w), *hashes
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -131,10 +134,8 @@ def _long(x: np.ndarray) -> pa.Array:
 def _key_reader(length: int, gram: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = buffers(batch.column("text"))
             found = [np.zeros(0, np.uint64)]
-            for i in np.flatnonzero(np.diff(off) >= length):
-                m, _, _, loop, *_ = _segments(raw[off[i] : off[i + 1]], length, gram, False)
+            for _, m, _, _, loop in _segments(*buffers(batch.column("text")), length, gram, False):
                 found += [m, m[loop]]  # a loop counts as a second occurrence
             keys, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([_long(keys), pa.array(n.astype(np.int64))], names=["m", "n"])
@@ -142,82 +143,87 @@ def _key_reader(length: int, gram: int):
     return read
 
 
+NAMES = ["m", "h1", "h2", "doc_id", "start", "cnt", "loop"]
 SEGMENT = "m long, h1 long, h2 long, doc_id long, start long, cnt int, loop boolean"
+OPEN = f"{SEGMENT}, single boolean, seg binary"
 
 
 def _segment_reader(length: int, gram: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
-            for i in np.flatnonzero(np.diff(off) >= length):
-                m, s, c, loop, h1, h2 = _segments(raw[off[i] : off[i + 1]], length, gram, True)
-                yield pa.RecordBatch.from_arrays(
-                    [_long(m), _long(h1), _long(h2), pa.array([ids[i]] * len(m), pa.int64()), pa.array(s.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(loop)],
-                    names=["m", "h1", "h2", "doc_id", "start", "cnt", "loop"],
-                )
-
-    return _merged(read)
-
+            ids = batch.column("doc_id")
+            for row, m, s, c, loop, h1, h2 in _segments(*buffers(batch.column("text")), length, gram, True):
+                yield pa.RecordBatch.from_arrays([_long(m), _long(h1), _long(h2), ids.take(pa.array(row)), pa.array(s), pa.array(c.astype(np.int32)), pa.array(loop)], names=NAMES)
 
-def _merged(read, rows: int = 20_000):
-    """Small batches put together."""
+    return read
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in read(batches):
-            held.append(b)
-            if sum(x.num_rows for x in held) >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if sum(x.num_rows for x in held):
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return merged
+def _dealt(parts: list[np.ndarray], ids: list[int | None], at: list[int], single: list[bool], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The windows of cut-out strings dealt again by longer grams, with their bytes."""
+    if not parts:
+        return
+    raw, off = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+    ids, single, at = pa.array(ids, pa.int64()), pa.array(single, pa.bool_()), np.array(at, np.int64)
+    for row, m, s, c, loop, h1, h2 in _segments(raw, off, length, gram, True):
+        seg = [raw[x : x + n].tobytes() for x, n in zip((off[row] + s).tolist(), (c + length - 1).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [_long(m), _long(h1), _long(h2), ids.take(pa.array(row)), pa.array(s + at[row]), pa.array(c.astype(np.int32)), pa.array(loop), single.take(pa.array(row)), pa.array(seg, pa.binary())],
+            names=[*NAMES, "single", "seg"],
+        )
 
 
 def _cutter(length: int, gram: int):
-    """Cut the wanted segments out of the texts and deal their windows again, by longer grams."""
+    """Cut the wanted segments out of the texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
+            kept: tuple[list, ...] = ([], [], [], [])
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 for x in wanted:
                     part = raw[off[i] + x["start"] : off[i] + x["start"] + x["cnt"] + length - 1]
                     if off[i] + x["start"] + len(part) > off[i + 1] or len(part) < length:
                         continue  # another text under the same id
-                    yield _dealt(part, x["doc_id"], x["start"], x["single"], length, gram)
-
-    return _merged(cut)
+                    for to, v in zip(kept, (part, x["doc_id"], x["start"], x["single"]), strict=True):
+                        to.append(v)
+            yield from _dealt(*kept, length, gram)
 
-
-def _dealt(part: np.ndarray, doc_id: int | None, start: int, single: bool, length: int, gram: int) -> pa.RecordBatch:
-    m, s, c, loop, h1, h2 = _segments(part, length, gram, True)
-    n = len(m)
-    return pa.RecordBatch.from_arrays(
-        [_long(m), _long(h1), _long(h2), pa.array([doc_id] * n, pa.int64()), pa.array(s.astype(np.int64) + start), pa.array(c.astype(np.int32)), pa.array(loop), pa.array([single] * n), pa.array([part[a : a + b + length - 1].tobytes() for a, b in zip(s, c, strict=True)], pa.binary())],
-        names=["m", "h1", "h2", "doc_id", "start", "cnt", "loop", "single", "seg"],
-    )
+    return cut
 
 
 def _redealer(length: int, gram: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, s, single, seg in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "single", "seg")), strict=True):
-                yield _dealt(np.frombuffer(seg, np.uint8), d, s, single, length, gram)
+            ids, at, single, seg = (batch.column(c).to_pylist() for c in ("doc_id", "start", "single", "seg"))
+            yield from _dealt([np.frombuffer(x, np.uint8) for x in seg], ids, at, single, length, gram)
 
-    return _merged(deal)
+    return deal
 
 
-OPEN = f"{SEGMENT}, single boolean, seg binary"
+def _symbols(rows: pd.DataFrame, gram: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Segments as symbols: their key's gram, which all windows of a segment hold, is one symbol of ``gram`` bytes.
+
+    Where a segment of a key holds that gram twice, the key's segments stay bytes."""
+    cores: dict[bytes, int] = {}
+    strings = []
+    plain = rows.groupby("m")["loop"].transform("any").to_numpy(bool)
+    for seg, m, raw in zip(rows["seg"], rows["m"].to_numpy(np.int64).view(np.uint64), plain, strict=True):
+        text = np.frombuffer(seg, np.uint8)
+        if raw:
+            strings.append(text)
+            continue
+        at = int(np.flatnonzero(_gram_hashes(text, gram) == m)[0])
+        core = cores.setdefault(seg[at : at + gram], 256 + len(cores))
+        strings.append(np.concatenate([text[:at].astype(np.int64), [core], text[at + gram :]]))
+    return strings, np.append(np.ones(256, np.int64), np.full(len(cores), gram))
 
 
-def _bucket(length: int):
+def _bucket(length: int, gram: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        """Covered spans of the single segments of one bucket."""
+        """Covered spans of the single segments of one bucket. Windows start at the key's gram or before, at a byte."""
         rows = rows.sort_values(["m", "h1", "h2", "doc_id", "start"], ignore_index=True)
-        found = shared_windows(list(rows["seg"]), length)
+        strings, weight = _symbols(rows, gram)
+        found = shared_windows(strings, length, weight)
         found = found[rows["single"].to_numpy(bool)[found[:, 0]]] if len(found) else found
         if not len(found):
             return pd.DataFrame({"doc_id": pd.array([], "Int64"), "start": pd.array([], "int64"), "stop": pd.array([], "int64")})
@@ -242,7 +248,7 @@ def _decide(segments: DataFrame, length: int, single: bool) -> tuple[DataFrame,
     alone = F.expr("copies = 1 AND at.single") if single else F.expr("copies = 1")
     keys = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max(alone.cast("int")).alias("any"), F.max((alone & F.col("loop")).cast("int")).alias("loops"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes"))
     keys = keys.where("kinds > 1 AND any = 1 OR loops = 1").select("m", "bytes")
-    opened = kinds.join(keys, "m").select("m", "h1", "h2", "at.*", "cnt", "bytes", *([] if single else [F.expr("copies = 1").alias("single")]), *([F.expr("copies = 1").alias("__one")] if single else []))
+    opened = kinds.join(keys, "m").select("m", "h1", "h2", "at.*", "cnt", "loop", "bytes", *([] if single else [F.expr("copies = 1").alias("single")]), *([F.expr("copies = 1").alias("__one")] if single else []))
     if single:
         opened = opened.withColumn("single", F.col("single") & F.col("__one")).drop("__one")
     return whole, opened
@@ -268,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
         total = fits.agg(F.sum(F.col("cnt") + F.lit(length - 1))).first()[0] or 0
         if total:
             bucket = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
-            spans.append(fits.select("m", "h1", "h2", "doc_id", "start", "single", "seg", bucket).groupBy("bucket").applyInPandas(_bucket(length), SPAN))
+            spans.append(fits.select("m", "h1", "h2", "doc_id", "start", "loop", "single", "seg", bucket).groupBy("bucket").applyInPandas(_bucket(length, gram), SPAN))
         hot = opened.where(F.col("bytes") > bucket_bytes)
         if level + 1 == len(grams) or hot.isEmpty():
             break

@@ -33,7 +33,7 @@ def test_shared_windows():
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 8))]
         seen = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
         want = [[j, i] for j, s in enumerate(strings) for i in range(len(s) - n + 1) if seen[s[i : i + n]] > 1]
-        assert bcr.shared_windows(strings, n).tolist() == want
+        assert bcr.shared_windows([np.frombuffer(s, np.uint8) for s in strings], n).tolist() == want
 
 
 def repeats(docs, n):
