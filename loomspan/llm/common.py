@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,18 +32,33 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if not _STAGED:
         atexit.register(release)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED.append((spark, path, out))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark's cleaner remove the shuffles of jobs that are done.
+
+    The cleaner acts when the driver collects garbage, which a driver with little to do may put off for long."""
+    for entry in [x for x in _STAGED if any(x[2] is f for f in frames)]:
+        _STAGED.remove(entry)
+        _delete(*entry[:2])
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def release() -> None:
     """Delete the staged tables of this process; results that still read them must be written before."""
     while _STAGED:
-        spark, path = _STAGED.pop()
+        spark, path, _ = _STAGED.pop()
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             continue
 

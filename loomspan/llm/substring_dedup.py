@@ -4,17 +4,17 @@ Every start of a ``length``-byte string (a window) is dealt by a content key: th
 it. Equal windows have equal keys, so no match is lost, and runs of windows with one key travel as one segment. Keys that
 occur once can't repeat and are dropped after a count that aggregates before its shuffle (a segment that holds its key's
 gram twice, as in a periodic text, counts as two). Of the others, segments that
-occur twice as a whole are covered as a whole; only distinct segments that share a key are dealt again by longer grams
-and then, in buckets of bounded size, go through the column-wise construction of the Burrows-Wheeler transform and
-common prefixes (``bcr``), which decides on every window left. A key whose distinct segments exceed a bucket is dealt on
-by whole windows, so no group, however frequent its passage, meets in one task.
+occur twice as a whole are covered as a whole; only distinct segments that share a key are cut out of the texts, dealt
+again by longer grams and then, in buckets of bounded size, go through the column-wise construction of the
+Burrows-Wheeler transform and common prefixes (``bcr``), which decides on every window left. A key whose distinct segments
+exceed a bucket is dealt on by whole windows, so no group, however frequent its passage, meets in one task.
 
 Strings are judged on the input, overlaps count, and matches never cross documents. Texts are shuffled twice by document,
-to cut the open segments out and to remove what is covered; everything between is positions and hashes.
+to cut the open segments out and to remove what is covered; everything between is positions, hashes and what was cut
+out. What a phase staged or shuffled is dropped before the next one.
 
 Defined results: a null text counts as empty; a text shorter than ``length`` has no window. Rows that repeat id and text are
-different places, so both lose their windows. Rows that share an id but not the text share what is removed, by position; a
-null id is a document of its own.
+different places, so both lose their windows. Rows that share an id but not the text are told apart by a hash of the text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.bcr import shared_windows
-from loomspan.llm.common import staged, table
+from loomspan.llm.common import drop, staged, table
 from loomspan.llm.wordhash import buffers, mix, slices
 
 LENGTH = 200
@@ -37,7 +37,7 @@ GRAMS = (64, 160, 200)
 BUCKET_BYTES = 1 << 20
 PIECE = 1 << 15
 _A, _B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_INVERSE = {x: pow(x, -1, 2**64) for x in (_A, _B)}
+_B_INVERSE = pow(_B, -1, 2**64)
 _TABLES: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -91,7 +91,7 @@ def _loops(grams: np.ndarray, least: np.ndarray, s: np.ndarray, e: np.ndarray, w
     return count > 1
 
 
-Found = tuple[np.ndarray, ...]  # row, key, start in the row, number of windows, loop flag, two content hashes
+Found = tuple[np.ndarray, ...]  # row, key, start in the row, number of windows, loop flag, content hash
 
 
 def _segments(raw: np.ndarray, off: np.ndarray, length: int, gram: int, content: bool) -> Iterator[Found]:
@@ -118,11 +118,11 @@ def _segments(raw: np.ndarray, off: np.ndarray, length: int, gram: int, content:
                 s = first + w * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
                 e = np.minimum(s + w, np.repeat(e, times))
             hashes = []
-            for base in (_A, _B) if content else ():
+            if content:  # by another base than the grams' hashes
                 total = np.zeros(len(part) + 1, np.uint64)
                 size = PIECE + length
-                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table(base, size)[: len(part)], out=total[1:])
-                hashes.append(mix((total[e + length - 1] - total[s]) * _table(_INVERSE[base], size)[s]))
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table(_B, size)[: len(part)], out=total[1:])
+                hashes.append(mix((total[e + length - 1] - total[s]) * _table(_B_INVERSE, size)[s]))
             row = np.searchsorted(off, s + a, "right") - 1
             yield row, least[s], s + a - off[row], e - s, _loops(grams, least, s, e, w), *hashes
 
@@ -143,61 +143,59 @@ def _key_reader(length: int, gram: int):
     return read
 
 
-NAMES = ["m", "h1", "h2", "doc_id", "start", "cnt", "loop"]
-SEGMENT = "m long, h1 long, h2 long, doc_id long, start long, cnt int, loop boolean"
-OPEN = f"{SEGMENT}, single boolean, seg binary"
+NAMES = ["m", "h", "doc_id", "th", "base", "start", "cnt", "loop", "single"]
+SEGMENT = "m long, h long, doc_id long, th long, base long, start long, cnt int, loop boolean, single boolean"
+CUT = "m long, h long, doc_id long, th long, base long, loop boolean, single boolean, bytes long, text binary"
+CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())
+CUT_BYTES = 4 << 20
 
 
 def _segment_reader(length: int, gram: int):
+    """The segments of texts, or of strings that were cut out of texts at ``base``."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for row, m, s, c, loop, h1, h2 in _segments(*buffers(batch.column("text")), length, gram, True):
-                yield pa.RecordBatch.from_arrays([_long(m), _long(h1), _long(h2), ids.take(pa.array(row)), pa.array(s), pa.array(c.astype(np.int32)), pa.array(loop)], names=NAMES)
+            base = batch.column("base").to_numpy()
+            for row, m, s, c, loop, h in _segments(*buffers(batch.column("text")), length, gram, True):
+                at = pa.array(row)
+                doc_id, th, single = (batch.column(x).take(at) for x in ("doc_id", "th", "single"))
+                yield pa.RecordBatch.from_arrays([_long(m), _long(h), doc_id, th, pa.array(base[row]), pa.array(base[row] + s), pa.array(c.astype(np.int32)), pa.array(loop), single], names=NAMES)
 
     return read
 
 
-def _dealt(parts: list[np.ndarray], ids: list[int | None], at: list[int], single: list[bool], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The windows of cut-out strings dealt again by longer grams, with their bytes."""
-    if not parts:
-        return
-    raw, off = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
-    ids, single, at = pa.array(ids, pa.int64()), pa.array(single, pa.bool_()), np.array(at, np.int64)
-    for row, m, s, c, loop, h1, h2 in _segments(raw, off, length, gram, True):
-        seg = [raw[x : x + n].tobytes() for x, n in zip((off[row] + s).tolist(), (c + length - 1).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [_long(m), _long(h1), _long(h2), ids.take(pa.array(row)), pa.array(s + at[row]), pa.array(c.astype(np.int32)), pa.array(loop), single.take(pa.array(row)), pa.array(seg, pa.binary())],
-            names=[*NAMES, "single", "seg"],
-        )
+def _cutter(length: int):
+    """Cut the wanted segments out of the strings."""
+    names = [x.split()[0] for x in CUT.split(", ")]
 
-
-def _cutter(length: int, gram: int):
-    """Cut the wanted segments out of the texts."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CUT_TYPES, strict=True)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
-            kept: tuple[list, ...] = ([], [], [], [])
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+            rows, size = [], 0
+            for i, (doc_id, th, base, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "base", "wanted")), strict=True)):
                 for x in wanted:
-                    part = raw[off[i] + x["start"] : off[i] + x["start"] + x["cnt"] + length - 1]
-                    if off[i] + x["start"] + len(part) > off[i + 1] or len(part) < length:
-                        continue  # another text under the same id
-                    for to, v in zip(kept, (part, x["doc_id"], x["start"], x["single"]), strict=True):
-                        to.append(v)
-            yield from _dealt(*kept, length, gram)
+                    a = off[i] + x["start"] - base
+                    part = raw[a : a + x["cnt"] + length - 1].tobytes()
+                    rows.append((x["m"], x["h"], doc_id, th, x["start"], x["loop"], x["single"], x["bytes"], part))
+                    size += len(part)
+                    if size >= CUT_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return cut
 
 
-def _redealer(length: int, gram: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at, single, seg = (batch.column(c).to_pylist() for c in ("doc_id", "start", "single", "seg"))
-            yield from _dealt([np.frombuffer(x, np.uint8) for x in seg], ids, at, single, length, gram)
-
-    return deal
+def _cut(source: DataFrame, opened: DataFrame, length: int) -> DataFrame:
+    """The bytes of ``opened`` segments, which lie in the strings of ``source`` (doc_id, th, base, text)."""
+    place = ("doc_id", "th", "base")
+    wanted = opened.groupBy(*[F.col(c).alias(f"__{c}") for c in place]).agg(F.collect_list(F.struct("m", "h", "start", "cnt", "loop", "single", "bytes")).alias("wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("base") == F.col("__base"))
+    return source.join(wanted, same).select(*place, "text", "wanted").mapInArrow(_cutter(length), CUT)
 
 
 def _symbols(rows: pd.DataFrame, gram: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -221,64 +219,75 @@ def _symbols(rows: pd.DataFrame, gram: int) -> tuple[list[np.ndarray], np.ndarra
 def _bucket(length: int, gram: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         """Covered spans of the single segments of one bucket. Windows start at the key's gram or before, at a byte."""
-        rows = rows.sort_values(["m", "h1", "h2", "doc_id", "start"], ignore_index=True)
+        rows = rows.sort_values(["m", "h", "doc_id", "th", "base"], ignore_index=True)
         strings, weight = _symbols(rows, gram)
         found = shared_windows(strings, length, weight)
         found = found[rows["single"].to_numpy(bool)[found[:, 0]]] if len(found) else found
         if not len(found):
-            return pd.DataFrame({"doc_id": pd.array([], "Int64"), "start": pd.array([], "int64"), "stop": pd.array([], "int64")})
+            return pd.DataFrame({"doc_id": pd.array([], "Int64"), **{c: pd.array([], "int64") for c in ("th", "start", "stop")}})
         new = np.flatnonzero(np.append(True, (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 1)))
         last = np.append(new[1:], len(found)) - 1
         which = found[new, 0]
-        at = rows["start"].to_numpy()[which]
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy()[which], "start": at + found[new, 1], "stop": at + found[last, 1] + length})
+        at = rows["base"].to_numpy()[which]
+        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy()[which], "th": rows["th"].to_numpy()[which], "start": at + found[new, 1], "stop": at + found[last, 1] + length})
 
     return search
 
 
-SPAN = "doc_id long, start long, stop long"
+SPAN = "doc_id long, th long, start long, stop long"
 
 
-def _decide(segments: DataFrame, length: int, single: bool) -> tuple[DataFrame, DataFrame]:
-    """Spans of segments that repeat as a whole, and the distinct segments that stay open; ``segments`` is staged."""
-    place = F.struct("doc_id", "start", *(["single", "seg"] if single else []))
-    kinds = staged(segments.groupBy("m", "h1", "h2").agg(F.count("*").alias("copies"), F.min("cnt").alias("cnt"), F.max("loop").alias("loop"), F.min(place).alias("at")))
-    whole = segments.join(kinds.where("copies > 1").select("m", "h1", "h2"), ["m", "h1", "h2"])
-    whole = (whole.where("single") if single else whole).select("doc_id", "start", (F.col("start") + F.col("cnt") + F.lit(length - 1)).alias("stop"))
-    alone = F.expr("copies = 1 AND at.single") if single else F.expr("copies = 1")
+def _decide(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: spans of single segments that repeat as a whole; the kinds of segments; and of these, lazily, one place of
+    each that stays open. A segment that isn't single is known to be covered and only serves as a partner."""
+    kind = ["m", "h", "cnt"]
+    kinds = staged(segments.groupBy(kind).agg(F.count("*").alias("copies"), F.max("loop").alias("loop"), F.min(F.struct("doc_id", "th", "base", "start", "single")).alias("at")))
+    whole = segments.where("single").join(kinds.where("copies > 1").select(kind), kind)
+    spans = staged(whole.select("doc_id", "th", "start", (F.col("start") + F.col("cnt") + F.lit(length - 1)).alias("stop")))
+    alone = F.expr("copies = 1 AND at.single")
     keys = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max(alone.cast("int")).alias("any"), F.max((alone & F.col("loop")).cast("int")).alias("loops"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes"))
     keys = keys.where("kinds > 1 AND any = 1 OR loops = 1").select("m", "bytes")
-    opened = kinds.join(keys, "m").select("m", "h1", "h2", "at.*", "cnt", "loop", "bytes", *([] if single else [F.expr("copies = 1").alias("single")]), *([F.expr("copies = 1").alias("__one")] if single else []))
-    if single:
-        opened = opened.withColumn("single", F.col("single") & F.col("__one")).drop("__one")
-    return whole, opened
+    opened = kinds.join(keys, "m").select(*kind, "loop", "bytes", "at.doc_id", "at.th", "at.base", "at.start", alone.alias("single"))
+    return spans, kinds, opened
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, start, stop: spans that cover every byte in a string of ``length`` bytes that starts at two places."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = texts.select("text").mapInArrow(_key_reader(length, grams[0]), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
-    segments = staged(texts.mapInArrow(_segment_reader(length, grams[0]), SEGMENT).join(keys, "m"))
-    spans, opened = _decide(segments, length, False)
-    spans = [spans]
-
-    wanted = opened.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("doc_id", "start", "cnt", "single")).alias("wanted"))
-    cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "wanted").mapInArrow(_cutter(length, grams[1]), OPEN)
-    # Texts that repeat under one id yield a segment twice.
-    segments = staged(cut.dropDuplicates(["m", "h1", "h2", "doc_id", "start"]))
+    """doc_id, th (hash of the text), start, stop: spans that cover every byte in a string of ``length`` bytes that starts at
+    two places."""
+    spark = docs.sparkSession
+    source = _places(docs).select("doc_id", "th", F.lit(0).cast("long").alias("base"), F.lit(True).alias("single"), F.col("text").cast("binary").alias("text"))
+    keys = source.select("text").mapInArrow(_key_reader(length, grams[0]), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
+    repeated = staged(source.mapInArrow(_segment_reader(length, grams[0]), SEGMENT).drop("base", "single").join(keys, "m"))
+    drop(spark)
+    segments = repeated.withColumns({"base": F.lit(0).cast("long"), "single": F.lit(True)})
+    covered, kinds, opened = _decide(segments, length)
+    spans = [covered]
+    drop(spark, repeated)
+    source = staged(_cut(source, opened, length))
+    drop(spark, kinds)
+
     for level, gram in enumerate(grams[1:], 1):
-        whole, opened = _decide(segments, length, True)
-        spans.append(whole)
-        opened = staged(opened)
-        fits = opened.where(F.col("bytes") <= bucket_bytes)
-        total = fits.agg(F.sum(F.col("cnt") + F.lit(length - 1))).first()[0] or 0
+        segments = staged(source.select("doc_id", "th", "base", "single", "text").mapInArrow(_segment_reader(length, gram), SEGMENT))
+        covered, kinds, opened = _decide(segments, length)
+        spans.append(covered)
+        cut = staged(_cut(source.select("doc_id", "th", "base", "text"), opened, length))
+        drop(spark, segments, kinds, source)
+        fits = cut.where(F.col("bytes") <= bucket_bytes)
+        total = fits.agg(F.sum(F.length("text"))).first()[0] or 0
         if total:
             bucket = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
-            spans.append(fits.select("m", "h1", "h2", "doc_id", "start", "loop", "single", "seg", bucket).groupBy("bucket").applyInPandas(_bucket(length, gram), SPAN))
-        hot = opened.where(F.col("bytes") > bucket_bytes)
-        if level + 1 == len(grams) or hot.isEmpty():
+            found = fits.select("m", "h", "doc_id", "th", "base", "loop", "single", F.col("text").alias("seg"), bucket).groupBy("bucket").applyInPandas(_bucket(length, gram), SPAN)
+            spans.append(staged(found))
+        source = cut.where(F.col("bytes") > bucket_bytes)
+        if level + 1 == len(grams) or source.isEmpty():
+            drop(spark, cut)
             break
-        segments = staged(hot.select("doc_id", "start", "single", "seg").mapInArrow(_redealer(length, grams[level + 1]), OPEN))
+        source = staged(source)
+        drop(spark, cut)
     out = spans[0]
     for x in spans[1:]:
         out = out.unionByName(x)
@@ -319,9 +328,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``, with the kept bytes if ``texts``."""
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    rows = _places(docs).join(spans, same, "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.mapInArrow(_remover, f"{schema}, kept binary") if texts else rows.mapInArrow(_digests, schema)
 

@@ -38,8 +38,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the rows' n + 1 offsets in them; nulls are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """The bytes (UTF-8 of strings) of a column and the rows' n + 1 offsets in them; nulls are empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -61,6 +61,15 @@ def test_substring_dedup(spark, bucket):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_substring_dedup_same_id(spark):
+    """Rows of one id and different texts, or of the same text, are places of their own."""
+    a, b = "abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST"
+    rows = [(1, a + "x" + b), (1, a + "yz"), (2, "0123456789" + b), (3, "u" + a[:12] + "v"), (4, "only once in here"), (4, "only once in here"), (None, b + "-")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=12, grams=(5, 9, 12)).collect()
+    want = repeats([(k, t.encode()) for k, (_, t) in enumerate(rows)], 12)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values())
+
+
 def similar(docs):
     sets = {}
     for i, t in docs:
