@@ -1,11 +1,14 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page's text nodes are grouped by the path of tags from the root to them (marks inside a line of text, such as ``b``, don't
-count). For each path the text length and the punctuation for each occurrence are aggregated. Along the page the two
-ratios are smoothed with a Gaussian over neighbouring blocks and fused as their geometric mean; a path is content when
-the mean of its blocks' fused score reaches a threshold set from the page's mean and its best path. Elements that name
-themselves as navigation, header, footer, advert, form, comment and so on weigh nothing; an ``article`` or ``main``
-element, where there is one with text, bounds the search. Headings go with the content that follows them.
+count). For each path the text length outside links and the punctuation of any script are aggregated for each
+occurrence; the cells of a table and the items of a list are one occurrence. The two ratios are fused as their geometric
+mean, with a term added to the punctuation, so that text without marks scores low but not nothing; the same is done with
+the ratios smoothed by a Gaussian over neighbouring blocks, and both are fused again. A path is content when the mean of
+its blocks' score, less the share of links in it, reaches a threshold set from the page's mean and its best path. An
+``article`` or ``main`` element raises the scores in it and lowers those outside by the share of the page's text that it
+holds. Elements that name themselves as navigation, header, footer, advert, form, comment and so on weigh nothing; a
+layout name on a wrapper of most of the text doesn't count. Headings go with the content that follows them.
 
 Pages are judged each by itself, in the tasks. Defined results: a null or empty page and one without text blocks have an
 empty text; rows that repeat are treated alike; broken markup is read leniently, an open tag at the end of a page is text
@@ -43,50 +46,82 @@ NAMES = regex.compile(
     r"masthead|comments?|respond|discussion|replies|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|tags|toolbar|pagination|pager|widget|legal|copyright)(?:$|[\s_-])",
     regex.I,
 )
-ABOUT_OTHERS = regex.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[-_]\S+", regex.I)
+#: Names that stand for layout as well: on an element that holds most of the page's text they say nothing.
+LAYOUT = regex.compile(r"(?:^|(?<=[\s_-]))(?:banner|notices?|alert|nav\w*|menu\w*|side-?bar|footer|header|masthead|social|search|tags|toolbar|widget|legal|copyright)(?=$|[\s_-])", regex.I)
+ABOUT_OTHERS = regex.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[-_]\S+", regex.I)
+TOPIC = regex.compile(r"(?:^|(?<=\s))(?:tag|category)-\S+", regex.I)
 HEADER = regex.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", regex.I)
 ATTRIBUTE = regex.compile(r"([a-z_:@][^\s=>\"'/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", regex.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 PUNCTUATION = regex.compile(r"[.,;:!?。，；：！？、…]")
 SPACE = regex.compile(r"\s+")
 HEADING = regex.compile(r"h[1-6]$")
+HREF = regex.compile(r"\bhref\s*=", regex.I)
+CELLS = frozenset("td th li dt dd caption option".split())
+RUNS = frozenset("table ul ol dl".split())
+#: Added to the marks of a path.
+NO_MARKS = 0.5
 
 
-def _named_boilerplate(attrs: str, main: bool) -> bool:
-    """Whether an element's class, id or role names it as something beside the text; an article may have its own header."""
+def _named_boilerplate(attrs: str, main: bool, tag: str = "") -> int:
+    """Whether an element's class, id or role names it as something beside the text (2), or may do so if it isn't a wrapper
+    of the text (1); an article may have its own header."""
+    found = 0
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name in ("class", "id"):
             value = ABOUT_OTHERS.sub("", value)
-            if NAMES.search(HEADER.sub("", value) if main else value):
-                return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, boilerplate, in an article or main element) of each block of text, in page order."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+            if tag == "article":
+                value = TOPIC.sub("", value)
+            value = HEADER.sub("", value) if main else value
+            if NAMES.search(value):
+                if NAMES.search(LAYOUT.sub("", value)):
+                    return 2
+                found = 1
+    return found
+
+
+def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
+    """(path, text, boilerplate, number of its article or main element or 0, characters in links, number of its list or
+    table or else of the block) of each block of text, in page order."""
+    out: list[tuple[str, str, bool, int, int, int]] = []
+    perhaps: list[tuple[int, ...]] = []  # for each block the open elements that are boilerplate unless they wrap the text
+    # tag, boilerplate, article or main, whether it is in an article, list or table, elements with a layout name
+    stack: list[tuple[str, bool, int, bool, int, tuple[int, ...]]] = []
     parts: list[str] = []
+    linked, link, number = 0, -1, 0  # characters in links; depth at which a link opened
 
     def flush() -> None:
+        nonlocal linked, number
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, off, main = stack[-1] if stack else ("", False, False)
-                out.append(("/".join(t for t, _, _ in stack), text, off, main))
+                tag, off, main, _, run, wraps = stack[-1] if stack else ("", False, 0, False, 0, ())
+                number += 1
+                out.append(("/".join(x[0] for x in stack), text, off, main, min(linked, len(text)), run if tag in CELLS and run else number))
+                perhaps.append(wraps)
+            linked = 0
 
     def cut(k: int) -> None:
+        nonlocal link
         flush()
         del stack[k:]
+        if k < link:
+            link = -1
+
+    def put(a: int, b: int) -> None:
+        nonlocal linked
+        parts.append(page[a:b])
+        if link >= 0:
+            linked += len(SPACE.sub(" ", entities.unescape(parts[-1])))
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            put(at, m.start())
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -95,6 +130,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
+            elif tag == "a":
+                link = len(stack) if not m["close"] and HREF.search(m["attrs"]) else -1
             continue
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -121,13 +158,31 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 break
         if HEADING.match(tag) and stack and HEADING.match(stack[-1][0]):
             cut(len(stack) - 1)
-        off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        inside = tag == "header" and main  # an article's own header holds its title
-        stack.append((tag, off or tag in BOILERPLATE and not inside or tag not in ("html", "body", "article", "main") and _named_boilerplate(m["attrs"], main), main or tag in ("article", "main")))
+        _, off, main, article, run, wraps = stack[-1] if stack else ("", False, 0, False, 0, ())
+        number += 1
+        own = tag == "header" and main  # an article's own header holds its title
+        wrap = False
+        off = off or tag in BOILERPLATE and not own
+        if tag not in ("html", "body", "main") and not off:
+            named = _named_boilerplate(m["attrs"], bool(main) or tag == "article", tag)
+            off = named > 0
+        if tag == "article" and not article or tag == "main" and not main:
+            main = number
+        stack.append((tag, off, main, article or tag == "article", number if tag in RUNS else run, (*wraps, number) if wrap and not off else wraps))
     if at < len(page):
-        parts.append(page[at:])
+        put(at, len(page))
     flush()
-    return out
+    if not any(perhaps):
+        return out
+    held: dict[int, list[int]] = {}
+    total = 0
+    for b, wraps in zip(out, perhaps, strict=True):
+        if not b[2]:
+            total += len(b[1]) - b[4]
+            for w in wraps:
+                held.setdefault(w, []).append(len(b[1]) - b[4])
+    beside = {w for w, n in held.items() if len(n) < 2 or 2 * sum(n) <= total}
+    return [(b[0], b[1], b[2] or not beside.isdisjoint(wraps), *b[3:]) for b, wraps in zip(out, perhaps, strict=True)]
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -141,26 +196,32 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 def main_text(page: str | None, share: float = 0.25) -> str:
     """The content blocks of ``page``, joined by blank lines; ``share`` weighs the page's mean score in the threshold."""
     found = [b for b in blocks(page or "") if not b[2]]
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
     if not found:
         return ""
-    paths: dict[str, list[int]] = {}
+    paths: dict[tuple[int, str], list[int]] = {}
     for i, b in enumerate(found):
-        paths.setdefault(b[0], []).append(i)
+        paths.setdefault((b[3], b[0]), []).append(i)
     length = np.array([len(b[1]) for b in found], float)
+    free = length - [b[4] for b in found]
     marks = np.array([len(PUNCTUATION.findall(b[1])) for b in found], float)
-    by_path = np.zeros((2, len(found)))
+    by_path, unlinked = np.zeros((2, len(found))), np.zeros(len(found))
     for rows in paths.values():
-        by_path[0, rows], by_path[1, rows] = length[rows].mean(), marks[rows].mean()
-    fused = np.sqrt(smooth(by_path[0]) * smooth(by_path[1]))
+        n = len({found[i][5] for i in rows})
+        by_path[0, rows], by_path[1, rows] = free[rows].sum() / n, marks[rows].sum() / n
+        unlinked[rows] = free[rows].sum() / length[rows].sum()
+    near = np.sqrt(smooth(by_path[0]) * (smooth(by_path[1]) + NO_MARKS))
+    fused = np.sqrt(np.sqrt(by_path[0] * (by_path[1] + NO_MARKS)) * near) * unlinked
+    part: dict[int, float] = {}
+    for b, n in zip(found, free.tolist(), strict=True):
+        part[b[3]] = part.get(b[3], 0.0) + n / max(1.0, free.sum())
+    part[0] = 0.0
+    most = max(part.values())
+    prior = {e: (1 + 15 * p * p) * (1 - 0.75 * (most - p)) for e, p in part.items()}
     score = {p: fused[rows].mean() for p, rows in paths.items()}
     best, mean = max(score.values()), float(fused.mean())
-    # In a bounded article the paths compete with each other only; elsewhere a path must stand out.
-    bounded = found[0][3]
-    least = 0.0 if bounded else share * mean + (1 - share) * min(mean, best / 4)
-    content = {p for p, s in score.items() if bounded or s >= least and by_path[1, paths[p][0]] > 0}
-    keep = [b[0] in content for b in found]
+    least = share * mean + (1 - share) * min(mean, best / 4)
+    content = {p for p, s in score.items() if s * prior[p[0]] >= least}
+    keep = [(b[3], b[0]) in content for b in found]
     for i in range(len(found) - 2, -1, -1):
         if not keep[i] and keep[i + 1] and HEADING.search(found[i][0]):
             keep[i] = True
