@@ -53,7 +53,7 @@ TOPIC = regex.compile(r"(?:^|(?<=\s))(?:tag|category)-\S+", regex.I)
 HEADER = regex.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", regex.I)
 ATTRIBUTE = regex.compile(r"([a-z_:@][^\s=>\"'/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", regex.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-PUNCTUATION = regex.compile(r"[.,;:!?。，；：！？、…]")
+PUNCTUATION = regex.compile(r"[\p{Terminal_Punctuation}…]")
 SPACE = regex.compile(r"\s+")
 HEADING = regex.compile(r"h[1-6]$")
 HREF = regex.compile(r"\bhref\s*=", regex.I)
@@ -161,11 +161,11 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
         _, off, main, article, run, wraps = stack[-1] if stack else ("", False, 0, False, 0, ())
         number += 1
         own = tag == "header" and main  # an article's own header holds its title
-        wrap = False
-        off = off or tag in BOILERPLATE and not own
+        wrap = tag == "form"
+        off = off or tag in BOILERPLATE and not own and not wrap
         if tag not in ("html", "body", "main") and not off:
             named = _named_boilerplate(m["attrs"], bool(main) or tag == "article", tag)
-            off = named > 0
+            off, wrap = named == 2, wrap or named == 1
         if tag == "article" and not article or tag == "main" and not main:
             main = number
         stack.append((tag, off, main, article or tag == "article", number if tag in RUNS else run, (*wraps, number) if wrap and not off else wraps))

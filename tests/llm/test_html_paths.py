@@ -37,3 +37,17 @@ def test_text_beside_a_short_article():
 
 def test_article_of_a_named_topic():
     assert main_text(f'<article class="post tag-nav category-comments hentry">{BODY}</article>') == WANT
+
+
+@pytest.mark.parametrize("text", [THAI, HINDI, ARABIC, "Roses are red and violets are blue and so on"])
+def test_scripts_and_text_without_marks(text):
+    assert main_text(f"<div><a href=/>A</a> <a href=/b>B</a></div><div><p>{text} {text}</p><p>{text}</p></div>") == f"{text} {text}\n\n{text}"
+    assert main_text(f"<ul><li>{text}<li>{text}</ul><pre>{text}</pre>") == f"{text}\n\n{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("name", ["right-sidebar", "page-with-sidebar", "layout sidebar-left", "header-fixed nav-open"])
+def test_layout_names_on_wrappers(name):
+    side = '<div class="sidebar"><p>Beside the text, short.</p></div>'
+    assert main_text(f'<div class="{name}">{side}<div>{BODY}</div></div>') == WANT
+    assert main_text(f'<form><div class="{name}">{side}<div>{BODY}</div></div></form>') == WANT
+    assert main_text(f'<div>{BODY}</div><div class="comments"><p>{LONG}</p>{BODY}{BODY}</div>') == WANT
