@@ -277,10 +277,10 @@ def constrained_align(spark, d):
 
 @query()
 def model_alignment(spark, d):
-    """Two profile models, of each user's first forty events and the next user's: best path, sum, posteriors, accuracy."""
+    """Two profile models, of all of each user's events and the next user's: best path, sum, posteriors, accuracy."""
     symbols = ["click", "error", "purchase", "signup", "view"]
     rk = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = t(spark, d, "events").withColumn("k", rk).where("k <= 40")
+    e = t(spark, d, "events").withColumn("k", rk)
     code = F.array_position(F.array(*map(F.lit, symbols)), F.col("event_type")).cast("int") - 1
     users = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda z: z["c"]).alias("codes"))
     pairs = users.select("user_id", F.col("codes").alias("q"), (F.col("user_id") + 1).alias("next")).join(users.select(F.col("user_id").alias("next"), F.col("codes").alias("t")), "next")
