@@ -34,6 +34,10 @@ ORDER = 3
 DOCS_PER_LANGUAGE = 1500
 TABLE_BYTES = 64 << 20
 WINDOW = 1 << 20
+#: Bits of a byte without a model; the share of labelled texts that sets the limit of code lengths, and what is allowed beyond it.
+UNIFORM = 8.0
+NEARLY_ALL = 0.999
+SLACK = 1.1
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -153,14 +157,21 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes: int = TABLE_BYTES) -> Trees | None:
-    """Trees of the labelled rows that aren't held out: about ``docs_per_language`` of each language at most."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+def _sample(labelled: DataFrame, docs_per_language: int) -> DataFrame | None:
+    """About ``docs_per_language`` rows of each language at most, chosen by a hash of the id."""
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, int(min(1.0, docs_per_language / n) * 1_000_000))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+
+
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes: int = TABLE_BYTES) -> Trees | None:
+    """Trees of the labelled rows that aren't held out: about ``docs_per_language`` of each language at most."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    sample = _sample(labelled, docs_per_language)
+    if sample is None:
+        return None
     counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     if found.empty:
@@ -168,6 +179,28 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes
     return Trees({k: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64)) for k, g in found.groupby("lang")}, table_bytes)
 
 
+def limit(docs: DataFrame, trees: Trees | None, docs_per_language: int = DOCS_PER_LANGUAGE) -> float:
+    """Bits a byte above which a text is in none of the languages: a tenth more than nearly all held-out labelled texts
+    need under their own language, and never more than a byte that no model describes."""
+    if trees is None:
+        return UNIFORM
+    labelled = docs.where(F.col("lang").isin(trees.langs) & (F.length("text") > 0)).where(held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    sample = _sample(labelled, docs_per_language)
+    if sample is None:
+        return UNIFORM
+    broadcast = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column("text"))
+            bits = broadcast.value.code_lengths(raw, off)
+            own = np.searchsorted(broadcast.value.langs, batch.column("lang").to_pylist()) if len(bits) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(bits[np.arange(len(bits)), own] / np.diff(off))], names=["rate"])
+
+    found = sample.select("lang", "text").mapInArrow(rates, "rate double").toPandas()["rate"].to_numpy()
+    return min(UNIFORM, SLACK * float(np.quantile(found, NEARLY_ALL))) if len(found) else UNIFORM
+
+
 def _scorer(broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = broadcast.value
@@ -177,23 +210,24 @@ def _scorer(broadcast):
             letters = np.array([bool(x) and LETTER.search(x) is not None for x in text.to_pylist()], bool)
             raw, off = buffers(text)
             if trees is None:
-                lang, p = np.full(len(letters), "und", object), np.zeros(len(letters))
+                lang, p, least = np.full(len(letters), "und", object), np.zeros(len(letters)), np.zeros(len(letters))
             else:
                 bits = trees.code_lengths(raw, off)
                 best = bits.argmin(1) if len(bits) else np.zeros(0, int)
                 p = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1) if len(bits) else np.zeros(0)
                 lang = np.array(trees.langs, object)[best]
+                least = bits.min(1) if len(bits) else np.zeros(0)
             lang[~letters] = "und"
-            yield pa.RecordBatch.from_arrays([row, pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0))], names=["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(least), pa.array(np.diff(off).astype(np.int64))], names=["row", "lang_pred", "score", "bits", "n_bytes"])
 
     return score
 
 
 def predict(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFrame:
-    """row (a struct of the ``keep`` columns), lang_pred and score; only ``text`` is an input of the prediction."""
+    """row (a struct of the ``keep`` columns), lang_pred, score, the best language's bits and n_bytes; only ``text`` is an input of the prediction."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     rows = docs.select(row) if "text" in keep else docs.select(row, "text")
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
     return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), schema)
 
 
