@@ -184,6 +184,15 @@ def linear_window_features(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.transform(F.array(*parts), lambda x: (x * 100).cast("int")).alias("features"), near.alias("n"))
 
 
+@query("""SELECT event_id, user_id, list_transform([coalesce(lag(value, 5) OVER w, 0), coalesce(lag(value, 4) OVER w, 0), coalesce(lag(value, 3) OVER w, 0), coalesce(lag(value, 2) OVER w, 0), coalesce(lag(value, 1) OVER w, 0), value, coalesce(lead(value, 1) OVER w, 0), coalesce(lead(value, 2) OVER w, 0), coalesce(lead(value, 3) OVER w, 0), coalesce(lead(value, 4) OVER w, 0), coalesce(lead(value, 5) OVER w, 0)], lambda x: CAST(trunc(x * 100) AS INT)) AS features
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def linear_window_whole(spark, d):
+    """All eleven offsets -5..5 of the value; zero outside."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    parts = [F.coalesce(F.lead("value", k).over(w) if k > 0 else F.lag("value", -k).over(w), F.lit(0.0)) if k else F.col("value") for k in range(-5, 6)]
+    return t(spark, d, "events").select("event_id", "user_id", F.transform(F.array(*parts), lambda x: (x * 100).cast("int")).alias("features"))
+
+
 @query("""
 WITH k AS (SELECT vec_id, list_filter(list_transform(embedding, lambda x, i: {'i': i, 'v': CAST(trunc(CAST(x AS DOUBLE) * 1000) AS INT)}), lambda z: abs(z.v) > 100) AS f FROM embeddings)
 SELECT vec_id, len(f) AS n, list_transform(f[:20], lambda z: z.i) AS idx, list_transform(f[:20], lambda z: z.v) AS val FROM k""")
