@@ -202,6 +202,16 @@ def sparse_encode(spark, d):
     return k.select("vec_id", F.size("f").cast("long").alias("n"), F.col("s.i").alias("idx"), F.col("s.v").alias("val"))
 
 
+@query("""
+WITH k AS (SELECT vec_id, list_filter(list_transform(embedding, lambda x, i: {'i': i, 'v': CAST(trunc(CAST(x AS DOUBLE) * 1000) AS INT)}), lambda z: z.v <> 0) AS f FROM embeddings)
+SELECT vec_id, len(f) AS n, list_transform(f, lambda z: z.i) AS idx, list_transform(f, lambda z: z.v) AS val FROM k""")
+def sparse_encode_whole(spark, d):
+    """All entries that aren't zero."""
+    f = F.filter(F.transform("embedding", lambda x, i: F.struct((i + 1).cast("long").alias("i"), (x.cast("double") * 1000).cast("int").alias("v"))), lambda z: z["v"] != 0)
+    k = t(spark, d, "embeddings").select("vec_id", f.alias("f"))
+    return k.select("vec_id", F.size("f").cast("long").alias("n"), F.col("f.i").alias("idx"), F.col("f.v").alias("val"))
+
+
 @query("""
 WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 w(g, i, weight) AS (SELECT a.g, b.i, ((a.g * 31 + b.i * 17) % 23 - 11) / 10.0 FROM range(1, 4) a(g), range(1, 65) b(i)),
@@ -268,6 +278,25 @@ def sort_variants(spark, d):
     return out
 
 
+@query("""SELECT 'down' AS way, s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rk FROM supplier
+UNION ALL SELECT 'up', s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) FROM supplier""")
+def sort_whole(spark, d):
+    """The whole of both orders: ranges by quantiles, ranks within each, and the sizes of the ranges before it."""
+    s = t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(s.approxQuantile("s_acctbal", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    v, out = F.col("s_acctbal"), None
+    for way, order in (("down", [v.desc_nulls_last(), F.col("s_suppkey")]), ("up", [v.asc_nulls_last(), F.col("s_suppkey")])):
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x > v if way == "down" else x < v)) if bounds else F.lit(0)  # noqa: B023
+        dealt = s.withColumn("part", F.when(v.isNull(), len(bounds) + 1).otherwise(place))
+        sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+        before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+        rk = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order))
+        ranked = dealt.join(F.broadcast(before), "part").select(F.lit(way).alias("way"), "s_suppkey", rk.alias("rk"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 @query("""
 WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS w, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS run, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
 SELECT l_orderkey, min(run) AS chosen_run FROM c WHERE run > (l_orderkey * 7919 % 1000) / 1000.0 * total GROUP BY l_orderkey""")
