@@ -1,89 +1,111 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short strings.
+"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short strings at once.
 
-Each round inserts one more symbol of every string that still has one, the last first: all suffixes one byte longer than
-those of the round before find their places at once, because a suffix that extends another keeps its order among those
-that extend with the same byte. The transform and the common prefixes of neighbours are then rewritten in one sequential
-pass. A common prefix that an insertion touches is one more than the least in the range that the two extended suffixes
-span in the order before. Prefixes are counted up to ``length``.
+The strings are aligned: column 0 of each is where a core begins that all its windows hold. Each round inserts one symbol of
+every string, from the last column to the first, and rewrites two sequences in one pass: the order of the suffixes that
+start in the column (the symbols before them, in this order, are the column's part of the transform) and the common
+prefixes of neighbours. A suffix that extends another keeps its order among those that extend with the same symbol; the
+common prefix with its new neighbour is one symbol more than the least in the range that the two spanned before. As equal
+windows of aligned strings start in the same column, suffixes of other columns need no place in the order, so a round costs
+one step a string however many columns are done. Strings leave once no window of theirs begins further ahead.
 
-A symbol may stand for a longer string and then weighs as many bytes, which shortens the rounds where all strings hold a
-known one. A collection is one bucket of bounded size, so its two sequential files are arrays in memory.
+Behind and in the core, where no window starts, a symbol is eight bytes; before it, one byte. A collection is one bucket of
+bounded size, so its sequences are arrays in memory and not files.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: What a string has beyond its ends: a byte that UTF-8 never holds.
+NOTHING = 255
+GAP = 16
+WORD = 8
 
-def shared_windows(strings: list[np.ndarray], length: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """(string, position) of every start from which a string of ``length`` bytes starts at two or more places.
 
-    ``strings`` are arrays of symbols from 0; symbol s weighs ``weight[s]`` bytes, one without weights."""
-    k = len(strings)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    if not k or not sizes.max():
-        return np.zeros((0, 2), np.int64)
-    joined = np.concatenate(strings).astype(np.int64) + 1
-    most = int(joined.max())
-    weight = np.append(0, np.ones(most, np.int64) if weight is None else weight)
-    symbol = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64
-    joined = joined.astype(symbol)
-    end = np.cumsum(sizes)
-    total = np.append(0, np.cumsum(weight[joined]))
+def _same_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes two arrays of different eight-byte numbers share."""
+    x = a ^ b
+    out = np.zeros(len(x), np.int16)
+    for k in range(1, WORD):
+        out += x < np.uint64(1 << (64 - 8 * k))
+    return out
+
 
-    def before(ids: np.ndarray, done: int) -> np.ndarray:
-        """The symbol before the suffix of ``done`` symbols; 0 before a whole string."""
-        at = np.maximum(end[ids] - done - 1, 0)
-        return np.where(sizes[ids] > done, joined[at], 0).astype(symbol)
+class _Order:
+    """The strings by their suffixes from the last column inserted, and the bytes each shares with the one before."""
 
-    ids = np.arange(k)  # strings whose suffix the last round inserted, in the order of these suffixes
-    places = np.arange(k)  # where these lie
-    bwt, prefix, tag = before(ids, 0), np.zeros(k, np.int32), None
-    for done in range(1, int(sizes.max()) + 1):
-        order = np.argsort(bwt, kind="stable")
-        # Ranks of the places among equal symbols, in the order of the symbols.
-        own = bwt[places]
+    def __init__(self, n: int, most: int):
+        self.ids, self.most = np.arange(n, dtype=np.int32), most
+        self.prefix = np.zeros(n + 1, np.int16)  # the last one is a stop
+
+    def insert(self, own: np.ndarray, weight: int) -> None:
+        """Puts ``own`` (a symbol for each string, in the present order) before the suffixes."""
         turn = np.argsort(own, kind="stable")
-        own, ids, places = own[turn], ids[turn], places[turn]
-        counts = np.bincount(bwt, minlength=2)
-        first = np.cumsum(counts) - counts
-        closed = int(counts[0])
-        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        f = np.concatenate([first[own[a]] + np.searchsorted(order[first[own[a]] : first[own[a]] + counts[own[a]]], places[a:b]) for a, b in zip(cut, [*cut[1:], len(own)], strict=True) if own[a]] or [np.zeros(0, np.int64)])
-        if not len(f):
-            break
-        ids = ids[own > 0]
-        places = k + f - closed
-        # Common prefixes with the neighbour before, of what is new and of what follows something new.
-        touched = np.sort(np.concatenate([f, f[np.append(f[:-1] + 1 != f[1:], True)] + 1]))
-        touched = touched[touched < len(order)]
-        left, right = order[touched - 1], order[touched]
-        same = (touched > closed) & (bwt[left] == bwt[right])
-        value = np.zeros(len(touched), np.int32)
-        if same.any():
-            # From right to left, so that reduceat skips what lies between the ranges.
-            which = np.flatnonzero(same)
-            which = which[np.argsort(-left[which], kind="stable")]
-            pairs = np.stack([left[which] + 1, right[which] + 1], 1).ravel()
-            least = np.minimum.reduceat(np.append(prefix, np.int32(0)), pairs)[::2]
-            value[which] = np.minimum(least + weight[bwt[left[which]]], length)
-        new = np.zeros(k + len(order) - closed, bool)
-        new[places] = True
-        old = ~new
-        moved, changed = np.empty(len(new), symbol), np.zeros(len(new), np.int32)
-        moved[old], moved[new] = bwt, before(ids, done)
-        changed[old] = prefix
-        changed[k + touched - closed] = value
-        long = total[end[ids]] - total[end[ids] - done] >= length
-        if tag is not None or long.any():
-            tags = np.full(len(new), -1, np.int32)
-            if tag is not None:
-                tags[old] = tag
-            tags[new] = np.where(long, ids * (int(sizes.max()) + 1) + sizes[ids] - done, -1)
-            tag = tags
-        bwt, prefix = moved, changed
-    if tag is None:
-        return np.zeros((0, 2), np.int64)
-    long = prefix >= length
-    hit = tag[(long | np.append(long[1:], False)) & (tag >= 0)]
-    return np.stack(np.divmod(np.sort(hit), int(sizes.max()) + 1), 1)
+        self.ids, own = self.ids[turn], own[turn]
+        same, last = own[1:] == own[:-1], self.prefix[turn[1:]]
+        # Most neighbours were neighbours before; only between others something lies that may share less.
+        apart = np.flatnonzero(same & (turn[1:] - turn[:-1] > 1))
+        if len(apart):
+            some = (last[apart] > 0) & (self.prefix[turn[apart] + 1] > 0)
+            last[apart[~some]] = 0
+            apart = apart[some]
+        if len(apart):
+            ranges = np.empty(2 * len(apart), np.int64)
+            ranges[::2], ranges[1::2] = turn[apart] + 1, turn[apart + 1] + 1
+            last[apart] = np.minimum.reduceat(self.prefix, ranges)[::2]
+        last += weight
+        np.minimum(last, self.most, out=last)
+        last *= same
+        if weight > 1:
+            other = np.flatnonzero(~same)
+            last[other] = _same_bytes(own[other], own[other + 1])
+        self.prefix[1 : len(own)] = last
+
+    def leave(self, stay: np.ndarray) -> None:
+        kept = np.flatnonzero(stay)
+        self.ids = self.ids[kept]
+        if len(kept):
+            least = np.minimum.reduceat(self.prefix[:-1], np.append(0, kept[:-1] + 1))
+            if kept[-1] + 1 < len(stay):  # the last range must not reach beyond its string
+                least[-1] = self.prefix[(kept[-2] + 1 if len(kept) > 1 else 0) : kept[-1] + 1].min()
+            self.prefix = np.append(least, np.int16(0))
+
+
+def shared_windows(strings: list[bytes], left: np.ndarray, count: np.ndarray, length: int, core: int) -> np.ndarray:
+    """(string, window, n): runs of windows, ``n`` from ``window`` on, whose ``length`` bytes start in the same column of two strings.
+
+    String i has windows at its first ``count[i]`` bytes and its core, which is ``core`` bytes long and in all of them,
+    ``left[i]`` bytes from its start."""
+    n = len(strings)
+    if n < 2:
+        return np.zeros((0, 3), np.int64)
+    gap = bytes([NOTHING]) * GAP
+    joined = gap.join([b"", *strings, gap])
+    raw = np.frombuffer(joined, np.uint8)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    start = np.cumsum(sizes + GAP) - sizes
+    at = start + left
+    words = np.ndarray((len(raw) - WORD + 1,), ">u8", joined, 0, (1,))
+    order = _Order(n, length)
+    # Whole words from the core on, up to the last window's end, the last first.
+    for k in range((length - 1) // WORD, -1, -1):
+        have = np.clip(sizes - left - k * WORD, 0, WORD)[order.ids]
+        symbol = words[np.minimum(at[order.ids] + k * WORD, len(words) - 1)].astype(np.uint64)
+        beyond = np.where(have > 0, np.uint64(2**64 - 1) >> (8 * np.maximum(have, 1) - 1).astype(np.uint64) >> np.uint64(1), np.uint64(2**64 - 1))
+        order.insert(symbol | beyond, WORD)
+    hit = np.zeros((n, length - core + 2), bool)  # by the distance of the window's start from the core
+    for k in range(int(left.max()) + 1):
+        if k:
+            if (k - 1) % GAP == 0:
+                order.leave(left[order.ids] >= k)
+                if len(order.ids) < 2:
+                    break
+            order.insert(raw[at[order.ids] - k], 1)
+        near = order.prefix >= length
+        hit[order.ids[near[:-1] | near[1:]], k] = True
+    distance = np.arange(hit.shape[1])[None, :]
+    hit &= (distance <= left[:, None]) & (distance > (left - count)[:, None])
+    flat = np.flatnonzero(np.diff(hit.ravel().view(np.int8), prepend=np.int8(0)))  # the last column is empty
+    first, stop = flat[::2], flat[1::2]
+    which = first // hit.shape[1]
+    return np.stack([which, left[which] - (stop - 1) % hit.shape[1], stop - first], 1)

@@ -1,17 +1,19 @@
-"""Removal of byte strings that repeat anywhere in the corpus, found in a multi-document suffix order.
+"""Removal of byte strings that repeat anywhere in the corpus, by column-wise construction of suffix orders.
 
-Every start of a ``length``-byte string (a window) is dealt by a content key: the least hash of the ``gram``-byte strings in
-it. Equal windows have equal keys, so no match is lost, and runs of windows with one key travel as one segment. Keys that
-occur once can't repeat and are dropped after a count that aggregates before its shuffle (a segment that holds its key's
-gram twice, as in a periodic text, counts as two). Of the others, segments that
-occur twice as a whole are covered as a whole; only distinct segments that share a key are cut out of the texts, dealt
-again by longer grams and then, in buckets of bounded size, go through the column-wise construction of the
-Burrows-Wheeler transform and common prefixes (``bcr``), which decides on every window left. A key whose distinct segments
-exceed a bucket is dealt on by whole windows, so no group, however frequent its passage, meets in one task.
+Every start of a ``length``-byte string (a window) is dealt by a content key: of the places in it where a core of ``core``
+bytes fits, the first with the least hash of eight bytes begins its core, and the core's hash is the key. Equal windows have
+equal cores at equal distances, so no match is lost, and the windows of one core travel as one segment. Keys that occur once
+can't repeat and are dropped. The segments of the others are cut out of the texts and dealt by key to buckets of bounded
+size, where the column-wise construction of the Burrows-Wheeler transform and common prefixes (``bcr``) inserts one symbol of
+every segment a round, aligned by their cores, and decides on every window by the bytes it shares with its neighbours. Hashes
+deal the work only.
+
+A key whose segments exceed a bucket (a very frequent passage) is not gathered in one task: its segments are grouped by their
+bytes, in salted parts first, which covers those that repeat as a whole, and one of each kind goes on to the next longer
+core. The last core is a whole window, where grouping by bytes decides all.
 
 Strings are judged on the input, overlaps count, and matches never cross documents. Texts are shuffled twice by document,
-to cut the open segments out and to remove what is covered; everything between is positions, hashes and what was cut
-out. What a phase staged or shuffled is dropped before the next one.
+to cut segments out and to remove what is covered. What a phase staged or shuffled is dropped before the next one.
 
 Defined results: a null text counts as empty; a text shorter than ``length`` has no window. Rows that repeat id and text are
 different places, so both lose their windows. Rows that share an id but not the text are told apart by a hash of the text.
@@ -23,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,16 @@ from loomspan.llm.common import drop, staged, table
 from loomspan.llm.wordhash import buffers, mix, slices
 
 LENGTH = 200
-GRAMS = (64, 160, 200)
-BUCKET_BYTES = 1 << 20
+CORES = (64, 160, 200)
+BUCKET_BYTES = 4 << 20
 PIECE = 1 << 15
-_A, _B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_B_INVERSE = pow(_B, -1, 2**64)
+_ORDER = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_PLACE = np.uint64(0xFFFF)
 _TABLES: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _table(base: int, size: int) -> np.ndarray:
+def _powers(base: int, size: int) -> np.ndarray:
     if (base, size) not in _TABLES:
         p = np.full(size, base, np.uint64)
         p[0] = 1
@@ -49,245 +51,197 @@ def _table(base: int, size: int) -> np.ndarray:
     return _TABLES[base, size]
 
 
-def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of every ``gram`` consecutive bytes, by doubling."""
-    h, size = raw.astype(np.uint64) + np.uint64(1), 1
-    out, have, power = None, 0, _A
-    while True:
-        if gram & size:
-            n = len(raw) - gram + 1
-            part = h[have : have + n]
-            out = part if out is None else out * np.uint64(power) + part
-            have += size
-        if have == gram:
-            return mix(out)
-        h = h[:-size] * np.uint64(power) + h[size:]
-        power, size = power * power % 2**64, size * 2
-
-
-def _sliding(x: np.ndarray, w: int, best: np.ufunc, pad: int) -> np.ndarray:
-    """Minima or maxima of every ``w`` consecutive values, from those of blocks."""
-    n = len(x) - w + 1
-    grid = np.full(-(-len(x) // w) * w, np.uint64(pad))
-    grid[: len(x)] = x
-    grid = grid.reshape(-1, w)
-    ahead = best.accumulate(grid, axis=1).ravel()
-    back = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(back[:n], ahead[w - 1 : w - 1 + n])
-
-
-def _loops(grams: np.ndarray, least: np.ndarray, s: np.ndarray, e: np.ndarray, w: int) -> np.ndarray:
-    """Segments that hold their key's gram twice: only in these may a window repeat within the segment."""
-    out = np.zeros(len(s), bool)
-    if w == 1:
-        return out
-    edge = np.zeros(w - 1, np.uint64)
-    chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum, 0) == grams)
-    lo, hi = np.searchsorted(chosen, s), np.searchsorted(chosen, e + w - 1)
-    count = np.zeros(len(s), np.int64)
-    for k in range(int((hi - lo).max())):
-        at = np.minimum(lo + k, len(chosen) - 1)
-        count += (lo + k < hi) & (grams[chosen[at]] == least[s])
-    return count > 1
-
-
-Found = tuple[np.ndarray, ...]  # row, key, start in the row, number of windows, loop flag, content hash
-
-
-def _segments(raw: np.ndarray, off: np.ndarray, length: int, gram: int, content: bool) -> Iterator[Found]:
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minima of every ``w`` consecutive values, by doubling."""
+    n, size = len(x) - w + 1, 1
+    while size * 2 <= w:
+        x, size = np.minimum(x[:-size], x[size:]), size * 2
+    return np.minimum(x[:n], x[w - size : w - size + n]) if size < w else x
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # row, key, start in the row, windows, bytes before the core
+
+
+def _segments(raw: np.ndarray, off: np.ndarray, length: int, core: int) -> Iterator[Found]:
     """The segments of all rows that ``off`` cuts ``raw`` into, a bounded number of bytes at a time."""
-    w = length - gram + 1
+    w, size = length - core + 1, PIECE + length
+    gram = min(8, core)
     for i, j in slices(off, PIECE):
         for a in range(int(off[i]), int(off[j]) - length + 1, PIECE):
             part = raw[a : min(a + PIECE + length - 1, int(off[j]))]
-            grams = least = _gram_hashes(part, gram)
-            if w > 1:
-                least = _sliding(grams, w, np.minimum, 2**64 - 1)
-            inside = np.ones(len(least), bool)  # windows that don't reach into the next row
+            n = len(part)
+            # The order of places by a hash of the bytes there; the low bits hold the place itself, so the first least one wins.
+            word = np.ndarray((n,), "<u8", part.tobytes() + bytes(8), 0, (1,)) << np.uint64(64 - 8 * gram)
+            rank = ((word * _ORDER) & ~_PLACE)[: n - core + 1]
+            rank |= np.arange(len(rank), dtype=np.uint64)
+            at = (_sliding_min(rank, w) & _PLACE).astype(np.int64)
+            inside = np.ones(len(at), bool)  # windows that don't reach into the next row
             for end in (off[i + 1 : j + 1] - a).tolist():
                 inside[max(0, end - length + 1) : max(0, end)] = False
-            new = np.flatnonzero((least[1:] != least[:-1]) | (inside[1:] != inside[:-1])) + 1
-            s = np.append(0, new)
-            e = np.append(new, len(least))
+            new = np.flatnonzero((at[1:] != at[:-1]) | (inside[1:] != inside[:-1])) + 1
+            s, e = np.append(0, new), np.append(new, len(at))
             s, e = s[inside[s]], e[inside[s]]
             if not len(s):
                 continue
-            if (e - s).max() > w:  # a periodic text: cut long runs
-                times = -(-(e - s) // w)
-                first = np.repeat(s, times)
-                s = first + w * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-                e = np.minimum(s + w, np.repeat(e, times))
-            hashes = []
-            if content:  # by another base than the grams' hashes
-                total = np.zeros(len(part) + 1, np.uint64)
-                size = PIECE + length
-                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table(_B, size)[: len(part)], out=total[1:])
-                hashes.append(mix((total[e + length - 1] - total[s]) * _table(_B_INVERSE, size)[s]))
+            at = at[s]
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[:n], out=total[1:])
+            key = mix((total[at + core] - total[at]) * _powers(pow(_BASE, -1, 2**64), size)[at])
             row = np.searchsorted(off, s + a, "right") - 1
-            yield row, least[s], s + a - off[row], e - s, _loops(grams, least, s, e, w), *hashes
+            yield row, key, s + a - off[row], e - s, at - s
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _columns(found: Iterator[Found], batch: pa.RecordBatch, base: np.ndarray | None = None) -> Iterator[tuple[list[pa.Array], Found]]:
+    for row, m, s, c, before in found:
+        at = pa.array(row)
+        start = s if base is None else base[row] + s
+        yield [pa.array(m.view(np.int64)), batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(start.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(before.astype(np.int32))], (row, m, s, c, before)
 
 
-def _key_reader(length: int, gram: int):
+SEGMENT = "m long, doc_id long, th long, start long, cnt int, ahead int"
+NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
+CUT = f"{SEGMENT}, text binary"
+
+
+def _reader(length: int, core: int):
+    """The places of the segments of texts."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for _, m, _, _, loop in _segments(*buffers(batch.column("text")), length, gram, False):
-                found += [m, m[loop]]  # a loop counts as a second occurrence
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_long(keys), pa.array(n.astype(np.int64))], names=["m", "n"])
+            for columns, _ in _columns(_segments(*buffers(batch.column("text")), length, core), batch):
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
     return read
 
 
-NAMES = ["m", "h", "doc_id", "th", "base", "start", "cnt", "loop", "single"]
-SEGMENT = "m long, h long, doc_id long, th long, base long, start long, cnt int, loop boolean, single boolean"
-CUT = "m long, h long, doc_id long, th long, base long, loop boolean, single boolean, bytes long, text binary"
-CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())
-CUT_BYTES = 4 << 20
-
-
-def _segment_reader(length: int, gram: int):
-    """The segments of texts, or of strings that were cut out of texts at ``base``."""
+def _again(length: int, core: int):
+    """The segments, with their bytes, of strings that were cut out of texts at ``start``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base = batch.column("base").to_numpy()
-            for row, m, s, c, loop, h in _segments(*buffers(batch.column("text")), length, gram, True):
-                at = pa.array(row)
-                doc_id, th, single = (batch.column(x).take(at) for x in ("doc_id", "th", "single"))
-                yield pa.RecordBatch.from_arrays([_long(m), _long(h), doc_id, th, pa.array(base[row]), pa.array(base[row] + s), pa.array(c.astype(np.int32)), pa.array(loop), single], names=NAMES)
+            raw, off = buffers(batch.column("text"))
+            text = raw.tobytes()
+            for columns, (row, _, s, c, _) in _columns(_segments(raw, off, length, core), batch, batch.column("start").to_numpy()):
+                a = off[row] + s
+                parts = [text[x:y] for x, y in zip(a.tolist(), (a + c + length - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], names=[*NAMES, "text"])
 
     return read
 
 
 def _cutter(length: int):
-    """Cut the wanted segments out of the strings."""
-    names = [x.split()[0] for x in CUT.split(", ")]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CUT_TYPES, strict=True)], names=names)
+    """Cut the wanted segments out of the texts, a bounded number at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
-            rows, size = [], 0
-            for i, (doc_id, th, base, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "base", "wanted")), strict=True)):
-                for x in wanted:
-                    a = off[i] + x["start"] - base
-                    part = raw[a : a + x["cnt"] + length - 1].tobytes()
-                    rows.append((x["m"], x["h"], doc_id, th, x["start"], x["loop"], x["single"], x["bytes"], part))
-                    size += len(part)
-                    if size >= CUT_BYTES:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
+            wanted = batch.column("wanted")
+            row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            flat = wanted.flatten()
+            start, cnt = flat.field("start").to_numpy(), flat.field("cnt").to_numpy()
+            text = raw.tobytes()
+            for k in range(0, len(row), PIECE):
+                rows, piece = row[k : k + PIECE], flat.slice(k, PIECE)
+                a = off[rows] + start[k : k + PIECE]
+                parts = [text[x:y] for x, y in zip(a.tolist(), (a + cnt[k : k + PIECE] + length - 1).tolist(), strict=True)]
+                at = pa.array(rows)
+                columns = [piece.field("m"), batch.column("doc_id").take(at), batch.column("th").take(at), *(piece.field(c) for c in ("start", "cnt", "ahead")), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*NAMES, "text"])
 
     return cut
 
 
-def _cut(source: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """The bytes of ``opened`` segments, which lie in the strings of ``source`` (doc_id, th, base, text)."""
-    place = ("doc_id", "th", "base")
-    wanted = opened.groupBy(*[F.col(c).alias(f"__{c}") for c in place]).agg(F.collect_list(F.struct("m", "h", "start", "cnt", "loop", "single", "bytes")).alias("wanted"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("base") == F.col("__base"))
-    return source.join(wanted, same).select(*place, "text", "wanted").mapInArrow(_cutter(length), CUT)
-
-
-def _symbols(rows: pd.DataFrame, gram: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Segments as symbols: their key's gram, which all windows of a segment hold, is one symbol of ``gram`` bytes.
-
-    Where a segment of a key holds that gram twice, the key's segments stay bytes."""
-    cores: dict[bytes, int] = {}
-    strings = []
-    plain = rows.groupby("m")["loop"].transform("any").to_numpy(bool)
-    for seg, m, raw in zip(rows["seg"], rows["m"].to_numpy(np.int64).view(np.uint64), plain, strict=True):
-        text = np.frombuffer(seg, np.uint8)
-        if raw:
-            strings.append(text)
-            continue
-        at = int(np.flatnonzero(_gram_hashes(text, gram) == m)[0])
-        core = cores.setdefault(seg[at : at + gram], 256 + len(cores))
-        strings.append(np.concatenate([text[:at].astype(np.int64), [core], text[at + gram :]]))
-    return strings, np.append(np.ones(256, np.int64), np.full(len(cores), gram))
-
-
-def _bucket(length: int, gram: int):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        """Covered spans of the single segments of one bucket. Windows start at the key's gram or before, at a byte."""
-        rows = rows.sort_values(["m", "h", "doc_id", "th", "base"], ignore_index=True)
-        strings, weight = _symbols(rows, gram)
-        found = shared_windows(strings, length, weight)
-        found = found[rows["single"].to_numpy(bool)[found[:, 0]]] if len(found) else found
-        if not len(found):
-            return pd.DataFrame({"doc_id": pd.array([], "Int64"), **{c: pd.array([], "int64") for c in ("th", "start", "stop")}})
-        new = np.flatnonzero(np.append(True, (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 1)))
-        last = np.append(new[1:], len(found)) - 1
-        which = found[new, 0]
-        at = rows["base"].to_numpy()[which]
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy()[which], "th": rows["th"].to_numpy()[which], "start": at + found[new, 1], "stop": at + found[last, 1] + length})
+SPAN = "doc_id long, th long, start long, stop long"
+
+
+def _bucket(length: int, core: int):
+    def search(group: pa.Table) -> pa.Table:
+        """Covered spans of the segments of one bucket."""
+        group = group.combine_chunks()
+        found = shared_windows(group["text"].to_pylist(), group["ahead"].to_numpy(), group["cnt"].to_numpy(), length, core)
+        at = pa.array(found[:, 0])
+        start = group["start"].to_numpy()[found[:, 0]] + found[:, 1]
+        columns = [group["doc_id"].take(at), group["th"].take(at), pa.array(start), pa.array(start + found[:, 2] + length - 1)]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SPAN.split(", ")])
 
     return search
 
 
-SPAN = "doc_id long, th long, start long, stop long"
+def _decided(segments: DataFrame, total: int, length: int, core: int, bucket_bytes: int) -> DataFrame:
+    """Covered spans of segments whose keys fit into buckets."""
+    buckets = max(1, -(-total // bucket_bytes))
+    dealt = segments.select("doc_id", "th", "start", "cnt", "ahead", "text", F.pmod(F.xxhash64("m"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(_bucket(length, core), SPAN)
 
 
-def _decide(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged: spans of single segments that repeat as a whole; the kinds of segments; and of these, lazily, one place of
-    each that stays open. A segment that isn't single is known to be covered and only serves as a partner."""
-    kind = ["m", "h", "cnt"]
-    kinds = staged(segments.groupBy(kind).agg(F.count("*").alias("copies"), F.max("loop").alias("loop"), F.min(F.struct("doc_id", "th", "base", "start", "single")).alias("at")))
-    whole = segments.where("single").join(kinds.where("copies > 1").select(kind), kind)
-    spans = staged(whole.select("doc_id", "th", "start", (F.col("start") + F.col("cnt") + F.lit(length - 1)).alias("stop")))
-    alone = F.expr("copies = 1 AND at.single")
-    keys = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max(alone.cast("int")).alias("any"), F.max((alone & F.col("loop")).cast("int")).alias("loops"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes"))
-    keys = keys.where("kinds > 1 AND any = 1 OR loops = 1").select("m", "bytes")
-    opened = kinds.join(keys, "m").select(*kind, "loop", "bytes", "at.doc_id", "at.th", "at.base", "at.start", alone.alias("single"))
-    return spans, kinds, opened
+def _copies(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Staged, of segments (with ``salts``, the parts their key is dealt to) grouped by their bytes: spans of those that
+    repeat as a whole, and one segment of each kind. Parts are bounded; a second grouping sees one row for each part."""
+    place = F.struct("doc_id", "th", "start")
+    salt = F.pmod(F.xxhash64("doc_id", "th", "start"), F.col("salts"))
+    kind = ["m", "text", "cnt", "ahead"]
+    parts = staged(segments.groupBy(*kind, salt.alias("salt")).agg(F.collect_list(place).alias("places")))
+    alone = F.when(F.size("places") == 1, F.get("places", F.lit(0)))
+    kinds = staged(parts.groupBy(*kind).agg(F.sum(F.size("places")).alias("n"), F.collect_list(alone).alias("alone"), F.min(F.get("places", F.lit(0))).alias("at")))
+    both = parts.where("size(places) > 1").select("cnt", F.explode("places").alias("p")).unionByName(kinds.where("n > 1").select("cnt", F.explode("alone").alias("p")))
+    spans = staged(both.select("p.doc_id", "p.th", "p.start", (F.col("p.start") + F.col("cnt") + F.lit(length - 1)).alias("stop")))
+    rest = staged(kinds.select("at.doc_id", "at.th", "at.start", "text"))
+    drop(segments.sparkSession, parts, kinds)
+    return spans, rest
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+
+
+def _keys(segments: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
+    """m and salts (parts of at most a bucket's bytes) of every key that occurs more than once."""
+    sized = segments.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.col("cnt") + F.lit(length - 1)).alias("bytes")).where("n > 1")
+    return sized.select("m", "bytes", F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("salts"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, cores: tuple[int, ...] = CORES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, th (hash of the text), start, stop: spans that cover every byte in a string of ``length`` bytes that starts at
     two places."""
     spark = docs.sparkSession
-    source = _places(docs).select("doc_id", "th", F.lit(0).cast("long").alias("base"), F.lit(True).alias("single"), F.col("text").cast("binary").alias("text"))
-    keys = source.select("text").mapInArrow(_key_reader(length, grams[0]), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
-    repeated = staged(source.mapInArrow(_segment_reader(length, grams[0]), SEGMENT).drop("base", "single").join(keys, "m"))
-    drop(spark)
-    segments = repeated.withColumns({"base": F.lit(0).cast("long"), "single": F.lit(True)})
-    covered, kinds, opened = _decide(segments, length)
-    spans = [covered]
-    drop(spark, repeated)
-    source = staged(_cut(source, opened, length))
-    drop(spark, kinds)
-
-    for level, gram in enumerate(grams[1:], 1):
-        segments = staged(source.select("doc_id", "th", "base", "single", "text").mapInArrow(_segment_reader(length, gram), SEGMENT))
-        covered, kinds, opened = _decide(segments, length)
+    texts = _places(docs)
+    segments = staged(texts.mapInArrow(_reader(length, cores[0]), SEGMENT))
+    keys = staged(_keys(segments, length, bucket_bytes))
+    repeated = staged(segments.join(keys.select("m", "salts"), "m"))
+    drop(spark, segments)
+    wanted = repeated.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+
+    def cut(some: str) -> DataFrame:
+        lists = wanted.agg(F.collect_set(F.when(F.expr(some), F.struct(*[c for c in NAMES if c not in ("doc_id", "th")]))).alias("wanted")).where("size(wanted) > 0")
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+        return texts.join(lists, same).select("doc_id", "th", "text", "wanted").mapInArrow(_cutter(length), CUT)
+
+    total, hot = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
+    spans = []
+    if total:
+        spans.append(staged(_decided(cut("salts = 1"), total, length, cores[0], bucket_bytes)))
+        drop(spark)
+    level = 0
+    strings = staged(cut("salts > 1").join(keys.select("m", "salts"), "m")) if (hot or 0) > 1 else None
+    drop(spark, repeated, keys)
+    while strings is not None:
+        covered, kinds = _copies(strings, length)
         spans.append(covered)
-        cut = staged(_cut(source.select("doc_id", "th", "base", "text"), opened, length))
-        drop(spark, segments, kinds, source)
-        fits = cut.where(F.col("bytes") <= bucket_bytes)
-        total = fits.agg(F.sum(F.length("text"))).first()[0] or 0
-        if total:
-            bucket = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
-            found = fits.select("m", "h", "doc_id", "th", "base", "loop", "single", F.col("text").alias("seg"), bucket).groupBy("bucket").applyInPandas(_bucket(length, gram), SPAN)
-            spans.append(staged(found))
-        source = cut.where(F.col("bytes") > bucket_bytes)
-        if level + 1 == len(grams) or source.isEmpty():
-            drop(spark, cut)
+        drop(spark, strings)
+        strings, level = None, level + 1
+        if level == len(cores):
             break
-        source = staged(source)
-        drop(spark, cut)
+        again = staged(kinds.mapInArrow(_again(length, cores[level]), CUT))
+        keys = staged(_keys(again, length, bucket_bytes))
+        total, hot = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
+        both = again.join(keys.select("m", "salts"), "m")
+        if total:
+            spans.append(staged(_decided(both.where("salts = 1"), total, length, cores[level], bucket_bytes)))
+        if (hot or 0) > 1:
+            strings = staged(both.where("salts > 1"))
+        drop(spark, again, keys, kinds)
+    if not spans:
+        return spark.createDataFrame([], SPAN)
     out = spans[0]
     for x in spans[1:]:
         out = out.unionByName(x)
@@ -328,7 +282,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``, with the kept bytes if ``texts``."""
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     rows = _places(docs).join(spans, same, "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

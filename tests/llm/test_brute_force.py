@@ -27,13 +27,29 @@ def real(spark, sf):
 
 
 def test_shared_windows():
+    """Strings with a common core at chosen places: every window that occurs in two of them is found, and no other."""
     rng = random.Random(1)
     for _ in range(300):
-        n = rng.randint(1, 6)
-        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 8))]
-        seen = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
-        want = [[j, i] for j, s in enumerate(strings) for i in range(len(s) - n + 1) if seen[s[i : i + n]] > 1]
-        assert bcr.shared_windows([np.frombuffer(s, np.uint8) for s in strings], n).tolist() == want
+        core, side = rng.randint(1, 12), rng.randint(0, 40)
+        length = core + side
+        middles = [bytes(rng.choice(b"ab") for _ in range(core)) for _ in range(rng.randint(1, 3))]
+        around = [bytes(rng.choice(b"ab") for _ in range(side)) for _ in range(3)]
+        strings, left, count = [], [], []
+        for _ in range(rng.randint(0, 9)):
+            far = rng.randint(0, side)  # windows start from far to near bytes before the core
+            near = rng.randint(0, far)
+            ahead = bytearray(rng.choice(around)[side - far :])
+            behind = bytearray(rng.choice(around)[: side - near])
+            for part in (ahead, behind):
+                if part and rng.random() < 0.4:
+                    part[rng.randrange(len(part))] = 99
+            strings.append(bytes(ahead) + rng.choice(middles) + bytes(behind))
+            left.append(far)
+            count.append(far - near + 1)
+        seen = Counter((left[i] - j, s[j : j + length]) for i, s in enumerate(strings) for j in range(count[i]))
+        want = [(i, j) for i, s in enumerate(strings) for j in range(count[i]) if seen[left[i] - j, s[j : j + length]] > 1]
+        found = bcr.shared_windows(strings, np.array(left, np.int32), np.array(count, np.int32), length, core)
+        assert sorted((i, j) for i, a, n in found.tolist() for j in range(a, a + n)) == want
 
 
 def repeats(docs, n):
@@ -49,14 +65,14 @@ def repeats(docs, n):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1 << 20, 300])
+@pytest.mark.parametrize("bucket", [1 << 20, 300, 40])
 def test_substring_dedup(spark, bucket):
     rng = random.Random(3)
     base = [bytes(rng.choice(b"abc") for _ in range(60)) for _ in range(4)]
     docs = [(i, b"".join(rng.choice(base)[rng.randrange(30) :][: rng.randrange(40)] + bytes(rng.choice(b"abcdefghij") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(6)))) for i in range(60)]
     docs += [(100, b"a" * 300), (101, b""), (102, "äöü".encode() * 9), (103, b"abcd" * 5)]
     df = spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id long, text string")
-    got = substring_dedup.remove_repeats(df, length=12, grams=(5, 9, 12), bucket_bytes=bucket).collect()
+    got = substring_dedup.remove_repeats(df, length=12, cores=(5, 9, 12), bucket_bytes=bucket).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeats(docs, 12)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
@@ -65,7 +81,7 @@ def test_substring_dedup_same_id(spark):
     """Rows of one id and different texts, or of the same text, are places of their own."""
     a, b = "abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST"
     rows = [(1, a + "x" + b), (1, a + "yz"), (2, "0123456789" + b), (3, "u" + a[:12] + "v"), (4, "only once in here"), (4, "only once in here"), (None, b + "-")]
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=12, grams=(5, 9, 12)).collect()
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=12, cores=(5, 9, 12)).collect()
     want = repeats([(k, t.encode()) for k, (_, t) in enumerate(rows)], 12)
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values())
 
