@@ -35,8 +35,9 @@ from loomspan.llm.wordhash import buffers, mix, slices
 
 LENGTH = 200
 CORES = (64, 160, 200)
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 PIECE = 1 << 15
+TEXT_BYTES = 1 << 22
 _ORDER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64(0xFFFF)
@@ -100,7 +101,8 @@ def _columns(found: Iterator[Found], batch: pa.RecordBatch, base: np.ndarray | N
 
 SEGMENT = "m long, doc_id long, th long, start long, cnt int, ahead int"
 NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
-CUT = f"{SEGMENT}, text binary"
+CUT = f"{SEGMENT}, salts int, text binary"
+AGAIN = f"{SEGMENT}, text binary"
 
 
 def _reader(length: int, core: int):
@@ -130,23 +132,25 @@ def _again(length: int, core: int):
 
 
 def _cutter(length: int):
-    """Cut the wanted segments out of the texts, a bounded number at a time."""
+    """Cut the wanted segments out of the texts, a bounded number of bytes and of segments at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
             wanted = batch.column("wanted")
-            row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            ends = np.append(0, np.cumsum(wanted.value_lengths().to_numpy()))
             flat = wanted.flatten()
             start, cnt = flat.field("start").to_numpy(), flat.field("cnt").to_numpy()
-            text = raw.tobytes()
-            for k in range(0, len(row), PIECE):
-                rows, piece = row[k : k + PIECE], flat.slice(k, PIECE)
-                a = off[rows] + start[k : k + PIECE]
-                parts = [text[x:y] for x, y in zip(a.tolist(), (a + cnt[k : k + PIECE] + length - 1).tolist(), strict=True)]
-                at = pa.array(rows)
-                columns = [piece.field("m"), batch.column("doc_id").take(at), batch.column("th").take(at), *(piece.field(c) for c in ("start", "cnt", "ahead")), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*NAMES, "text"])
+            for i, j in slices(off, TEXT_BYTES):
+                text = raw[off[i] : off[j]].tobytes()
+                row = np.repeat(np.arange(i, j), np.diff(ends[i : j + 1]))
+                for k in range(0, len(row), PIECE):
+                    at, rows = ends[i] + k, row[k : k + PIECE]
+                    a = off[rows] - off[i] + start[at : at + len(rows)]
+                    parts = [text[x:y] for x, y in zip(a.tolist(), (a + cnt[at : at + len(rows)] + length - 1).tolist(), strict=True)]
+                    piece, rows = flat.slice(at, len(rows)), pa.array(rows)
+                    columns = [piece.field("m"), batch.column("doc_id").take(rows), batch.column("th").take(rows), *(piece.field(c) for c in ("start", "cnt", "ahead", "salts")), pa.array(parts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*NAMES, "salts", "text"])
 
     return cut
 
@@ -209,37 +213,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cores: tuple[int, ...]
     keys = staged(_keys(segments, length, bucket_bytes))
     repeated = staged(segments.join(keys.select("m", "salts"), "m"))
     drop(spark, segments)
-    wanted = repeated.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-
-    def cut(some: str) -> DataFrame:
-        lists = wanted.agg(F.collect_set(F.when(F.expr(some), F.struct(*[c for c in NAMES if c not in ("doc_id", "th")]))).alias("wanted")).where("size(wanted) > 0")
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-        return texts.join(lists, same).select("doc_id", "th", "text", "wanted").mapInArrow(_cutter(length), CUT)
-
-    total, hot = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
-    spans = []
-    if total:
-        spans.append(staged(_decided(cut("salts = 1"), total, length, cores[0], bucket_bytes)))
-        drop(spark)
-    level = 0
-    strings = staged(cut("salts > 1").join(keys.select("m", "salts"), "m")) if (hot or 0) > 1 else None
-    drop(spark, repeated, keys)
-    while strings is not None:
-        covered, kinds = _copies(strings, length)
-        spans.append(covered)
-        drop(spark, strings)
-        strings, level = None, level + 1
-        if level == len(cores):
-            break
-        again = staged(kinds.mapInArrow(_again(length, cores[level]), CUT))
-        keys = staged(_keys(again, length, bucket_bytes))
+    place = F.struct("m", "start", "cnt", "ahead", "salts")
+    wanted = repeated.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set(place).alias("wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    # The segments of a text overlap, so that those of one text compress well next to each other.
+    cut = staged(texts.join(wanted, same).select("doc_id", "th", "text", "wanted").mapInArrow(_cutter(length), CUT), "zstd")
+    drop(spark, repeated)
+    spans: list[DataFrame] = []
+    for level, core in enumerate(cores):
         total, hot = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
-        both = again.join(keys.select("m", "salts"), "m")
         if total:
-            spans.append(staged(_decided(both.where("salts = 1"), total, length, cores[level], bucket_bytes)))
-        if (hot or 0) > 1:
-            strings = staged(both.where("salts > 1"))
-        drop(spark, again, keys, kinds)
+            spans.append(staged(_decided(cut.where("salts = 1"), total, length, core, bucket_bytes)))
+            drop(spark)
+        if (hot or 0) < 2:
+            break
+        covered, kinds = _copies(cut.where("salts > 1"), length)
+        spans.append(covered)
+        drop(spark, cut, keys)
+        if level + 1 < len(cores):
+            segments = staged(kinds.mapInArrow(_again(length, cores[level + 1]), AGAIN), "zstd")
+            keys = staged(_keys(segments, length, bucket_bytes))
+            cut = staged(segments.join(keys.select("m", "salts"), "m"))
+            drop(spark, segments, kinds)
+    drop(spark, cut, keys)
     if not spans:
         return spark.createDataFrame([], SPAN)
     out = spans[0]
@@ -248,36 +244,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cores: tuple[int, ...]
     return out
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, off = buffers(batch.column("text"))
-        rows, kept = [], []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            part = raw[off[i] : off[i + 1]]
-            n_removed = n_spans = 0
-            if spans:
-                step = np.zeros(len(part) + 1, np.int64)
-                at = np.array([(x["start"], x["stop"]) for x in spans], np.int64)
-                at = np.minimum(at, len(part))
-                np.add.at(step, at[:, 0], 1)
-                np.add.at(step, at[:, 1], -1)
-                gone = np.cumsum(step)[:-1] > 0
-                n_removed = int(gone.sum())
-                n_spans = int((gone & ~np.append(False, gone[:-1])).sum())
-                part = part[~gone]
-            rest = part.tobytes()
-            kept.append(rest)
-            rows.append((int(off[i + 1] - off[i]), n_removed, n_spans, hashlib.sha256(rest).hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _remover(batches):
-        yield b.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _remover(texts: bool):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column("text"))
+            spans = batch.column("spans")
+            for i, j in slices(off, TEXT_BYTES):
+                rows, kept = [], []
+                for k in range(i, j):
+                    part = raw[off[k] : off[k + 1]]
+                    n_removed = n_spans = 0
+                    if spans[k].is_valid:
+                        at = spans[k].values
+                        step = np.zeros(len(part) + 1, np.int64)
+                        np.add.at(step, at.field("start").to_numpy(), 1)
+                        np.add.at(step, at.field("stop").to_numpy(), -1)
+                        gone = np.cumsum(step)[:-1] > 0
+                        n_removed = int(gone.sum())
+                        n_spans = int((gone & ~np.append(False, gone[:-1])).sum())
+                        part = part[~gone]
+                    rest = part.tobytes()
+                    if texts:
+                        kept.append(rest)
+                    rows.append((int(off[k + 1] - off[k]), n_removed, n_spans, hashlib.sha256(rest).hexdigest()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                columns += [pa.array(kept, pa.binary())] if texts else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(columns)])
+
+    return remove
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
@@ -286,7 +280,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     rows = _places(docs).join(spans, same, "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInArrow(_remover, f"{schema}, kept binary") if texts else rows.mapInArrow(_digests, schema)
+    return rows.mapInArrow(_remover(texts), f"{schema}, kept binary" if texts else schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
