@@ -178,18 +178,40 @@ def _decided(segments: DataFrame, total: int, length: int, core: int, bucket_byt
     return dealt.groupBy("bucket").applyInArrow(_bucket(length, core), SPAN)
 
 
+PART = f"{SPAN}, m long, text binary, n long"
+
+
+def _part(length: int):
+    def group(rows: pa.Table) -> pa.Table:
+        """Spans of the segments that repeat as a whole in this part, then (with text and n > 0) one segment of each kind."""
+        rows = rows.combine_chunks()
+        kinds: dict[bytes, list[int]] = {}
+        for i, x in enumerate(rows["text"].to_pylist()):
+            kinds.setdefault(x, []).append(i)
+        covered = [i for k in kinds.values() if len(k) > 1 for i in k]
+        at = pa.array(covered + [k[0] for k in kinds.values()], pa.int64())
+        n = [0] * len(covered) + [len(k) for k in kinds.values()]
+        text = pa.array([None] * len(covered) + list(kinds), pa.binary())
+        start = rows["start"].to_numpy()
+        stop = pa.array(start + rows["cnt"].to_numpy() + length - 1)
+        columns = [*(c.take(at) for c in (rows["doc_id"], rows["th"], rows["start"], stop, rows["m"])), text, pa.array(n, pa.int64())]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in PART.split(", ")])
+
+    return group
+
+
 def _copies(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Staged, of segments (with ``salts``, the parts their key is dealt to) grouped by their bytes: spans of those that
-    repeat as a whole, and one segment of each kind. Parts are bounded; a second grouping sees one row for each part."""
-    place = F.struct("doc_id", "th", "start")
-    salt = F.pmod(F.xxhash64("doc_id", "th", "start"), F.col("salts"))
-    kind = ["m", "text", "cnt", "ahead"]
-    parts = staged(segments.groupBy(*kind, salt.alias("salt")).agg(F.collect_list(place).alias("places")))
-    alone = F.when(F.size("places") == 1, F.get("places", F.lit(0)))
-    kinds = staged(parts.groupBy(*kind).agg(F.sum(F.size("places")).alias("n"), F.collect_list(alone).alias("alone"), F.min(F.get("places", F.lit(0))).alias("at")))
-    both = parts.where("size(places) > 1").select("cnt", F.explode("places").alias("p")).unionByName(kinds.where("n > 1").select("cnt", F.explode("alone").alias("p")))
-    spans = staged(both.select("p.doc_id", "p.th", "p.start", (F.col("p.start") + F.col("cnt") + F.lit(length - 1)).alias("stop")))
-    rest = staged(kinds.select("at.doc_id", "at.th", "at.start", "text"))
+    repeat as a whole, and one segment of each kind. Parts are bounded; a second grouping sees one row a kind of each part."""
+    salt = F.pmod(F.xxhash64("doc_id", "th", "start"), F.col("salts")).alias("salt")
+    parts = staged(segments.select("m", "doc_id", "th", "start", "cnt", "text", salt).groupBy("m", "salt").applyInArrow(_part(length), PART), "zstd")
+    kind = ["m", "text"]
+    some = parts.where("n > 0")
+    kinds = staged(some.groupBy(*kind).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("at")), "zstd")
+    alone = some.where("n = 1").join(kinds.where("n > 1").select(*kind), kind)
+    span = ["doc_id", "th", "start", "stop"]
+    spans = staged(parts.where("n = 0").select(span).unionByName(alone.select(span)))
+    rest = staged(kinds.select("at.doc_id", "at.th", "at.start", "text"), "zstd")
     drop(segments.sparkSession, parts, kinds)
     return spans, rest
 
