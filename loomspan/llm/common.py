@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[tuple[SparkSession, str, DataFrame]] = []
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests), a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset and Spark is one local process (tests), a
+    temporary one. A cluster without a shared folder can't stage anything that survives a lost machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -63,5 +67,21 @@ def release() -> None:
             continue
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key that holds more than one of so many of all rows is joined by a broadcast: there can't be more such keys than that.
+SHARES = 2000
+
+
+def skewed_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``groups`` for each key, which counts the key's rows in ``size``; these counts sum
+    up to ``total`` at most. The few frequent keys, at most ``SHARES``, are broadcast, so that no task gets all rows of one."""
+    often = F.col(size) * SHARES > total
+    heavy, light = F.broadcast(groups.where(often)), groups.where(~often)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on))

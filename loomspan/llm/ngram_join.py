@@ -8,9 +8,11 @@ in the first band it shares, and returns counts of links and a spanning forest o
 than a task is cut into blocks and each pair of blocks is a task; one with many blocks goes by bucket instead, each bucket
 in blocks of its own. So no group is collected whole, and no link between different texts is lost to a cap.
 
+A text goes by its id and a hash of it, so that different texts of one id, or of none, have classes and links of their own.
+
 Defined results: words are those of ``wordhash``; a text of one to four words is one n-gram; null and empty texts and texts
-without words are in no class but their own. Rows that share id and text are copies of each other. A null id takes part in
-no link and is its own class. An empty table gives an empty result.
+without words are in no class but their own. Rows that share id and text are copies of each other. Null ids come after all
+others; a class of null ids only has a null class_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import staged, table
+from loomspan.llm.common import free_name, skewed_join, staged, table
 from loomspan.llm.url_filter import components
 from loomspan.llm.wordhash import buffers, combine, mix, slices, words
 
@@ -83,7 +85,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-SIGNATURE = "doc_id long, s1 long, s2 long, grams long, bands array<long>"
+SIGNATURE = "doc_id long, th long, s1 long, s2 long, grams long, bands array<long>"
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -95,10 +97,10 @@ def _signer(size: int, bands: int, rows: int):
                 digests = [_set_hash(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i, j - i), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                        batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                         pa.array([len(x) for x in sets], pa.int64()), pa.array([band_hashes(x, bands, rows).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "s1", "s2", "grams", "bands"],
+                    names=["doc_id", "th", "s1", "s2", "grams", "bands"],
                 )
 
     return sign
@@ -111,25 +113,32 @@ def _set_hash(grams: np.ndarray) -> tuple[int, int] | tuple[None, None]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+NODE = ["none", "id", "th"]
+LINKS = "a_none boolean, a_id long, a_th long, b_none boolean, b_id long, b_th long, n long"
+
+
 def _linker(size: int, threshold: float):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        """Of the texts in one task: (a, null, links of a) and (a, b, 0) for a spanning forest of the links."""
+        """Of the texts in one task: (a, a null b, links of a) and (a, b, 0) for a spanning forest of the links."""
         only = int(rows["only"].iloc[0])  # the band that made the bucket, or -1
         cross = bool((rows["bi"] != rows["bj"]).iloc[0])
-        raw, off = buffers(pa.array(rows["text"], pa.large_string()))
-        sets = gram_sets(raw, off, size)
-        right = [_set_hash(x) == (a, b) for x, a, b in zip(sets, rows["s1"], rows["s2"], strict=True)]  # not another text of this id
-        rows = rows.assign(at=np.arange(len(rows)))[right].drop_duplicates("rep").sort_values("rep")
-        sets = [sets[i] for i in rows["at"]]
+        rows = rows.drop_duplicates(NODE).sort_values(NODE)
+        sets = gram_sets(*buffers(pa.array(rows["text"], pa.large_string())), size)
         n = len(sets)
-        empty = pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "n": pd.array([], "int64")})
+        ids = rows[NODE].reset_index(drop=True)
+
+        def ends(a: np.ndarray, b: np.ndarray | None, count: np.ndarray) -> pd.DataFrame:
+            one = ids.iloc[a].reset_index(drop=True).add_prefix("a_")
+            none = {c: pd.array([None] * len(a), "boolean" if c == "none" else "Int64") for c in NODE}
+            two = pd.DataFrame(none) if b is None else ids.iloc[b].reset_index(drop=True).astype({"none": "boolean", "id": "Int64", "th": "Int64"})
+            return pd.concat([one, two.add_prefix("b_"), pd.DataFrame({"n": count})], axis=1)
+
         if n < 2:
-            return empty
-        bands, block, ids = np.stack(rows["bands"].to_list()).astype(np.int64), rows["block"].to_numpy(), rows["rep"].to_numpy(np.int64)
+            return ends(np.zeros(0, int), None, np.zeros(0, np.int64))
+        bands, block = np.stack(rows["bands"].to_list()).astype(np.int64), rows["block"].to_numpy()
         sizes = np.array([len(x) for x in sets])
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        ends = np.cumsum(sizes)
-        own = [flat[e - k : e] for e, k in zip(ends, sizes, strict=True)]
+        own = [flat[e - k : e] for e, k in zip(np.cumsum(sizes), sizes, strict=True)]
         mark = np.zeros(int(flat.max()) + 1, bool)
         links, parent, forest = np.zeros(n, np.int64), list(range(n)), []
 
@@ -165,61 +174,92 @@ def _linker(size: int, threshold: float):
                         x, y = root(i), root(j)
                         if x != y:
                             parent[max(x, y)] = min(x, y)
-                            forest.append((ids[i], ids[j]))
+                            forest.append((i, j))
         some = np.flatnonzero(links)
-        out = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "n": links[some]})
-        tree = pd.DataFrame({"a": [x for x, _ in forest], "b": pd.array([y for _, y in forest], "Int64"), "n": 0})
-        return pd.concat([out, tree], ignore_index=True) if len(some) else empty
+        found = ends(some, None, links[some])
+        if not forest:
+            return found
+        one, two = np.array(forest).T
+        return pd.concat([found, ends(one, two, np.zeros(len(forest), np.int64))], ignore_index=True)
 
     return link
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, task_grams: int = TASK_GRAMS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links for every row of ``docs`` (doc_id, text).
+def _node(doc_id: str = "doc_id", th: str = "th") -> Column:
+    """What stands for a text: its id, null ones last, and its hash. It has no nulls inside and sorts by id."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(th).alias("th"))
 
-    class_id is the smallest id of the connected group of near duplicates, copy_id that of the texts with the same n-gram
-    set, n_links the number of other such sets that are similar enough."""
+
+def _classified(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, task_grams: int = TASK_GRAMS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, th, the smallest node of the same n-gram set and of the class (null without words) and n_links of every row;
+    and the (doc_id, th) that several rows with words share, if any."""
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     signed = staged(texts.mapInArrow(_signer(size, bands, rows), SIGNATURE))
-    copies = staged(signed.where("grams > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
+    repeats = staged(signed.where("grams > 0").groupBy("doc_id", "th").count().where("count > 1").select(_node().alias("node")))
+    repeats = None if repeats.isEmpty() else repeats
+    copies = staged(signed.where("grams > 0").groupBy("s1", "s2").agg(F.min(_node()).alias("node"), F.count("*").alias("n_copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
 
-    inside = copies.select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = staged(inside.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("v"), F.sum(F.lit(0)).alias("z")).where("n > 1").drop("z"))
-    stars = inside.join(buckets, ["band", "h"]).where("rep <> v").select(F.col("rep").alias("u"), "v")
+    inside = copies.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = staged(inside.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1"))
+    stars = inside.join(buckets, ["band", "h"]).where("node <> v").select(F.col("node").alias("u"), "v")
     near = components(stars)  # of candidates
-    members = staged(near.select(F.col("node").alias("rep"), "root").join(copies, "rep"))
+    members = staged(near.join(copies, "node"))
     total = members.groupBy("root").agg(F.sum("grams").alias("total")).withColumn("m", F.ceil(F.col("total") / task_grams).cast("int"))
     deal = max(1, -(-(members.agg(F.sum("grams")).first()[0] or 0) // task_grams))
     members = members.join(total, "root")
 
-    columns = ["rep", "s1", "s2", "bands", "key", "only", "m"]
+    columns = ["node", "bands", "key", "only", "m"]
     small = members.where(F.col("m") == 1).withColumn("key", F.pmod(F.xxhash64("root"), F.lit(deal))).withColumn("only", F.lit(-1)).select(columns)
     middle = members.where((F.col("m") > 1) & (F.col("m") <= most_blocks)).withColumn("key", F.xxhash64(F.lit("component"), "root")).withColumn("only", F.lit(-1)).select(columns)
     # By bucket, where a component is too large to ship each of its texts once for every other block.
-    large = members.where(F.col("m") > most_blocks).select("rep", "s1", "s2", "grams", "bands", F.posexplode("bands").alias("only", "h"))
+    large = members.where(F.col("m") > most_blocks).select("node", "grams", "bands", F.posexplode("bands").alias("only", "h"))
     weight = large.groupBy("only", "h").agg(F.sum("grams").alias("total"), F.count("*").alias("n")).where("n > 1").select("only", "h", F.ceil(F.col("total") / task_grams).cast("int").alias("m"))
     large = large.join(weight, ["only", "h"]).withColumn("key", F.xxhash64(F.lit("bucket"), "only", "h")).select(columns)
 
-    dealt = small.unionByName(middle).unionByName(large).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("m")).cast("int"))
+    dealt = small.unionByName(middle).unionByName(large).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")
     dealt = dealt.select("*", other).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("m", "o")
-    full = dealt.join(texts, dealt["rep"] == texts["doc_id"]).drop("doc_id")
-    found = staged(full.groupBy("key", "only", "bi", "bj").applyInPandas(_linker(size, threshold), "a long, b long, n long"))
+    whole = texts.select(_node().alias("node"), "text")
+    if repeats is not None:
+        whole = whole.join(repeats, "node", "left_anti").unionByName(whole.join(repeats, "node", "left_semi").dropDuplicates(["node"]))
+    full = dealt.join(whole, "node").select("node.*", "text", "bands", "block", "key", "only", "bi", "bj")
+    found = staged(full.groupBy("key", "only", "bi", "bj").applyInPandas(_linker(size, threshold), LINKS))
+    a, b = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in NODE]) for x in "ab")
+
+    links = found.where("b_id IS NULL").groupBy(a.alias("node")).agg(F.sum("n").alias("n_links"))
+    groups = components(found.where("b_id IS NOT NULL").select(a.alias("u"), b.alias("v")))
+    known = copies.select("s1", "s2", "node", "n_copies").join(links, "node", "left").join(groups, "node", "left")
+    known = staged(known.select("s1", "s2", "n_copies", "node", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    own = skewed_join(signed.where("grams > 0").select("doc_id", "th", "s1", "s2"), known, ["s1", "s2"], "n_copies", signed.count()).select("doc_id", "th", "node", "class", "n_links")
+    none = F.lit(None).cast(known.schema["node"].dataType)
+    return own.unionByName(signed.where("grams = 0").select("doc_id", "th", none.alias("node"), none.alias("class"), F.lit(0).cast("long").alias("n_links"))), repeats
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links for every row of ``docs`` (doc_id, text).
+
+    class_id is the smallest id of the connected group of near duplicates, copy_id that of the texts with the same n-gram
+    set, n_links the number of other such sets that are similar enough."""
+
+    def id_of(node: str) -> Column:
+        return F.when(F.col(node).isNull(), F.col("doc_id")).when(~F.col(f"{node}.none"), F.col(f"{node}.id"))
 
-    links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    groups = components(found.where("b IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "root")
-    known = copies.select("s1", "s2", "rep").join(links, "rep", "left").join(groups, "rep", "left")
-    return signed.join(known, ["s1", "s2"], "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("copy_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+    return _classified(docs, **options)[0].select("doc_id", id_of("class").alias("class_id"), id_of("node").alias("copy_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each group of near duplicates, with all their columns."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each group of near duplicates, with all its columns: that of the smallest id, of several texts of this id
+    the one of the smallest hash, and any one of rows that share both. Rows without words all stay."""
+    rows, repeats = _classified(docs, **options)
+    kept = rows.where("class IS NULL OR class = named_struct('none', doc_id IS NULL, 'id', coalesce(doc_id, 0L), 'th', th)").select(_node().alias("node")).distinct()
+    node, doc_id, th = (free_name(docs, x) for x in ("__node", "__doc_id", "__th"))
+    named = docs.withColumns({doc_id: F.col("doc_id").cast("long"), th: F.xxhash64("text")}).withColumn(node, _node(doc_id, th))
+    out = named.join(kept.withColumnRenamed("node", node), node, "left_semi")
+    if repeats is not None:
+        repeats = repeats.withColumnRenamed("node", node)
+        out = out.join(repeats, node, "left_anti").unionByName(out.join(repeats, node, "left_semi").dropDuplicates([node]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,21 @@ def test_ngram_join(spark, options):
     assert {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in got} == similar(docs)
 
 
+def test_ngram_join_shared_ids(spark):
+    """Different texts of one id, and texts without an id, keep links of their own; one row of a class stays."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (None, near(c)), (7, b), (7, b), (7, b), (8, "!"), (8, "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.copy_id or 0, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 2, 1), (3, 1, 3, 1), (0, 0, 0, 1), (0, 0, 0, 1), (7, 1, 1, 1), (7, 1, 1, 1), (7, 1, 1, 1), (8, 8, 8, 0), (8, 8, 8, 0)])
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(df).collect())
+    assert len(kept) == 5 and kept[1:] == [(1, a), (1, b), (8, "!"), (8, "!")] and kept[0] in ((0, c), (0, near(c)))
+    same = spark.createDataFrame([(5, a), (5, a), (5, a)], df.schema)
+    assert [tuple(r) for r in ngram_join.keep_one(same).collect()] == [(5, a)]
+
+
 def test_bands():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 96
