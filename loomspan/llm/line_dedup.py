@@ -2,11 +2,11 @@
 
 Every window is hashed to 128 bits; a window that occurs again later, in the order of (doc_id, line), is a repeat, and
 the union of the repeats' lines is removed. Windows travel as (hash, id, line): no text is shuffled to find repeats. The
-grouping aggregates before its shuffle; the join back on the hash is a sort-merge join that adaptive execution splits
-where one window is very frequent.
+grouping aggregates before its shuffle; in the join back on the hash the frequent windows, which are few, are broadcast.
 
 Defined results: a null or empty text has no window and stays as it is; so does a text of fewer than three lines. Rows
-that share doc_id and text count as one document and are treated alike; a null doc_id comes before all others. A document
+that share doc_id and text count as one document and are treated alike, those that share only doc_id are told apart by a hash
+of the text and come in its order; a null doc_id comes before all others. A document
 of which every line goes stays as a row of empty text. Lines are compared exactly, split at ``\n``.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import table
+from loomspan.llm.common import free_name, skewed_join, staged, table
 
 WINDOW = 3
 
@@ -43,10 +43,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             F.xxhash64(*[at(i, k)["b"] for k in range(window)]).alias("h2"),
         ))).alias("w"),
     ).select("doc_id", "th", "w.*")
-    place = F.struct("doc_id", "pos")
-    seen = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = windows.join(seen, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    return later.select("doc_id", "th", "pos")
+    place = F.struct("doc_id", "th", "pos")
+    seen = staged(windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    return skewed_join(windows, seen, ["h1", "h2"], "n", total).where(~same).select("doc_id", "th", "pos")
 
 
 @F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_lines", T.IntegerType()).add("n_removed", T.IntegerType()))
@@ -69,14 +70,17 @@ def _without(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines of repeated windows removed from text, and __n_lines, __n_removed."""
-    gone = repeated_windows(docs).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__pos"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__pos")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
-    joined = docs.join(gone, same, "left").withColumn("__x", _without("text", "__pos"))
-    keep = [F.col("__x.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*keep, F.col("__x.n_lines").alias("__n_lines"), F.col("__x.n_removed").alias("__n_removed"))
+def remove_repeated_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+    """``docs`` with the lines of repeated windows removed from text, and the numbers of lines before and of removed ones.
+
+    A text is filtered in one pass with a mask, however many of its lines go; Spark's own look-ups in arrays and maps would
+    take a pass for each line."""
+    i, h, pos, x = (free_name(docs, c) for c in ("__id", "__th", "__pos", "__x"))
+    gone = repeated_windows(docs).groupBy(F.col("doc_id").alias(i), F.col("th").alias(h)).agg(F.collect_set("pos").alias(pos))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    joined = docs.join(gone, same, "left").withColumn(x, _without("text", pos))
+    keep = [F.col(f"{x}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*keep, F.col(f"{x}.n_lines").alias(n_lines), F.col(f"{x}.n_removed").alias(n_removed))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

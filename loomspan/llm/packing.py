@@ -27,6 +27,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark import TaskContext
 from tokenizers import Tokenizer
 
 from loomspan.llm.common import staged, table
@@ -96,6 +97,7 @@ def _cutter(path: str, capacity: int, piece: int):
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -105,9 +107,10 @@ def _cutter(path: str, capacity: int, piece: int):
                 whole = n - n % capacity
                 fine = zlib.crc32(ids) % FINE == 0
                 cuts = [*range(0, whole, capacity), *(whole + x for x in rest_cuts(n - whole, piece, fine)), n]
-                rows += [(doc_id, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n) for a, b in zip(cuts, cuts[1:], strict=False)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(doc_id, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n, row) for a, b in zip(cuts, cuts[1:], strict=False)]
+                row += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
     return cut
 
@@ -174,11 +177,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, windows:
     """One row for each piece of each row of ``docs`` (doc_id, text): where its ids lie in which sequence."""
     path = path or public_tokenizers.path(TOKENIZER)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, capacity, piece), schema))
+    pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, capacity, piece), f"{schema}, row long"))
     rest = pieces.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(rest / (windows * capacity)))
-    # The crc spreads rows that repeat one id over groups.
-    part = F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)).alias("part")
+    # Rows that repeat id and text spread over groups too: the table is written once, with the number of each row.
+    part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).alias("part")
     out = f"{schema}, sequence_id long, offset long"
     return pieces.select("*", part).groupBy("part").applyInPandas(_packer(capacity), out)
 

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from loomspan.llm import bcr, decontaminate, html_text, language, ngram_join, packing, pii, substring_dedup, url_filter
+from loomspan.llm import bcr, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -296,3 +296,27 @@ def test_url_aliases(spark):
         1: ("a.org", "/x", None, "block"), 2: ("b.org", "/y", None, "block"), 3: ("b.org", "/z", None, "block"), 4: ("c.org", "/", None, "allow"), 5: ("c.org", "/rel/x", None, "allow"),
         8: ("foo.example.com", "/en/a", "example.com/en/", "block"), 9: ("q.org", "", None, "allow"), 10: ("www.example.com", "/en/3", "www.example.com/en/", "allow"),
     }
+
+
+def test_packing_of_one_text(spark):
+    """Rows of one id and text are dealt to several groups."""
+    df = spark.createDataFrame([(1, "the same words again " * 100)] * 900, "doc_id long, text string")
+    got = packing.pack(df, windows=8).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 5
+    assert sum(r.length for r in got) == 900 * got[0].doc_tokens
+
+
+def test_line_dedup_shared_ids(spark):
+    """Different texts of one id are different documents: the window that both begin with stays in one of them."""
+    same = "a\nb\nc\n"
+    rows = [(1, same + "x"), (1, same + "y"), (1, same + "y"), (2, "c\n" + same)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["__n_removed"] for r in got) in ([0, 0, 3, 3], [0, 3, 3, 3])
+    assert {r.text for r in got if r.doc_id == 2} == {"c\n"}
+
+
+def test_exact_dedup(spark):
+    rows = [(3, "a b"), (1, "ab "), (2, " a  b"), (4, None), (5, "\t\x0b"), (6, "\xa0ab"), (7, "ab "), (None, "ab")]
+    for few in (0, 100):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), few).collect()}
+        assert got == {3: (2, 4, False), 1: (2, 4, False), 2: (2, 4, True), None: (2, 4, False), 4: (5, 2, False), 5: (5, 2, True), 6: (6, 1, True), 7: (7, 1, True)}
