@@ -3,11 +3,13 @@ r"""Personal data: fixed patterns, extended by a skip-chain conditional random f
 The nodes of a document's field are its entity-shaped tokens (those with a digit or ``@``; any other token is clamped to
 "none"). Neighbouring tokens share a chain edge. Tokens that are equal, or equal after dropping punctuation, or that end
 in the same seven or more digits, share a skip edge with their next occurrence however far away it is: linking each
-occurrence to the next connects all of them with a linear number of edges. Potentials are trained on spans of the fixed
-patterns in a bounded sample: a softmax regression of a token's label on the shapes of the token and its neighbours, and
-pairwise log-odds of labels for either kind of edge. Loopy sum-product messages run over all documents of a batch at
-once; tokens inside a pattern's span are observed. Runs of tokens whose marginal for a kind reaches ``least`` are added if
-they have that kind's form (a number of digits, a checksum, a domain) and don't touch a pattern's span.
+occurrence to the next connects all of them with a linear number of edges. Potentials are trained together by
+pseudo-likelihood on spans of the fixed patterns in a bounded sample: a token's label given the shapes of the token and its
+neighbours, its number of digits, and the labels across its edges. Each token is seen twice, once with its shapes hidden, so
+that the edges learn to decide where a form doesn't. Loopy sum-product messages run over all documents of a batch at once;
+tokens inside a pattern's span are observed. Where the marginal for a kind reaches ``least`` over a run of tokens, its longest
+parts that can be of that kind (a number of digits, a checksum, a domain) are added unless they touch a pattern's span: so
+numbers that a pattern merged with a neighbour come apart, and numbers without a prefix follow their other occurrences.
 
 The search for patterns is linear in the text: addresses grow from each ``@``, numbers begin where a run of digits does.
 The trained tables are bounded by the number of shapes in ``sample_docs`` documents. No shuffle is needed beyond training.
@@ -33,6 +35,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000
 ROUNDS = 12
 LEAST = 0.9
+#: Log-odds that the skip edges' table is drawn to for equal kinds, and those of "none" for a token whose shape training never saw.
+CONSISTENT, UNSEEN = 8.0, 3.0
+#: Characters that an equal token must have to be linked: short numbers are equal by chance.
+LINKED = 5
+#: No kind has more digits than a card.
+MOST_DIGITS = 19
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -112,14 +120,21 @@ def shape(token: str) -> str:
         return "ip" if is_ip(token) else "no ip"
     if CARD.fullmatch(token) and len(token) >= 14:
         return "card" if is_card(token) else "no card"
-    return re.sub(r"[^\W\d_]+", "a", DIGIT.sub("0", token[:24]))
+    runs = re.sub(r"[^\W\d_]+", "a", DIGIT.sub("0", token))
+    return runs if len(runs) <= 40 else f"# {hashlib.blake2b(runs.encode(), digest_size=8).hexdigest()}"
+
+
+def size(token: str) -> str:
+    """The numbers of digits and of dots, and whether there is something else than numbers have."""
+    return f"~{len(DIGIT.findall(token))}.{token.count('.')}{'@' if '@' in token else ''}{'a' if re.search(r'[^\W\d_]', token) else ''}"
 
 
 def keys(token: str) -> list[str]:
     """What tokens that share a skip edge have in common."""
     plain = re.sub(r"[\W_]+", "", token).casefold()
-    digits = "".join(DIGIT.findall(token))
-    return [plain] + ([f"…{digits[-7:]}"] if len(digits) >= 7 and digits != plain[-7:] else [])
+    if len(plain) >= 7 and plain.isdecimal():
+        return [f"…{plain[-7:]}"]
+    return [plain] if len(plain) >= LINKED else []
 
 
 class Graph:
@@ -143,7 +158,7 @@ class Graph:
             for i, (s, e) in enumerate(found):
                 left = shapes[i - 1] if i and near[i - 1] else "-"
                 right = shapes[i + 1] if i + 1 < n and near[i] else "-"
-                self.features.append((shapes[i], f"{left} < {shapes[i]}", f"{shapes[i]} > {right}"))
+                self.features.append((size(text[s:e]), shapes[i], f"{left} < {shapes[i]}", f"{shapes[i]} > {right}"))
                 while k < len(known) and known[k][1] <= s:
                     k += 1
                 self.label.append(next((c + 1 for a, b, c in known[k : k + 4] if a < e and s < b), 0))
@@ -157,59 +172,71 @@ class Graph:
 
 
 def statistics(texts: list[str]) -> Counter:
-    """Counts of (kind of count, features or label, label)."""
-    out: Counter = Counter()
+    """Counts of (features, label before, label behind, labels across skip edges, label); -1 where there is no token."""
     g = Graph(texts, [base_spans(x) for x in texts])
-    for f, y in zip(g.features, g.label, strict=True):
-        out["token", "\x1f".join(f), y] += 1
-    for kind, edges in (("chain", g.chain), ("skip", g.skip)):
-        for a, b in edges:
-            out[kind, str(g.label[a]), g.label[b]] += 1
+    before, behind = [-1] * len(g.label), [-1] * len(g.label)
+    across: list[list[int]] = [[] for _ in g.label]
+    for a, b in g.chain:
+        before[b], behind[a] = g.label[a], g.label[b]
+    for a, b in g.skip:
+        across[a].append(g.label[b])
+        across[b].append(g.label[a])
+    out: Counter = Counter()
+    for f, *context, linked, y in zip(g.features, before, behind, across, g.label, strict=True):
+        linked = ",".join(map(str, sorted(linked)))
+        out["\x1f".join(f), *context, linked, y] += 1
+        out[f[0], *context, linked, y] += 1
     return out
 
 
 class Field:
-    """Trained potentials."""
+    """Trained potentials: a row of weights for each feature, and tables of pairs of labels for both kinds of edge."""
 
-    def __init__(self, counts: list[tuple[str, str, int, int]], rounds: int = 300, ridge: float = 1.0):
+    def __init__(self, counts: list[tuple[str, int, int, str, int, int]], rounds: int = 300, ridge: float = 1.0):
         n = len(KINDS) + 1
-        rows: dict[str, np.ndarray] = {}
-        self.pair = {}
-        for kind in ("chain", "skip"):
-            seen = np.full((n, n), 0.5)
-            for what, a, b, c in counts:
-                if what == kind:
-                    seen[int(a), b] += c
-                    seen[b, int(a)] += c
-            p = seen / seen.sum()
-            self.pair[kind] = np.clip(np.log(p / p.sum(1)[:, None] / p.sum(0)[None, :]), -4, 4)
-        for what, f, y, c in counts:
-            if what == "token":
-                rows.setdefault(f, np.zeros(n))[y] += c
-        signatures = sorted(rows)
-        self.index = {f: i for i, f in enumerate(sorted({x for s in signatures for x in s.split("\x1f")}))}
-        self.weights = np.zeros((len(self.index) + 1, n))
-        self.weights[-1, 0] = 2.0  # a shape never seen is nothing
-        if not signatures:
+        rows: dict[tuple[str, int, int, str], np.ndarray] = {}
+        for f, left, right, linked, y, c in counts:
+            rows.setdefault((f, left, right, linked), np.zeros(n))[y] += c
+        kinds = sorted(rows)
+        self.index = {f: i for i, f in enumerate(sorted({x for k in kinds for x in k[0].split("\x1f")}))}
+        self.weights = np.zeros((len(self.index) + 1, n))  # the last row goes with every token
+        # Occurrences of one thing tend to be of one kind: what the tables start from and are drawn to.
+        consistent = np.diag(np.append(0.0, np.full(n - 1, CONSISTENT)))
+        self.pair = {"chain": np.zeros((n, n)), "skip": consistent.copy()}
+        if not kinds:
+            self.weights[-1, 0] = 2.0
             return
-        at = np.array([[self.index[x] for x in s.split("\x1f")] for s in signatures])
-        y = np.array([rows[s] for s in signatures])
+        flat = [[self.index[x] for x in k[0].split("\x1f")] for k in kinds]
+        row, at = np.repeat(np.arange(len(kinds)), [len(x) for x in flat]), np.concatenate(flat)
+        left, right = (np.array([k[j] for k in kinds]) for j in (1, 2))
+        hasl, hasr = np.flatnonzero(left >= 0), np.flatnonzero(right >= 0)
+        linked = np.array([np.bincount([int(x) for x in k[3].split(",") if x], minlength=n) for k in kinds])
+        y = np.array([rows[k] for k in kinds])
         total = y.sum(1, keepdims=True)
-        # Diagonal Newton steps for the softmax regression; counts of a signature enter with a bounded weight.
-        scale = np.minimum(total, 200) / total
-        y, total = y * scale, total * scale
+        # Steps by a bound of the curvature: each row's count times the number of weights that act on it, over two.
+        act = total * (np.bincount(row, minlength=len(kinds)) + 1 + (left >= 0) + (right >= 0) + linked.sum(1))[:, None] / 2
         hess = np.full((len(self.weights), 1), ridge)
-        np.add.at(hess, at.ravel(), np.repeat(total, at.shape[1], 0) * at.shape[1] / 4)
-        hess[-1] += total.sum() * at.shape[1] / 4
+        np.add.at(hess, at, act[row])
+        hess[-1] += act.sum()
+        h_chain = ridge + act[hasl].sum() + act[hasr].sum()
+        h_skip = ridge + 2 * (act * linked.sum(1, keepdims=True)).sum()
         for _ in range(rounds):
-            z = self.weights[at].sum(1) + self.weights[-1]
+            z = np.tile(self.weights[-1], (len(kinds), 1))
+            np.add.at(z, row, self.weights[at])
+            z[hasl] += self.pair["chain"][left[hasl]]
+            z[hasr] += self.pair["chain"][:, right[hasr]].T
+            z += linked @ self.pair["skip"]
             p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            r = y - total * p
+            rest = y - total * p / p.sum(1, keepdims=True)
             grad = -ridge * self.weights
-            np.add.at(grad, at.ravel(), np.repeat(r, at.shape[1], 0))
-            grad[-1] = r.sum(0)
+            np.add.at(grad, at, rest[row])
+            grad[-1] += rest.sum(0)
+            chain, skip = -ridge * self.pair["chain"], linked.T @ rest
+            np.add.at(chain, left[hasl], rest[hasl])
+            np.add.at(chain.T, right[hasr], rest[hasr])
             self.weights += grad / hess
+            self.pair["chain"] += chain / h_chain
+            self.pair["skip"] += (skip + skip.T - 2 * ridge * (self.pair["skip"] - consistent)) / h_skip
 
     def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
         """Label marginals of each token by loopy sum-product with damping."""
@@ -220,6 +247,7 @@ class Field:
                 k = self.index.get(x)
                 if k is not None:
                     unary[i] += self.weights[k]
+            unary[i, 0] += UNSEEN * (f[1] not in self.index)
         label = np.array(g.label)
         seen = np.flatnonzero(label)
         unary[seen] = -30.0
@@ -260,15 +288,30 @@ class Field:
             j = i + 1
             while j < len(best) and best[j] == best[i] and (j - 1, j) in joined:
                 j += 1
-            d, s, _ = g.where[i]
-            e = g.where[j - 1][2]
-            kind = int(best[i])
-            if _has_form(texts[d][s:e], kind) and not any(a < e and s < b for a, b, _ in spans[d]):
-                out[d].append((s, e, kind))
+            self._parts(g, i, j, int(best[i]), texts, spans, out)
             i = j
         return out
 
 
+    @staticmethod
+    def _parts(g: Graph, i: int, j: int, kind: int, texts: list[str], spans: list[list[Span]], out: list[list[Span]]) -> None:
+        """Adds the longest parts of the tokens i to j that have the kind's form, from the left."""
+        d = g.where[i][0]
+        while i < j:
+            s, last, digits = g.where[i][1], i, 0
+            for k in range(i, j):
+                digits += len(DIGIT.findall(texts[d][g.where[k][1] : g.where[k][2]]))
+                if digits > MOST_DIGITS and kind:
+                    break
+                if _has_form(texts[d][s : g.where[k][2]], kind):
+                    last = k + 1
+            if last > i:
+                e = g.where[last - 1][2]
+                if not any(a < e and s < b for a, b, _ in spans[d]):
+                    out[d].append((s, e, kind))
+            i = max(last, i + 1)
+
+
 def _has_form(text: str, kind: int) -> bool:
     if kind == 0:
         left, _, right = text.partition("@")
@@ -289,11 +332,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(*k, c) for k, c in statistics(batch.column(0).to_pylist()).items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["what", "f", "y", "n"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["f", "before", "behind", "across", "y", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "what string, f string, y int, n long").groupBy("what", "f", "y").agg(F.sum("n").alias("n"))
-    return Field([tuple(r) for r in counted.orderBy("what", "f", "y").collect()])
+    key = ["f", "before", "behind", "across", "y"]
+    counted = sample.select("text").mapInArrow(count, "f string, before int, behind int, across string, y int, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+    return Field([tuple(r) for r in counted.orderBy(*key).collect()])
 
 
 def _digest(spans: list[Span]) -> str:

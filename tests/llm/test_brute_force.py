@@ -1,6 +1,7 @@
 """Operators against plain Python versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -239,9 +240,38 @@ def test_pii_patterns(real):
 def test_pii_field(real):
     texts = [t or "" for _, t in real] * 3
     field = pii.Field([(*k, n) for k, n in pii.statistics(texts).items()])
-    text = "Call +1 (988) 555-2485 now. Later (988) 555-2485 again, but not version 3.0.1 or 4111111111111112."
-    added = field.added([text], [pii.base_spans(text)])[0]
-    assert [(text[s:e], pii.KINDS[k]) for s, e, k in added] == [("(988) 555-2485", "phone")]
+
+    def added(text):
+        return [(text[s:e], pii.KINDS[k]) for s, e, k in field.added([text], [pii.base_spans(text)])[0]]
+
+    assert added("Call +1 (988) 555-2485 now. Later (988) 555-2485 again, but not version 3.0.1 or 4111111111111112.") == [("(988) 555-2485", "phone")]
+    # Form alone doesn't decide: the same numbers are taken where an occurrence with a prefix links to them, and left alone elsewhere.
+    assert added("Call +1 (988) 555-2485 now" + ", then much text" * 50 + " 988-555-2485 or 9885552485.") == [("988-555-2485", "phone"), ("9885552485", "phone")]
+    assert added("Here 988-555-2485 or 9885552485, and 1234 5678 9012 3456, and 17 23 99 of 2020.") == []
+    # Numbers that a pattern merges come apart.
+    assert added("Des +1 (826) 555-4081 190.137.223.204 du") == [("+1 (826) 555-4081", "phone")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_marginals(seed):
+    """Messages give the exact marginals of fields without loops, by enumeration of all labellings."""
+    rng = np.random.default_rng(seed)
+    g = pii.Graph([], [])
+    n, k = 5, len(pii.KINDS) + 1
+    g.where, g.features, g.label = [(0, i, i + 1) for i in range(n)], [(f"~{i}", f"s{i}") for i in range(n)], [0, 0, 3, 0, 0]
+    g.chain, g.skip = [(0, 1), (1, 2)], [(0, 3), (3, 4)]
+    field = pii.Field([])
+    field.index = {x: i for i, x in enumerate(sorted({x for f in g.features for x in f}))}
+    field.weights = rng.normal(size=(len(field.index) + 1, k))
+    field.pair = {"chain": rng.normal(size=(k, k)), "skip": rng.normal(size=(k, k))}
+    unary = np.array([field.weights[-1] + sum(field.weights[field.index[x]] for x in f) for f in g.features])
+    want = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        if y[2] == 3:
+            score = sum(unary[i, y[i]] for i in range(n)) + sum(field.pair["chain"][y[a], y[b]] for a, b in g.chain) + sum(field.pair["skip"][y[a], y[b]] for a, b in g.skip)
+            for i in range(n):
+                want[i, y[i]] += np.exp(score)
+    assert np.allclose(field.marginals(g, rounds=80), want / want.sum(1, keepdims=True), atol=1e-6)
 
 
 def test_html(spark, sf):
@@ -316,7 +346,7 @@ def test_line_dedup_shared_ids(spark):
 
 
 def test_exact_dedup(spark):
-    rows = [(3, "a b"), (1, "ab "), (2, " a  b"), (4, None), (5, "\t\x0b"), (6, "\xa0ab"), (7, "ab "), (None, "ab")]
+    rows = [(3, "a b"), (1, "ab "), (2, " a  b"), (4, None), (5, "\t\x0b"), (6, "\xa0ab"), (7, "ab\u2003"), (None, "ab")]
     for few in (0, 100):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), few).collect()}
         assert got == {3: (2, 4, False), 1: (2, 4, False), 2: (2, 4, True), None: (2, 4, False), 4: (5, 2, False), 5: (5, 2, True), 6: (6, 1, True), 7: (7, 1, True)}
