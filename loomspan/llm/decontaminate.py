@@ -2,11 +2,12 @@
 
 The patterns are the windows of ten consecutive words of the benchmark items (an item of fewer words is one window). For
 each pattern length a shift table over blocks of two words tells how far a search may jump; where it says zero, the
-bucket of the window's hash selects patterns and the words themselves are compared. A task searches many positions of
-its documents at once, each lane over its own span of words.
+bucket of the last block's hash, in which patterns are ordered by a hash of all their words, selects patterns, and the words
+themselves are compared. A task searches many positions of its documents at once, each lane over its own span of words.
 
 The patterns are broadcast in shards of at most ``shard_bytes`` of benchmark text, one pass over the documents for each;
-between passes the table is staged, so memory is bounded however large the benchmark is. No shuffle is needed.
+between passes the table is staged, so memory is bounded however large the benchmark is. A shard keeps its text once; a
+pattern is a hash and the number of its first word, about 16 bytes a word in all. No shuffle is needed.
 
 Defined results: null or empty texts and texts without words have no words and are not contaminated; rows that repeat are
 judged each for itself; an empty benchmark contaminates nothing. A null item_id is ignored.
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import staged, table
+from loomspan.llm.common import free_name, staged, table
 from loomspan.llm.wordhash import LOWER, buffers, combine, mix, slices, words
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 BLOCK = 2
 LANE = 512
 
@@ -39,27 +40,39 @@ class Patterns:
     """Shift tables and buckets of the windows of some items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.owners: dict[bytes, set[str]] = defaultdict(set)
-        by_length: dict[int, dict[bytes, np.ndarray]] = defaultdict(dict)
-        for item, text in items:
-            raw, off = buffers(pa.array([text], pa.string()))
-            s, e, h = words(raw, off)
-            length = min(window, len(s))
-            for i in range(len(s) - length + 1 if length else 0):
-                key = _plain(raw, s[i : i + length], e[i : i + length])
-                self.owners[key].add(item)
-                by_length[length][key] = h[i : i + length]
+        self.items = [item for item, _ in items]
+        raw, off = buffers(pa.array([text for _, text in items], pa.large_string()))
+        starts, ends, hashes = words(raw, off)
+        self.first = np.searchsorted(starts, off).astype(np.int64)  # of each item's words
+        place = np.cumsum(ends - starts + 1, dtype=np.int64)
+        self.place = np.append(0, place).astype(np.uint32 if len(place) and place[-1] < 2**32 else np.int64)
+        # All words, lower-cased, each with a space behind it.
+        self.text = b"".join(_plain(raw, starts[a:b], ends[a:b]) + b" " for a, b in zip(self.first, self.first[1:], strict=False) if a < b)
+        n = np.diff(self.first)
         self.tables = {}
-        for length, patterns in by_length.items():
+        for length in sorted(set(np.minimum(n[n > 0], window).tolist())):
+            of = np.flatnonzero(n == length) if length < window else np.flatnonzero(n >= window)
+            begins = np.zeros(len(starts) + 1, np.int32)  # words at which a window of this length may begin
+            np.add.at(begins, self.first[of], 1)
+            np.add.at(begins, self.first[of] + n[of] - length + 1, -1)
+            at = np.flatnonzero(np.cumsum(begins) > 0)
             block = min(BLOCK, length)
-            rows = np.array(list(patterns.values()), np.uint64).reshape(-1, length)
-            bits = int(min(22, max(12, np.ceil(np.log2(len(rows) * length + 1)) + 4)))
+            bits = int(min(22, max(12, np.ceil(np.log2(len(at) * length + 1)) + 4)))
             shift = np.full(1 << bits, length - block + 1, np.uint8 if length < 250 else np.int64)
             for j in range(block - 1, length):
-                np.minimum.at(shift, self.block(rows[:, j - 1] if block > 1 else None, rows[:, j], bits), length - 1 - j)
-            full = combine(rows.ravel(), np.arange(len(rows)) * length, length)
-            order = np.argsort(full)
-            self.tables[length] = (shift, bits, block, full[order], np.array(list(patterns), object)[order])
+                np.minimum.at(shift, self.block(hashes[at + j - 1] if block > 1 else None, hashes[at + j], bits), length - 1 - j)
+            key = self.key(hashes, at, length, block, bits)
+            order = np.argsort(key)
+            self.tables[length] = (shift, bits, block, key[order], at[order].astype(np.uint32))
+
+    def key(self, hashes: np.ndarray, at: np.ndarray, length: int, block: int, bits: int) -> np.ndarray:
+        """The bucket of the last block, then a hash of all words."""
+        end = at + length - 1
+        bucket = self.block(hashes[end - 1] if block > 1 else None, hashes[end], bits).astype(np.uint64)
+        return bucket << np.uint64(64 - bits) | combine(hashes, at, length) >> np.uint64(bits)
+
+    def words(self, at: int, length: int) -> bytes:
+        return self.text[int(self.place[at]) : int(self.place[at + length]) - 1]
 
     @staticmethod
     def block(one: np.ndarray | None, two: np.ndarray, bits: int) -> np.ndarray:
@@ -71,7 +84,7 @@ class Patterns:
         starts, ends, hashes = words(raw, off)
         first = np.searchsorted(starts, off)
         hit, found = np.zeros(len(starts), bool), defaultdict(set)
-        for length, (shift, bits, block, full, keys) in self.tables.items():
+        for length, (shift, bits, block, keys, where) in self.tables.items():
             lo, hi = first[:-1] + length - 1, first[1:]
             n = np.maximum(0, -(-(hi - lo) // LANE))
             at = np.repeat(lo, n) + LANE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -84,15 +97,15 @@ class Patterns:
                 on = at < stop
                 at, stop = at[on], stop[on]
             at = np.sort(np.concatenate(places)) if places else np.zeros(0, np.int64)
-            h = combine(hashes, at, length)
-            bucket = np.searchsorted(full, h)
-            maybe = full[np.minimum(bucket, len(full) - 1)] == h
-            for p, k in zip(at[maybe], bucket[maybe], strict=True):
+            key = self.key(hashes, at, length, block, bits)
+            bucket = np.searchsorted(keys, key)
+            maybe = keys[np.minimum(bucket, len(keys) - 1)] == key
+            for p, k, own in zip(at[maybe], bucket[maybe], key[maybe], strict=True):
                 text = _plain(raw, starts[p : p + length], ends[p : p + length])
-                while k < len(full) and full[k] == combine(hashes, np.array([p]), length)[0]:
-                    if keys[k] == text:
+                while k < len(keys) and keys[k] == own:
+                    if self.words(where[k], length) == text:
                         hit[p : p + length] = True
-                        found[int(np.searchsorted(first, p, "right")) - 1] |= self.owners[text]
+                        found[int(np.searchsorted(first, p, "right")) - 1].add(self.items[int(np.searchsorted(self.first, where[k], "right")) - 1])
                     k += 1
         return first, hit, found
 
@@ -140,7 +153,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    none = free_name(docs, "__none")
+    rest = F.struct(F.lit(0).alias(none), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     found = matches(docs.select(rest.alias("doc_id"), "text"), benchmark, window).where(F.size("hits") == 0)
     return found.select(*[F.col("text") if c == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])
 

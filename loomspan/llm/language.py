@@ -8,8 +8,8 @@ so each context is one row of code lengths and scoring a whole text is a table l
 tree needs fewest bits wins; the score is its posterior under equal priors.
 
 Training reads at most ``docs_per_language`` labelled rows of each language (chosen by a hash of the id), counts n-grams in
-the tasks and sums them before the driver receives them. The trees' size is bounded by that sample and by
-``table_bytes`` (the most frequent contexts of the highest order stay), and so is the broadcast.
+the tasks and sums them before the driver receives them. The trees have at most ``table_bytes``, and so has the broadcast:
+contexts of two and three bytes stay by their largest share in any language, a longer one never without its suffix.
 
 Defined results: a null text, an empty one and one without a letter get ``und`` and score 0; a tie goes to the language
 that sorts first. Without any labelled row every text is ``und``. Rows that repeat are scored each for itself.
@@ -99,14 +99,21 @@ class Trees:
         for x, (g, n) in grams.items():
             c = [self.classes[g >> 8 * k & 255].astype(np.int64) for k in range(4)]
             coded[x] = (c[3] * w * w + c[2] * w + c[1], c[0], n)
-        share: dict[int, float] = {}
-        for code, _, n in coded.values():
-            at, inverse = np.unique(code, return_inverse=True)
-            for k, v in zip(at.tolist(), (np.bincount(inverse, n) / n.sum()).tolist(), strict=True):
-                share[k] = max(v, share.get(k, 0.0))
-        most = max(1, table_bytes // (4 * w * max(1, len(grams))))
-        top = np.sort(np.array(sorted(share, key=lambda k: (-share[k], k))[:most], np.int64))
-        self.contexts = [np.unique(np.concatenate([c % w**k for c, _, _ in coded.values()])) for k in (1, 2)] + [top]
+        self.contexts = [np.unique(np.concatenate([c % w for c, _, _ in coded.values()]))]
+        most = max(1, table_bytes // (4 * w * max(1, len(grams))) - 1 - len(self.contexts[0]))
+        kinds = []
+        for k in (2, 3):
+            at, inverse = np.unique(np.concatenate([c % w**k for c, _, _ in coded.values()]), return_inverse=True)
+            share, begin = np.zeros(len(at)), 0
+            for c, _, n in coded.values():
+                own = np.bincount(inverse[begin : begin + len(c)], n, len(at)) / n.sum()
+                share, begin = np.maximum(share, own), begin + len(c)
+            kinds.append((at, share))
+        order = np.repeat([2, 3], [len(at) for at, _ in kinds])
+        code, share = (np.concatenate(x) for x in zip(*kinds, strict=True))
+        chosen = np.lexsort((code, order, -share))[:most]
+        two, three = (np.sort(code[chosen[order[chosen] == k]]) for k in (2, 3))
+        self.contexts += [two, three[np.isin(three % (w * w), two)]]
 
         rows, total = np.zeros(1, np.int64), 1
         for contexts in self.contexts:
@@ -125,6 +132,8 @@ class Trees:
         w = self.width
         below, at, out = base[None, :], np.zeros(1, np.int64), []
         for k, contexts in enumerate([np.zeros(1, np.int64), *self.contexts]):
+            if not len(contexts):  # no room for this order
+                break
             own = code % w**k
             pos = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
             ok = contexts[pos] == own
@@ -173,10 +182,12 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes
     if sample is None:
         return None
     counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    if found.empty:
+    # Numbers instead of names reach the driver.
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not langs:
         return None
-    return Trees({k: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64)) for k, g in found.groupby("lang")}, table_bytes)
+    found = counted.select(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("k"), "gram", "n").toPandas()
+    return Trees({langs[k - 1]: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64)) for k, g in found.groupby("k")}, table_bytes)
 
 
 def limit(docs: DataFrame, trees: Trees | None, docs_per_language: int = DOCS_PER_LANGUAGE) -> float:

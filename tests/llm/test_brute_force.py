@@ -192,6 +192,50 @@ def test_language_is_a_code():
     assert both[1].tolist() == [0, 0] and both[0, 0] < both[0, 1]
 
 
+def plain_ppm(text, grams, order=3):
+    """Bits of ``text`` by prediction by partial matching, escape method C with exclusion, statistics of ``grams`` frozen."""
+    seen = defaultdict(Counter)
+    for g, n in grams.items():
+        for k in range(order + 1):
+            seen[g[order - k : order]][g[order]] += n
+    known = {}
+
+    def after(context):
+        if context is None:
+            return [1 / 256] * 256
+        if context not in known:
+            shorter = after(context[1:] if context else None)
+            counts = seen.get(context)
+            if counts:
+                total, kinds = sum(counts.values()), len(counts)
+                rest = sum(p for b, p in enumerate(shorter) if b not in counts)
+                scale = total + kinds if rest > 0 else total
+                shorter = [counts[b] / scale if b in counts else p / rest * kinds / scale for b, p in enumerate(shorter)]
+            known[context] = shorter
+        return known[context]
+
+    text = bytes(order) + text
+    return -sum(np.log2(after(text[i - order : i])[text[i]]) for i in range(order, len(text)))
+
+
+@pytest.mark.parametrize("table_bytes", [64 << 20, 30_000])
+def test_language_code_lengths(table_bytes):
+    """All code lengths are those of the plain method, with all contexts; and no size of tables is exceeded."""
+    rng = random.Random(8)
+    train = {x: b" ".join(rng.choice([b"der", b"die", b"the", b"that", b"on", "ñö".encode()]) for _ in range(60)) for x in ("a", "b", "c")}
+    counted = {x: Counter((bytes(3) + t)[i : i + 4] for i in range(len(t))) for x, t in train.items()}
+    grams = {x: (np.array([int.from_bytes(g, "big") for g in c]), np.array(list(c.values()), float)) for x, c in counted.items()}
+    trees = language.Trees(grams, table_bytes)
+    assert trees.bits.nbytes <= table_bytes
+    texts = [b"", b"the", b"xyz \xff", b"der that on the", train["a"][:90]]
+    got = trees.code_lengths(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    if table_bytes > 1 << 20:
+        want = [[plain_ppm(t, counted[x]) for x in trees.langs] for t in texts]
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+    many = {f"l{i}": grams["a"] for i in range(100)}
+    assert language.Trees(many, 1 << 20).bits.nbytes <= 1 << 20
+
+
 def test_packing_round_trip(spark, real):
     got = packing.pack(spark.createDataFrame(real, "doc_id long, text string")).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
