@@ -8,9 +8,10 @@ size, where the column-wise construction of the Burrows-Wheeler transform and co
 every segment a round, aligned by their cores, and decides on every window by the bytes it shares with its neighbours. Hashes
 deal the work only.
 
-A key whose segments exceed a bucket (a very frequent passage) is not gathered in one task: its segments are grouped by their
-bytes, in salted parts first, which covers those that repeat as a whole, and one of each kind goes on to the next longer
-core. The last core is a whole window, where grouping by bytes decides all.
+A key whose segments exceed a bucket (a very frequent passage) is not gathered in one task: it is dealt to salted parts, each
+decided like a bucket, and one segment of each kind of equal bytes goes on to meet those of the other parts. There kinds that
+occur in several parts are covered as a whole, and one of each is dealt again by the next longer core. The last core is a
+whole window, so that equal bytes decide all that is left.
 
 Strings are judged on the input, overlaps count, and matches never cross documents. Texts are shuffled twice by document,
 to cut segments out and to remove what is covered. What a phase staged or shuffled is dropped before the next one.
@@ -156,63 +157,50 @@ def _cutter(length: int):
 
 
 SPAN = "doc_id long, th long, start long, stop long"
+PART = f"{SPAN}, m long, text binary, n long"
 
 
 def _bucket(length: int, core: int):
-    def search(group: pa.Table) -> pa.Table:
-        """Covered spans of the segments of one bucket."""
-        group = group.combine_chunks()
-        found = shared_windows(group["text"].to_pylist(), group["ahead"].to_numpy(), group["cnt"].to_numpy(), length, core)
-        at = pa.array(found[:, 0])
-        start = group["start"].to_numpy()[found[:, 0]] + found[:, 1]
-        columns = [group["doc_id"].take(at), group["th"].take(at), pa.array(start), pa.array(start + found[:, 2] + length - 1)]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SPAN.split(", ")])
+    def search(rows: pa.Table) -> pa.Table:
+        """Covered spans of the segments of one bucket; then, if it is a part of a frequent key, one segment of each kind
+        with its bytes and the number of its copies, n > 0."""
+        rows = rows.combine_chunks()
+        text, start = rows["text"].to_pylist(), rows["start"].to_numpy()
+        found = shared_windows(text, rows["ahead"].to_numpy(), rows["cnt"].to_numpy(), length, core)
+        kinds: dict[bytes, list[int]] = {}
+        if rows["salts"][0].as_py() > 1:
+            for i, x in enumerate(text):
+                kinds.setdefault(x, []).append(i)
+        first = np.array([k[0] for k in kinds.values()], np.int64)
+        at = np.append(found[:, 0], first)
+        begin = np.append(start[found[:, 0]] + found[:, 1], start[first])
+        windows = np.append(found[:, 2], rows["cnt"].to_numpy()[first])
+        columns = [rows["doc_id"].take(pa.array(at)), rows["th"].take(pa.array(at)), pa.array(begin), pa.array(begin + windows + length - 1), rows["m"].take(pa.array(at))]
+        columns += [pa.array([None] * len(found) + list(kinds), pa.binary()), pa.array([0] * len(found) + [len(k) for k in kinds.values()], pa.int64())]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in PART.split(", ")])
 
     return search
 
 
 def _decided(segments: DataFrame, total: int, length: int, core: int, bucket_bytes: int) -> DataFrame:
-    """Covered spans of segments whose keys fit into buckets."""
+    """Staged spans and kinds of ``segments`` (with ``salts``, the parts that their key is dealt to), bucket by bucket: the
+    segments of several keys, or a part of one frequent key."""
     buckets = max(1, -(-total // bucket_bytes))
-    dealt = segments.select("doc_id", "th", "start", "cnt", "ahead", "text", F.pmod(F.xxhash64("m"), F.lit(buckets)).alias("bucket"))
-    return dealt.groupBy("bucket").applyInArrow(_bucket(length, core), SPAN)
-
-
-PART = f"{SPAN}, m long, text binary, n long"
-
+    part = F.pmod(F.xxhash64("doc_id", "th", "start"), F.col("salts"))
+    bucket = F.when(F.col("salts") == 1, F.pmod(F.xxhash64("m"), F.lit(buckets))).otherwise(-1 - F.pmod(F.xxhash64("m", part), F.lit(2**62)))
+    dealt = segments.select("m", "doc_id", "th", "start", "cnt", "ahead", "salts", "text", bucket.alias("bucket"))
+    return staged(dealt.groupBy("bucket").applyInArrow(_bucket(length, core), PART), "zstd")
 
-def _part(length: int):
-    def group(rows: pa.Table) -> pa.Table:
-        """Spans of the segments that repeat as a whole in this part, then (with text and n > 0) one segment of each kind."""
-        rows = rows.combine_chunks()
-        kinds: dict[bytes, list[int]] = {}
-        for i, x in enumerate(rows["text"].to_pylist()):
-            kinds.setdefault(x, []).append(i)
-        covered = [i for k in kinds.values() if len(k) > 1 for i in k]
-        at = pa.array(covered + [k[0] for k in kinds.values()], pa.int64())
-        n = [0] * len(covered) + [len(k) for k in kinds.values()]
-        text = pa.array([None] * len(covered) + list(kinds), pa.binary())
-        start = rows["start"].to_numpy()
-        stop = pa.array(start + rows["cnt"].to_numpy() + length - 1)
-        columns = [*(c.take(at) for c in (rows["doc_id"], rows["th"], rows["start"], stop, rows["m"])), text, pa.array(n, pa.int64())]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in PART.split(", ")])
-
-    return group
 
-
-def _copies(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Staged, of segments (with ``salts``, the parts their key is dealt to) grouped by their bytes: spans of those that
-    repeat as a whole, and one segment of each kind. Parts are bounded; a second grouping sees one row a kind of each part."""
-    salt = F.pmod(F.xxhash64("doc_id", "th", "start"), F.col("salts")).alias("salt")
-    parts = staged(segments.select("m", "doc_id", "th", "start", "cnt", "text", salt).groupBy("m", "salt").applyInArrow(_part(length), PART), "zstd")
+def _across(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged, of the kinds that the parts of frequent keys left: spans of those that one part has once and others have as
+    well, and one segment of each kind. A kind has at most as many rows as its key has parts."""
     kind = ["m", "text"]
     some = parts.where("n > 0")
     kinds = staged(some.groupBy(*kind).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("at")), "zstd")
-    alone = some.where("n = 1").join(kinds.where("n > 1").select(*kind), kind)
-    span = ["doc_id", "th", "start", "stop"]
-    spans = staged(parts.where("n = 0").select(span).unionByName(alone.select(span)))
+    spans = staged(some.where("n = 1").join(kinds.where("n > 1").select(*kind), kind).select("doc_id", "th", "start", "stop"))
     rest = staged(kinds.select("at.doc_id", "at.th", "at.start", "text"), "zstd")
-    drop(segments.sparkSession, parts, kinds)
+    drop(parts.sparkSession, kinds)
     return spans, rest
 
 
@@ -243,19 +231,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cores: tuple[int, ...]
     drop(spark, repeated)
     spans: list[DataFrame] = []
     for level, core in enumerate(cores):
-        total, hot = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
-        if total:
-            spans.append(staged(_decided(cut.where("salts = 1"), total, length, core, bucket_bytes)))
-            drop(spark)
-        if (hot or 0) < 2:
+        total, most = keys.agg(F.sum(F.when(F.col("salts") == 1, F.col("bytes"))), F.max("salts")).first()
+        if most is None:
             break
-        covered, kinds = _copies(cut.where("salts > 1"), length)
-        spans.append(covered)
+        parts = _decided(cut, total or 0, length, core, bucket_bytes)
         drop(spark, cut, keys)
+        spans.append(parts.where("n = 0").select("doc_id", "th", "start", "stop"))
+        if most == 1:
+            break
+        covered, kinds = _across(parts)
+        spans.append(covered)
         if level + 1 < len(cores):
             segments = staged(kinds.mapInArrow(_again(length, cores[level + 1]), AGAIN), "zstd")
             keys = staged(_keys(segments, length, bucket_bytes))
-            cut = staged(segments.join(keys.select("m", "salts"), "m"))
+            cut = staged(segments.join(keys.select("m", "salts"), "m"), "zstd")
             drop(spark, segments, kinds)
     drop(spark, cut, keys)
     if not spans:
