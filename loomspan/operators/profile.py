@@ -122,18 +122,21 @@ def same_state_as_before(ss: str, key: str, pos: str, loop: int = 2) -> Column:
     return F.coalesce((F.lag(ss).over(w) == F.col(ss)) & (F.col(ss) != loop), F.lit(False))
 
 
-def his_tag(sequence: Column) -> Column:
-    """Start (from 1) of a run of three H within ten of the head or tail; 0 without one."""
+def his_tags(sequence: Column) -> Column:
+    """Starts (from 1) of the first run of three H within ten of the head and of the last one within ten of the tail; an
+    empty array without one. A sequence so short that both are the same run has it once."""
     head = F.instr(F.left(sequence, F.lit(12)), "HHH")
     tail = F.instr(F.left(F.reverse(sequence), F.lit(12)), "HHH")
-    return F.when(head > 0, head).when(tail > 0, F.length(sequence) - tail - 1).otherwise(0)
+    starts = F.array(head, F.when(tail > 0, F.length(sequence) - tail - 1).otherwise(0))
+    return F.array_distinct(F.filter(starts, lambda x: x > 0))
 
 
 def neutral_ranges(sequence: Column) -> Column:
-    """Arrays (first, last) of positions whose columns become background: tags, and runs of five H with eight around."""
+    """Arrays (first, last) of positions whose columns become background: tags, and a run of five H or more, however long,
+    with eight around."""
     runs = F.transform(F.array(*[F.instr(sequence, t) for t in TAGS]), lambda x, i: F.array(x, x + F.get(F.array(*[F.lit(len(t) - 1) for t in TAGS]), i)))
-    h = F.instr(sequence, "HHHHH")
-    his = F.array(F.greatest(F.lit(1), h - 8), F.least(F.length(sequence), h + 4 + 8))
+    h, run = F.instr(sequence, "HHHHH"), F.length(F.regexp_extract(sequence, "HHHHH+", 0))
+    his = F.array(F.greatest(F.lit(1), h - 8), F.least(F.length(sequence), h + run - 1 + 8))
     return F.concat(F.filter(runs, lambda r: r[0] > 0), F.when(h > 0, F.array(his)).otherwise(F.array().cast("array<array<int>>")))
 
 

@@ -116,12 +116,22 @@ def pair_distances(spark: SparkSession, path: str, floor: float = 0.01) -> DataF
 
 
 def fasta_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """pair_id, names and gapped strings of files with two records, on one line or several."""
-    text = spark.read.text(path, wholetext=True).select(without_extension(base_name(F.col("_metadata.file_path"))).alias("pair_id"), F.slice(F.split("value", ">"), 2, 2).alias("r"))
-    heads = [F.regexp_extract(F.get("r", F.lit(k)), r"^\S+", 0) for k in (0, 1)]
-    bodies = [F.regexp_replace(F.regexp_replace(F.get("r", F.lit(k)), r"^\S+", ""), r"\s+", "") for k in (0, 1)]
-    rows = text.select("pair_id", heads[0].alias("name_a"), heads[1].alias("name_b"), bodies[0].alias("a"), bodies[1].alias("b"))
-    return rows.withColumn("parse_error", F.when(F.col("b").isNull(), "two records").when(F.length("a") != F.length("b"), "unequal lengths"))
+    """pair_id, names and gapped strings of files with two records, on one line or several.
+
+    A record of several lines has a header line, of which the first word is the name and the rest a description; in a record
+    of one line the sequence follows the name."""
+    records = F.filter(F.split("value", r"(?:^|(?<=\s))>"), lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")) != "")
+    text = spark.read.text(path, wholetext=True).select(without_extension(base_name(F.col("_metadata.file_path"))).alias("pair_id"), records.alias("r"))
+
+    def record(k: int) -> tuple[Column, Column]:
+        r = F.regexp_replace(F.get("r", F.lit(k)), r"^\s+|\s+$", "")
+        head = F.when(r.contains("\n"), r"^[^\n]*").otherwise(r"^\S+")
+        return F.regexp_extract(r, r"^\S+", 0), F.regexp_replace(F.regexp_replace(r, head, F.lit("")), r"\s+", "")
+
+    (name_a, a), (name_b, b) = record(0), record(1)
+    rows = text.select("pair_id", name_a.alias("name_a"), name_b.alias("name_b"), a.alias("a"), b.alias("b"), F.size("r").alias("n"))
+    bad = F.when(F.col("n") < 2, "two records").when(F.length("a") != F.length("b"), "unequal lengths")
+    return rows.select("pair_id", "name_a", "name_b", "a", "b", bad.alias("parse_error"))
 
 
 def fasta_sequences(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:

@@ -75,6 +75,20 @@ def test_fasta(spark, tmp_path):
     assert text_profiles.fasta_sequences(spark, str(tmp_path / "s.fa")).collect()[0].sequence == "ACGT"
 
 
+def test_fasta_descriptions(spark, tmp_path):
+    """The rest of a header line is no part of the sequence."""
+    (tmp_path / "p.fasta").write_text(">1abc chain A -> B\nACGT\nAC\n>2xyz\r\nAC--\r\nAC\r\n")
+    row = text_profiles.fasta_alignments(spark, str(tmp_path)).collect()[0]
+    assert (row.name_a, row.a, row.name_b, row.b, row.parse_error) == ("1abc", "ACGTAC", "2xyz", "AC--AC", None)
+    (tmp_path / "p.fasta").write_text(">only one\nACGT\n")
+    assert text_profiles.fasta_alignments(spark, str(tmp_path)).collect()[0].parse_error == "two records"
+
+
+def test_his_runs_of_any_length(spark):
+    row = spark.range(1).select(*[profile.neutral_ranges(F.lit("A" * 20 + "H" * n + "A" * 20)).alias(f"h{n}") for n in (4, 5, 6, 9)]).collect()[0]
+    assert (row.h4, row.h5, row.h6, row.h9) == ([], [[13, 33]], [[13, 34]], [[13, 37]])
+
+
 def test_distances(spark, tmp_path):
     (tmp_path / "d").write_text("1 2 " + " ".join(["0"] + ["0.5"] * 12) + "\n")
     got = text_profiles.pair_distances(spark, str(tmp_path / "d")).collect()
@@ -110,12 +124,12 @@ def test_columns_by_hand(spark):
     arr = lambda *v: F.array(*map(F.lit, v))
     got = one.select(
         vectors.argmax3(F.lit(1.0), F.lit(1.0), F.lit(0.0)), vectors.confident(arr(0.005, 0.96, 0.2)), vectors.confident(arr(0.005, 0.9)), vectors.one_hot(F.lit(2), 4),
-        vectors.distance(arr(0.0, 0.0), arr(3.0, 4.0)), vectors.distance(F.lit(None).cast("array<double>"), arr(3.0)), profile.his_tag(F.lit("MHHHAAAAAAAAAAAAAA")), profile.his_tag(F.lit("MAAAAAAAAAAAAAAHHHH")),
+        vectors.distance(arr(0.0, 0.0), arr(3.0, 4.0)), vectors.distance(F.lit(None).cast("array<double>"), arr(3.0)), profile.his_tags(F.lit("MHHHAAAAAAAAAAAAAA")), profile.his_tags(F.lit("MHHHAAAAAAAAAAAAAAHHHH")),
         profile.neutral_ranges(F.lit("AAEQKLISEEDLA")), vectors.normalised(arr(0.0, 0.0)), scalar.first_int(F.lit("ab -12 c")), scalar.first_float(F.lit("x *")), scalar.round_half_up(F.lit(-1.5)),
         profile.transition(F.lit(1000.0), F.lit(3.0), "mm"), vectors.times_matrix(arr(1.0, 2.0), [[1, 2], [3, 4]]),
     ).collect()[0]
     assert got[0] == 2 and got[1] == [0, 1, 0] and got[2] == [0, 0.9] and got[3] == [0, 0, 1, 0] and got[4] == 5 and got[5] == 8
-    assert got[6] == 2 and got[7] == 17 and got[8] == [[3, 12]] and got[9] == [0, 0] and got[10] == -12 and got[11] == 99999 and got[12] == -1
+    assert got[6] == [2] and got[7] == [2, 20] and got[8] == [[3, 12]] and got[9] == [0, 0] and got[10] == -12 and got[11] == 99999 and got[12] == -1
     assert abs(got[13] - (3 * 0.5 + 0.06) / 3.1) < 1e-4 and got[14] == [7, 10]
 
 
