@@ -117,7 +117,7 @@ def masked(vec: Column, missing: Column) -> Column:
     return F.when(missing, F.transform(vec, lambda x: x * 0.0)).otherwise(vec)
 
 
-def same_state_as_before(ss: str, key: str, pos: str, loop: int = 2) -> Column:
+def same_state_as_before(ss: str, key: str, pos: str, loop: int | str = 2) -> Column:
     w = Window.partitionBy(key).orderBy(pos)
     return F.coalesce((F.lag(ss).over(w) == F.col(ss)) & (F.col(ss) != loop), F.lit(False))
 

@@ -169,9 +169,7 @@ def score_clip(spark, d):
 
 @query("""SELECT event_id, user_id, coalesce(lag(event_type) OVER w = event_type AND event_type <> 'view', false) AS goes_on FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def ss_continuation(spark, d):
-    e = t(spark, d, "events")
-    on = (F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")) == F.col("event_type")) & (F.col("event_type") != "view")
-    return e.select("event_id", "user_id", F.coalesce(on, F.lit(False)).alias("goes_on"))
+    return t(spark, d, "events").select("event_id", "user_id", profile.same_state_as_before("event_type", "user_id", "event_id", "view").alias("goes_on"))
 
 
 @query("""SELECT event_id, user_id, list_transform([coalesce(lag(value, 5) OVER w, 0), coalesce(lag(value, 1) OVER w, 0), value, coalesce(lead(value, 1) OVER w, 0), coalesce(lead(value, 5) OVER w, 0)], lambda x: CAST(trunc(x * 100) AS INT)) AS features,
@@ -218,12 +216,10 @@ w(g, i, weight) AS (SELECT a.g, b.i, ((a.g * 31 + b.i * 17) % 23 - 11) / 10.0 FR
 s AS (SELECT vec_id, g, 1 / (1 + exp(-sum(CAST(v AS DOUBLE) * CAST(weight AS DOUBLE)))) AS gate FROM e JOIN w ON e.i = w.i GROUP BY vec_id, g)
 SELECT vec_id, round(sum(gate * (g - 2.5)), 6) AS potential FROM s GROUP BY vec_id""")
 def gate_potential(spark, d):
-    """Two aggregations over a broadcast weight table of 192 rows."""
-    e = t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    w = spark.range(1, 4).select(F.col("id").alias("g")).crossJoin(spark.range(64).select(F.col("id").alias("i")))
-    w = w.select("g", "i", (((F.col("g") * 31 + (F.col("i") + 1) * 17) % 23 - 11) / 10.0).alias("weight"))
-    gates = e.join(F.broadcast(w), "i").groupBy("vec_id", "g").agg(scalar.sigmoid(F.sum(F.col("v").cast("double") * F.col("weight"))).alias("gate"))
-    return gates.groupBy("vec_id").agg(r(F.sum(F.col("gate") * (F.col("g") - 2.5))).alias("potential"))
+    """Three gates over each embedding, as one projection."""
+    weights = [[((g * 31 + i * 17) % 23 - 11) / 10 for i in range(1, 65)] for g in (1, 2, 3)]
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    return t(spark, d, "embeddings").select("vec_id", r(profile.gated(vector, weights, [g - 2.5 for g in (1, 2, 3)], 1.0)).alias("potential"))
 
 
 @query("""
