@@ -69,6 +69,36 @@ def cut_at(s: Column, mark: str) -> Column:
     return F.substring_index(s, mark, 1)
 
 
+def between(s: Column, first: int, last: int) -> Column:
+    """Characters ``first`` to ``last``, both counted from 0 and taken."""
+    return F.substring(s, first + 1, last - first + 1)
+
+
+def from_mark(s: Column, mark: str) -> Column:
+    """What begins at a mark's first occurrence; null without one."""
+    at = F.instr(s, mark)
+    return F.when(at > 0, F.substring(s, at, F.length(s)))
+
+
+def transliterated(s: Column, letters: str, by: str) -> Column:
+    return F.translate(s, letters, by)
+
+
+def without_range(s: Column, low: str, high: str) -> Column:
+    """Without the characters from ``low`` to ``high``."""
+    return F.array_join(F.filter(F.split(s, ""), lambda c: ~c.between(low, high)), "")
+
+
+def count_range(s: Column, low: str, high: str) -> Column:
+    return F.size(F.filter(F.split(s, ""), lambda c: c.between(low, high)))
+
+
+def replaced_first(s: Column, old: str, new: str) -> Column:
+    """With a text's first occurrence replaced; what follows it stays."""
+    at = F.instr(s, old)
+    return F.when(at > 0, F.concat(F.substring(s, F.lit(1), at - 1), F.lit(new), F.substring(s, at + len(old), F.length(s)))).otherwise(s)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

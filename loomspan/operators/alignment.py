@@ -58,6 +58,11 @@ def gapped(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return rows.select(key, line("sa", "x").alias(a), line("sb", "y").alias(b))
 
 
+def at_target(df: DataFrame, y: Column | int) -> DataFrame:
+    """Steps of an alignment at one residue of the second sequence; none where it isn't aligned or in no step."""
+    return df.where(F.col("y") == y)
+
+
 def blocks(found: DataFrame, key: str, least: int = 1) -> DataFrame:
     """Ungapped runs of matches: first x, first y and length, of at least ``least``."""
     w = Window.partitionBy(key).orderBy("x")

@@ -98,6 +98,11 @@ def null_model(mode: int, pb: Column, q: Column, t: Column) -> Column:
     return {0: pb, 1: F.zip_with(q, t, lambda x, y: (x + y) / 2), 2: t, 3: q}[mode]
 
 
+def against_background(p: Column, background: Column) -> Column:
+    """Each probability over its background; 0 where that has none."""
+    return F.zip_with(p, background, lambda x, b: F.when(b > 0, x / b).otherwise(0.0))
+
+
 def effective_number(df: DataFrame, key: str, p: str) -> DataFrame:
     """key, neff: 2 to the mean column entropy."""
     entropy = total(F.transform(p, lambda x: F.when(x > 1e-10, -x * F.log2(x)).otherwise(0.0)))
