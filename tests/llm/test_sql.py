@@ -9,7 +9,7 @@ from loomspan.llm import registry
 
 def same(df, sql, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cols = sorted(df.columns)
     want = sorted(map(repr, con.sql(sql).df()[cols].astype(object).itertuples(index=False, name=None)))
