@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.profile import ALPHABETIC
+
 
 def from_gapped(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Rows of two gapped strings of equal length; double gaps stay, with both null."""
@@ -109,15 +111,65 @@ def spliced(parts: list[DataFrame], key: str) -> DataFrame:
     return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("part", "step")) - 1).alias("step"), "x", "y")
 
 
-def extended(found: DataFrame, residues_x: DataFrame, residues_y: DataFrame, key: str) -> DataFrame:
-    """Matches plus, at both ends of each block, the run of equal and unaligned residues on its diagonal."""
-    free_x = residues_x.join(found.select(key, "x"), [key, "x"], "left_anti")
-    free_y = residues_y.join(found.select(key, "y"), [key, "y"], "left_anti")
-    equal = free_x.join(free_y, (free_x[key] == free_y[key]) & (free_x["aa"] == free_y["aa"])).select(free_x[key], "x", "y")
-    equal = equal.withColumn("d", F.col("x") - F.col("y"))
-    near = found.select(key, (F.col("x") - F.col("y")).alias("d"), "x").distinct()
-    w = Window.partitionBy(key, "d").orderBy("x")
-    runs = equal.withColumn("g", F.col("x") - F.row_number().over(w)).groupBy(key, "d", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    touching = runs.join(near, [key, "d"]).where((F.col("x") == F.col("lo") - 1) | (F.col("x") == F.col("hi") + 1)).select(key, "d", "lo", "hi").distinct()
-    more = touching.select(key, "d", F.explode(F.sequence("lo", "hi")).alias("x")).select(key, "x", (F.col("x") - F.col("d")).alias("y"))
-    return found.select(key, "x", "y").unionByName(more)
+def extended(found: DataFrame, residues_x: DataFrame, residues_y: DataFrame, key: str, standard: str = ALPHABETIC) -> DataFrame:
+    """Matches plus, at both ends of each block, the run of equal and unaligned residues on its diagonal.
+
+    ``residues_x`` has key, x, aa, ``residues_y`` key, y, aa; unknown letters end a run. Between two blocks the first one's
+    run is taken whole and the second one's as far as residues are left. Work grows with the blocks and the gaps between
+    them, not with the product of both lengths."""
+    inside = blocks(found, key).select(key, "x", "y", "n")
+    sides = [rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(c, "aa"))).alias(c)).select(key, F.col(f"{c}.aa").alias(f"s{c}")) for c, rows in (("x", residues_x), ("y", residues_y))]
+    along = Window.partitionBy(key).orderBy("x")
+    first = F.lag("x").over(along).isNull()
+    # Gaps: before each block, and one after the last; from the residues behind the block before to those before the next.
+    gap = F.struct(F.coalesce(F.lag(F.col("x") + F.col("n")).over(along), F.lit(1)).alias("x"), F.coalesce(F.lag(F.col("y") + F.col("n")).over(along), F.lit(1)).alias("y"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), (~first).alias("after"), F.lit(True).alias("before"))
+    last = F.struct((F.col("x") + F.col("n")).alias("x"), (F.col("y") + F.col("n")).alias("y"), (F.size("sx") + 1).cast("long").alias("to_x"), (F.size("sy") + 1).cast("long").alias("to_y"), F.lit(True).alias("after"), F.lit(False).alias("before"))
+    rows = inside.join(sides[0], key).join(sides[1], key).withColumns({"gap": gap, "end": F.lead("x").over(along).isNull()})
+    kinds = "array<struct<x:bigint,y:bigint,to_x:bigint,to_y:bigint,after:boolean,before:boolean>>"
+    gaps = rows.select(key, "sx", "sy", F.explode(F.when(F.col("end"), F.array("gap", last).cast(kinds)).otherwise(F.array("gap").cast(kinds))).alias("g")).select(key, "sx", "sy", "g.*")
+    # Tails start side by side at the gap's front, heads at its back.
+    size = F.least(F.col("to_x") - F.col("x"), F.col("to_y") - F.col("y")).cast("int")
+
+    def cut(side: str, at: Column) -> Column:
+        return F.slice(side, F.greatest(at, F.lit(1)).cast("int"), F.greatest(size, F.lit(0)))
+
+    def run(x: Column, y: Column) -> Column:
+        """How many pairs from the first on are equal and standard."""
+        good = F.zip_with(x, y, lambda a, b: (a == b) & (a != "") & (F.instr(F.lit(standard), a) > 0))
+        stop = F.array_position(good, F.lit(False))
+        return F.when(stop > 0, stop - 1).otherwise(F.size(good)).cast("int")
+
+    tail = F.when(F.col("after"), run(cut("sx", F.col("x")), cut("sy", F.col("y")))).otherwise(0)
+    head = F.when(F.col("before"), run(F.reverse(cut("sx", F.col("to_x") - size)), F.reverse(cut("sy", F.col("to_y") - size)))).otherwise(0)
+    runs = gaps.withColumns({"tail": tail, "head": head}).withColumn("head", F.least("head", size - F.col("tail")))
+    ahead = F.transform(F.sequence(F.lit(0), F.col("tail") - 1), lambda k: F.struct((F.col("x") + k).alias("x"), (F.col("y") + k).alias("y")))
+    behind = F.transform(F.sequence(F.lit(1), F.col("head").cast("int")), lambda k: F.struct((F.col("to_x") - k).alias("x"), (F.col("to_y") - k).alias("y")))
+    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
+    more = F.concat(F.when(F.col("tail") > 0, ahead).otherwise(none), F.when(F.col("head") > 0, behind).otherwise(none))
+    added = runs.select(key, F.explode(more).alias("c")).select(key, F.col("c.x").cast("int").alias("x"), F.col("c.y").cast("int").alias("y"))
+    return found.select(key, "x", "y").unionByName(added)
+
+
+def spans(df: DataFrame, key: str) -> DataFrame:
+    """Steps of alignments with ``state`` (0 match, 1 gap in y, 2 gap in x), that of the step before in ``before`` (0 for the
+    first), from the first match of each to its last. Steps without a residue are left out."""
+    x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
+    rows = df.where(x | y).withColumn("state", F.when(x & y, 0).when(x, 1).otherwise(2))
+    whole, along = Window.partitionBy(key), Window.partitionBy(key).orderBy("step")
+    ends = {f: getattr(F, f)(F.when(F.col("state") == 0, F.col("step"))).over(whole) for f in ("min", "max")}
+    rows = rows.withColumns({"before": F.coalesce(F.lag("state").over(along), F.lit(0)), "first_match": ends["min"], "last_match": ends["max"]})
+    rows = rows.withColumn("before", F.when(F.col("step") == F.col("first_match"), 0).otherwise(F.col("before")))
+    return rows.where(F.col("step").between(F.col("first_match"), F.col("last_match"))).drop("first_match", "last_match")
+
+
+def rescored(steps: DataFrame, key: str, penalties: dict) -> DataFrame:
+    """key, score, lali: the score anew of ``spans`` rows with their potential ``phi``, and how many residues of y they hold.
+
+    Matches count clipped and with their penalty; a gap in y after a gap in x is free."""
+    p, state, before, phi = penalties, F.col("state"), F.col("before"), F.col("phi")
+    low, high = (F.lit(float(v)) for v in p["clip"])
+    value = (
+        F.when(state == 0, F.least(F.greatest(phi, low), high) + p["mm"]).when((state == 1) & (before == 2), 0.0)
+        .when(state == 1, phi + F.when(before == 0, p["mi"]).otherwise(p["ii"])).otherwise(phi + F.when(before == 0, p["md"]).when(before == 1, p["id"]).otherwise(p["dd"]))
+    )
+    return steps.groupBy(key).agg((F.greatest(F.lit(0.0), F.sum(value)) / p["divisor"]).alias("score"), F.count_if(state != 1).alias("lali"))

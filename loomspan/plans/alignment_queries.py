@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.edit import global_score
-from loomspan.operators import alignment, dynamic, refine
+from loomspan.operators import alignment, dynamic, refine, sweeps
 from loomspan.plans.profile_queries import r, t
 
 QUERIES: dict = {}
@@ -167,18 +167,8 @@ SELECT pair_id, round(greatest(0, sum(CASE WHEN st = 0 THEN least(greatest(phi,
 FROM l WHERE step BETWEEN lo AND hi GROUP BY pair_id""")
 def path_rescore(spark, d):
     """Score of a path's span from its first to its last match, under the penalties of template alignment."""
-    p = dynamic.PENALTIES["template"]
-    x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
-    s = aligned(spark, d, "a").where(x | y).withColumn("st", F.when(x & y, 0).when(x, 1).otherwise(2)).withColumn("phi", (F.col("step") * 37 + F.col("pair_id") * 11) % 19 / 2.0)
-    w, o = Window.partitionBy("pair_id"), Window.partitionBy("pair_id").orderBy("step")
-    s = s.withColumn("pre", F.coalesce(F.lag("st").over(o), F.lit(0))).withColumn("lo", F.min(F.when(F.col("st") == 0, F.col("step"))).over(w)).withColumn("hi", F.max(F.when(F.col("st") == 0, F.col("step"))).over(w))
-    st, pre, phi = F.col("st"), F.col("pre"), F.col("phi")
-    v = (
-        F.when(st == 0, F.least(F.greatest(phi, F.lit(p["clip"][0])), F.lit(p["clip"][1])) + p["mm"]).when((st == 1) & (pre == 2), 0.0)
-        .when(st == 1, phi + F.when(pre == 0, p["mi"]).otherwise(p["ii"])).otherwise(phi + F.when(pre == 0, p["md"]).when(pre == 1, p["id"]).otherwise(p["dd"]))
-    )
-    inside = s.where(F.col("step").between(F.col("lo"), F.col("hi"))).withColumn("v", v)
-    return inside.groupBy("pair_id").agg(r(F.greatest(F.lit(0.0), F.sum("v")) / p["divisor"]).alias("score"), F.count_if(st != 1).alias("lali"))
+    steps = alignment.spans(aligned(spark, d, "a"), "pair_id").withColumn("phi", (F.col("step") * 37 + F.col("pair_id") * 11) % 19 / 2.0)
+    return alignment.rescored(steps, "pair_id", dynamic.PENALTIES["template"]).withColumn("score", r(F.col("score")))
 
 
 @query(f"""SELECT pair_id, string_agg(CASE WHEN x IS NULL THEN '-' ELSE left(event_type, 1) END, '' ORDER BY step) AS a, string_agg(CASE WHEN y IS NULL THEN '-' ELSE upper(left(event_type, 1)) END, '' ORDER BY step) AS b
@@ -290,18 +280,19 @@ def model_alignment(spark, d):
         near = (hot + np.roll(hot, 1, 0) + np.roll(hot, -1, 0)) / 3
         return near / near.sum(1, keepdims=True)
 
-    def one(q, u):
-        p, s = columns(q), columns(u)
-        score = np.log2(p @ (s / 0.2).T)
-        tr = np.tile(np.log2([0.95, 0.025, 0.025, 0.25, 0.75, 0.25, 0.75]), (max(len(q), len(u)) + 1, 1))
-        phi = dynamic.pair_potentials(score, tr[: len(q) + 1], tr[: len(u) + 1])
-        best, path = dynamic.local_path(dynamic.PAIR, phi)
-        total, post = dynamic.pair_posterior(phi, score)
-        gain, mac = dynamic.most_accurate(post)
-        on = np.array([score[x - 1, y - 1] for st, x, y in path if st == 0])
-        return {"viterbi": round(best, 6), "forward": round(total, 6), "posterior": round(float(post.sum()), 6), "mac": round(gain, 6), "n_mac": len(mac), "correlation": round(dynamic.neighbour_correlation(on), 6)}
-
-    return dynamic.pairs_apply(pairs.withColumnRenamed("user_id", "pair_id"), one, ["q", "t"], "viterbi double, forward double, posterior double, mac double, n_mac long, correlation double")
+    steps = np.log2([0.95, 0.025, 0.025, 0.25, 0.75, 0.25, 0.75])
+
+    def some(q, u):
+        p, s = [columns(z) for z in q], [columns(z) / 0.2 for z in u]
+        moves = [[np.tile(steps, (len(z) + 1, 1)) for z in side] for side in (q, u)]
+        out = []
+        for a, b, z in zip(p, s, sweeps.align_models(p, s, *moves), strict=True):
+            on = np.array([np.log2(a[x - 1] @ b[y - 1]) for st, x, y in z.path if st == 0])
+            out.append({"viterbi": round(z.score, 6), "forward": round(z.total, 6), "posterior": round(z.posterior, 6), "mac": round(z.gain, 6), "n_mac": len(z.accurate), "correlation": round(dynamic.neighbour_correlation(on), 6)})
+        return out
+
+    sizes = F.size("q"), F.size("t")
+    return sweeps.in_batches(pairs.withColumnRenamed("user_id", "pair_id"), some, ["q", "t"], sizes, "viterbi double, forward double, posterior double, mac double, n_mac long, correlation double")
 
 
 @query()

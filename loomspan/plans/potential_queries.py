@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.vectors import normalised
-from loomspan.operators import potentials
+from loomspan.operators import potentials, tiles
 from loomspan.plans.profile_queries import r, t
 
 QUERIES: dict = {}
@@ -162,7 +162,7 @@ def _potential_sql(m: int, scale: float, size: int) -> str:
 @query(f"""WITH {_features_sql('template')} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {", ".join(f"round({_potential_sql(m, potentials.MATCH_SCALE, 396)}, 6) AS {c}" for c, m in potentials.MATCH.items())} FROM f""")
 def match_potentials(spark, d):
     rows = positions(spark, d)
-    found = potentials.potentials(potentials.cell_features(pairs(rows), rows, rows, NULL, TABLES), model(), potentials.MATCH, potentials.MATCH_SCALE)
+    found = tiles.tile_potentials(pairs(rows), rows, rows, model(), NULL, TABLES, cells=True)
     return found.select("pair_id", "x", "y", *[r(F.col(c)).alias(c) for c in potentials.MATCH])
 
 
