@@ -1,4 +1,4 @@
-"""Potentials of the cells of profile pairs: cell features, diagonal windows, gate outputs, and the alignment they lead to.
+"""Potentials of the cells of profile pairs: cell features, diagonal windows and gate outputs; ``tiles`` computes them faster.
 
 A table of positions has profile_id, pos (from 1, without holes), aa_idx (0..19 in matrix order, 20 unknown), own (index of
 the residue in ``p``, null if unknown), p and s (20 probabilities and log2 scores), raw (20 probabilities before smoothing),
@@ -15,15 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import similarity
 from loomspan.functions.vectors import dot
-from loomspan.operators import dynamic
-from loomspan.operators.profile import UNKNOWN, same_state_as_before
+from loomspan.operators.profile import UNKNOWN
 
 WINDOW = 5
 # Similarity of three secondary structure classes.
@@ -175,37 +173,3 @@ def potentials(df: DataFrame, model: Model, transitions: dict[str, int], scale:
 def gap_potentials(positions: DataFrame, model: Model, side: str) -> DataFrame:
     """profile_id, pos and the potentials of gaps: once for each position, not for each cell."""
     return potentials(gap_features(positions), model, TEMPLATE_GAPS if side == "template" else TARGET_GAPS, GAP_SCALE)
-
-
-def align(pairs: DataFrame, templates: DataFrame, targets: DataFrame, model: Model, null: list[float], tables: tuple[list[float], list[float]], salts: int = 16, most: int | None = None) -> DataFrame:
-    """pair_id, raw, score, matches, path: the best local alignment of each pair under the model and the template's chain.
-
-    ``templates`` also have is_missing and ca (three coordinates, null if missing); ``targets`` need neither. ``path`` is
-    state:x:y by step. One pair is one group: its memory is some 400 bytes a cell."""
-    cells = potentials(cell_features(pairs, templates, targets, null, tables, "template", None, salts), model, MATCH, MATCH_SCALE, most)
-    chain = templates.select("profile_id", "pos", ((F.col("aa_idx") < UNKNOWN) & ~F.col("is_missing")).alias("known"), same_state_as_before("ss", "profile_id", "pos").alias("follows"), "ca")
-    chain = chain.join(gap_potentials(templates, model, "template"), ["profile_id", "pos"])
-    other = targets.select("profile_id", "pos", (F.col("aa_idx") < UNKNOWN).alias("known_y")).join(gap_potentials(targets, model, "target"), ["profile_id", "pos"])
-
-    def packed(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
-        whole = rows.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("z"))
-        return whole.select(F.col("profile_id").alias(key), *[F.col(f"z.{c}").alias(c) for c in names])
-
-    sides = pairs.select("pair_id", "template_id", "target_id").join(packed(chain, "template_id", ["known", "follows", "ca", "mi", "ii"]), "template_id").join(packed(other, "target_id", ["known_y", "md", "dd", "id"]), "target_id")
-
-    def one(cell: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        if not len(cell) or not len(side):
-            return pd.DataFrame({c: [] for c in ("pair_id", "raw", "score", "matches", "path")})
-        s = side.iloc[0]
-        lx, ly = len(s["known"]), len(s["known_y"])
-        match = np.zeros((3, lx, ly))
-        match[:, cell["x"] - 1, cell["y"] - 1] = cell[list(MATCH)].to_numpy().T
-        ca = np.array([[np.nan] * 3 if v is None else v for v in s["ca"]], float)
-        distance = np.sqrt(((ca[:, None] - ca[None]) ** 2).sum(2))
-        gaps = [np.stack([np.asarray(s[c], float) for c in names]) for names in (TEMPLATE_GAPS, TARGET_GAPS)]
-        known = np.asarray(s["known"], bool)[:, None] & np.asarray(s["known_y"], bool)[None]
-        raw, score, path = dynamic.constrained(match, *gaps, known, np.asarray(s["follows"], bool), np.where(np.isnan(distance), dynamic.RADIUS, distance))
-        return pd.DataFrame({"pair_id": [s["pair_id"]], "raw": [raw], "score": [score], "matches": [sum(k == 0 for k, _, _ in path)], "path": [" ".join(f"{k}:{x}:{y}" for k, x, y in path)]})
-
-    kind = dict(pairs.dtypes)["pair_id"]
-    return cells.groupBy("pair_id").cogroup(sides.groupBy("pair_id")).applyInPandas(one, f"pair_id {kind}, raw double, score double, matches long, path string")

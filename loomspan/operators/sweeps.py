@@ -449,7 +449,8 @@ def in_batches(pairs: DataFrame, kernel: Callable[..., list[dict]], columns: lis
     kind, names = dict(pairs.dtypes)["pair_id"], [c.split(" ")[0] for c in schema.split(", ")]
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.select("pair_id", *columns, *[F.coalesce(z, F.lit(0)).cast("long").alias(f"size{k}") for k, z in enumerate(sizes)])
-    rows = rows.repartition(tasks, "pair_id").sortWithinPartitions("size0", "size1")
+    # By a hash of the id: a partitioning by the id itself may be there already, for fewer tasks.
+    rows = rows.repartition(tasks, F.xxhash64("pair_id")).sortWithinPartitions("size0", "size1")
 
     def done(batch: list[tuple]) -> pd.DataFrame:
         found = kernel(*zip(*[row[1:-2] for row in batch], strict=True))

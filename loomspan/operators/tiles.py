@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.similarity import ACCESS_BY_DIFFERENCE
@@ -189,13 +189,27 @@ def laid_out(rows: list[dict], first: int, size: int) -> tuple[np.ndarray, np.nd
 
 
 def tile_rows(pairs: DataFrame, templates: DataFrame, targets: DataFrame, size: int = TILE, extra: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
-    """pair_id, tx, ty, t, u: the blocks of both sides of each tile of each pair."""
-    both = met(pairs.select("pair_id", "template_id", "target_id"), blocks(templates, size, extra=extra[0]), "template_id", {"block": "tx", "rows": "t"})
-    return met(both, blocks(targets, size, extra=extra[1]), "target_id", {"block": "ty", "rows": "u"}).select("pair_id", "tx", "ty", "t", "u")
+    """pair_id, lx, ly, tx, ty, t, u: the lengths of each pair and the blocks of both sides of each of its tiles."""
+    length = lambda rows, key, name: rows.groupBy(F.col("profile_id").alias(key)).agg(F.max("pos").cast("int").alias(name))
+    own = pairs.select("pair_id", "template_id", "target_id").join(length(templates, "template_id", "lx"), "template_id").join(length(targets, "target_id", "ly"), "target_id")
+    both = met(own, blocks(templates, size, extra=extra[0]), "template_id", {"block": "tx", "rows": "t"})
+    rows = met(both, blocks(targets, size, extra=extra[1]), "target_id", {"block": "ty", "rows": "u"})
+    # A tile's work is large for its bytes: tiles go to all tasks, however few bytes they have together.
+    return rows.select("pair_id", "lx", "ly", "tx", "ty", "t", "u").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id", "tx", "ty")
+
+
+def tile_rows_of(cells: DataFrame, pairs: DataFrame, templates: DataFrame, targets: DataFrame, size: int = TILE) -> DataFrame:
+    """``tile_rows`` of the tiles that hold ``cells`` (pair_id, x, y) only, with those cells in ``cells``."""
+    at = [F.floor((F.col(c) - 1) / size).alias(f"t{c}") for c in "xy"]
+    touched = cells.select("pair_id", "x", "y", *at).groupBy("pair_id", "tx", "ty").agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("cells"))
+    rows = touched.join(pairs.select("pair_id", "template_id", "target_id"), "pair_id")
+    for side, key, block, name in ((templates, "template_id", "tx", "t"), (targets, "target_id", "ty", "u")):
+        rows = rows.join(blocks(side, size).select(F.col("profile_id").alias(key), F.col("block").alias(block), F.col("rows").alias(name)), [key, block])
+    return rows.select("pair_id", F.lit(0).alias("lx"), F.lit(0).alias("ly"), "tx", "ty", "t", "u", "cells")
 
 
 def _tiles(rows: DataFrame, similarity: Similarity, gates: Gates, names: list[str], size: int, most: int | None, cells: bool) -> DataFrame:
-    inner = slice(HALO, HALO + size)
+    inner, some = slice(HALO, HALO + size), "cells" in rows.columns
 
     def one(r: dict) -> tuple[int, int, int, int, list[np.ndarray], list[bytes]]:
         x0, y0 = r["tx"] * size + 1, r["ty"] * size + 1
@@ -213,32 +227,45 @@ def _tiles(rows: DataFrame, similarity: Similarity, gates: Gates, names: list[st
                 x0, y0, nx, ny, found, sides = one(r)
                 ids = batch.column(0).slice(k, 1)
                 if cells:
-                    x, y = (pa.array(g.ravel().astype(np.int32)) for g in np.mgrid[x0 : x0 + nx, y0 : y0 + ny])
-                    yield pa.RecordBatch.from_arrays([pa.repeat(ids[0], nx * ny), x, y, *[pa.array(f.ravel()) for f in found]], names=["pair_id", "x", "y", *names])
+                    x, y = (np.array([c[z] for c in r["cells"]]) for z in "xy") if some else (g.ravel() for g in np.mgrid[x0 : x0 + nx, y0 : y0 + ny])
+                    values = [pa.array(f[x - x0, y - y0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(ids[0], len(x)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), *values], names=["pair_id", "x", "y", *names])
                 else:
-                    whole = [pa.array([z], pa.int32()) for z in (r["tx"], r["ty"], x0, y0, nx, ny)]
+                    whole = [pa.array([z], pa.int32()) for z in (r["lx"], r["ly"], r["tx"], r["ty"], x0, y0, nx, ny)]
                     arrays = [pa.ListArray.from_arrays(pa.array([0, nx * ny], pa.int32()), pa.array(f.ravel())) for f in found]
                     extra = [pa.array([z], pa.binary()) for z in sides]
-                    yield pa.RecordBatch.from_arrays([ids, *whole, *arrays, *extra], names=["pair_id", "tx", "ty", "x0", "y0", "nx", "ny", *names, "sx", "sy"])
+                    yield pa.RecordBatch.from_arrays([ids, *whole, *arrays, *extra], names=["pair_id", "lx", "ly", "tx", "ty", "x0", "y0", "nx", "ny", *names, "sx", "sy"])
 
     kind = dict(rows.dtypes)["pair_id"]
     if cells:
         return rows.mapInArrow(run, f"pair_id {kind}, x int, y int, {', '.join(f'{c} double' for c in names)}")
-    return rows.mapInArrow(run, f"pair_id {kind}, tx int, ty int, x0 int, y0 int, nx int, ny int, {', '.join(f'{c} array<double>' for c in names)}, sx binary, sy binary")
+    return rows.mapInArrow(run, f"pair_id {kind}, lx int, ly int, tx int, ty int, x0 int, y0 int, nx int, ny int, {', '.join(f'{c} array<double>' for c in names)}, sx binary, sy binary")
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """What potentials of cells are computed with: the model, 20 offsets in log2, two tables of 400 values by residue pair,
+    and, in mode ``target``, a third one; ``most`` keeps the first entries of a cell that aren't zero, the bias among them."""
+
+    model: Model
+    null: list[float]
+    tables: tuple[list[float], list[float]]
+    mode: str = "template"
+    substitution: list[float] | None = None
+    most: int | None = None
+
+    def tiles(self, rows: DataFrame, size: int, cells: bool, transitions: dict[str, int] = MATCH) -> DataFrame:
+        similarity = Similarity(np.asarray(self.null, float), np.asarray(self.tables, float), self.mode, None if self.substitution is None else np.asarray(self.substitution, float))
+        return _tiles(rows, similarity, Gates.of(self.model, list(transitions.values()), MATCH_SCALE), list(transitions), size, self.most, cells)
 
 
-def tile_potentials(
-    pairs: DataFrame, templates: DataFrame, targets: DataFrame, model: Model, null: list[float], tables: tuple[list[float], list[float]], mode: str = "template", substitution: list[float] | None = None,
-    most: int | None = None, size: int = TILE, cells: bool = False, transitions: dict[str, int] = MATCH, extra: tuple[list[str], list[str]] = ([], []),
-) -> DataFrame:
-    """pair_id, tx, ty, x0, y0, nx, ny, for each transition the potentials of the tile's cells, y fastest, and in sx and sy the
-    numbers ``extra`` of the tile's template and target positions; with ``cells`` pair_id, x, y and the potentials of each
-    cell. Pairs of which a profile has no position have no tile."""
-    similarity = Similarity(np.asarray(null, float), np.asarray(tables, float), mode, None if substitution is None else np.asarray(substitution, float))
-    gates = Gates.of(model, list(transitions.values()), MATCH_SCALE)
-    return _tiles(tile_rows(pairs, templates, targets, size, extra), similarity, gates, list(transitions), size, most, cells)
+def tile_potentials(pairs: DataFrame, templates: DataFrame, targets: DataFrame, scoring: Scoring, size: int = TILE, extra: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """pair_id, lx, ly, tx, ty, x0, y0, nx, ny, the potentials m0, m1, m2 of the tile's cells, y fastest, and in sx and sy the
+    numbers ``extra`` of its template and target positions. Pairs of which a profile has no position have no tile."""
+    return scoring.tiles(tile_rows(pairs, templates, targets, size, extra), size, False)
 
 
-def value_at(tile: str, x: Column, y: Column) -> Column:
-    """The value of cell (x, y) in a tile's array."""
-    return F.get(F.col(tile), (x - F.col("x0")) * F.col("ny") + (y - F.col("y0")))
+def cell_potentials(pairs: DataFrame, templates: DataFrame, targets: DataFrame, scoring: Scoring, size: int = TILE, cells: DataFrame | None = None) -> DataFrame:
+    """pair_id, x, y, m0, m1, m2: of all cells of the pairs, or of ``cells`` (pair_id, x, y) and with their tiles' work only."""
+    rows = tile_rows(pairs, templates, targets, size) if cells is None else tile_rows_of(cells, pairs, templates, targets, size)
+    return scoring.tiles(rows, size, True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.vectors import normalised
-from loomspan.operators import potentials, tiles
+from loomspan.operators import chain, potentials, tiles
 from loomspan.plans.profile_queries import r, t
 
 QUERIES: dict = {}
@@ -162,7 +162,7 @@ def _potential_sql(m: int, scale: float, size: int) -> str:
 @query(f"""WITH {_features_sql('template')} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {", ".join(f"round({_potential_sql(m, potentials.MATCH_SCALE, 396)}, 6) AS {c}" for c, m in potentials.MATCH.items())} FROM f""")
 def match_potentials(spark, d):
     rows = positions(spark, d)
-    found = tiles.tile_potentials(pairs(rows), rows, rows, model(), NULL, TABLES, cells=True)
+    found = tiles.cell_potentials(pairs(rows), rows, rows, tiles.Scoring(model(), NULL, TABLES))
     return found.select("pair_id", "x", "y", *[r(F.col(c)).alias(c) for c in potentials.MATCH])
 
 
@@ -181,6 +181,22 @@ def gap_potentials(spark, d):
 
 @query()
 def template_alignment(spark, d):
-    """From positions through features and potentials to the best alignment under the template's chain."""
+    """From positions through potentials to the mended alignment under the template's chain, scored anew."""
     rows = positions(spark, d)
-    return potentials.align(pairs(rows), rows, rows, model(35.0), NULL, TABLES).withColumns({"raw": r(F.col("raw")), "score": r(F.col("score"))})
+    scores, steps = chain.aligned(pairs(rows), rows, rows, tiles.Scoring(model(35.0), NULL, TABLES))
+    texts = chain.fasta(steps, chain.sequences(pairs(rows), rows, rows)).select("pair_id", "a", "b")
+    return scores.withColumns({"raw": r(F.col("raw")), "score": r(F.col("score"))}).join(texts, "pair_id", "left")
+
+
+@query()
+def searched_alignment(spark, d):
+    """The chained program: overlap with a known alignment before and after the greedy search towards it.
+
+    Known are matches along a diagonal that the pair's number shifts, but for each eleventh residue."""
+    rows = positions(spark, d)
+    own = pairs(rows)
+    shift = F.pmod(F.col("pair_id"), F.lit(5)) - 2
+    known = own.join(rows.select(F.col("profile_id").alias("template_id"), F.col("pos").alias("x")), "template_id").where("x % 11 <> 0").select("pair_id", "x", (F.col("x") + shift).cast("int").alias("y"))
+    known = known.join(own.join(rows.select(F.col("profile_id").alias("target_id"), F.col("pos").alias("y")), "target_id").select("pair_id", "y"), ["pair_id", "y"])
+    found = chain.run(own, rows, rows, tiles.Scoring(model(35.0), NULL, TABLES), known)
+    return found.overlap.join(found.scores.select("pair_id", r(F.col("score")).alias("score"), "lali"), "pair_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import positions, potentials
+from loomspan.operators import chain, positions, potentials, tiles
 from loomspan.operators.profile import ALPHABETIC
 from loomspan.plans import potential_queries
 from loomspan.sources import model_weights, text_profiles
@@ -105,13 +105,14 @@ def test_alignment_of_equal_sequences(spark, sides):
     outputs[[0, 3, 6], 0] = 40.0
     outputs[[0, 3, 6], 1] = -26.0  # 7 with gates half open, else 14
     pairs = spark.createDataFrame([(1, "one", "two")], "pair_id int, template_id string, target_id string")
-    got = potentials.align(pairs, *sides, potentials.Model(outputs, hidden), NULL, NONE).collect()
-    assert len(got) == 1 and got[0].raw > 0
-    cells = [tuple(map(int, s.split(":"))) for s in got[0].path.split()]
-    on = [(x, y) for s, x, y in cells if s == 0]
-    assert all(x == y for x, y in on) and 5 not in [x for x, _ in on] and 22 not in [x for x, _ in on] and got[0].matches == len(on) >= 10
+    scoring = tiles.Scoring(potentials.Model(outputs, hidden), NULL, NONE)
+    scores, steps = chain.aligned(pairs, *sides, scoring)
+    got = scores.collect()
+    assert len(got) == 1 and got[0].raw > 0 and got[0].score > 0
+    on = [(r.x, r.y) for r in steps.collect() if r.x and r.y]
+    assert all(x == y for x, y in on) and 5 not in [x for x, _ in on] and 22 not in [x for x, _ in on] and got[0].lali >= len(on) >= 10
     none = spark.createDataFrame([], "pair_id int, template_id string, target_id string")
-    assert potentials.align(none, *sides, potentials.Model(outputs, hidden), NULL, NONE).collect() == []
+    assert [d.collect() for d in chain.aligned(none, *sides, scoring)] == [[], []]
 
 
 def test_model_weights(spark, tmp_path):
