@@ -200,7 +200,7 @@ def scored(steps: DataFrame, pairs: DataFrame, templates: DataFrame, targets: Da
 
 def aligned(pairs: DataFrame, templates: DataFrame, targets: DataFrame, scoring: Scoring, size: int = TILE) -> tuple[DataFrame, DataFrame]:
     """pair_id, raw, score, lali, lx, ly of each pair, and the steps of its mended alignment."""
-    first, second = with_gaps(templates, targets, scoring)
+    first, second = map(checkpointed, with_gaps(templates, targets, scoring))
     paths = checkpointed(best_paths(laid_tiles(pairs, first, second, scoring, size), size))
     steps = checkpointed(mended(paths, pairs, first, second))
     scores = scored(steps, pairs, first, second, scoring, size)
@@ -267,7 +267,7 @@ class Chain:
 
 def run(pairs: DataFrame, templates: DataFrame, targets: DataFrame, scoring: Scoring, known: DataFrame, reach: int = refine.RANGE, depth: int = refine.DEPTH, size: int = TILE) -> Chain:
     """The whole program, with ``known`` alignments (pair_id, x, y, null for a gap) to search towards."""
-    first, second = with_gaps(templates, targets, scoring)
+    first, second = map(checkpointed, with_gaps(templates, targets, scoring))
     tiles = laid_tiles(pairs, first, second, scoring, size)
     paths = checkpointed(best_paths(tiles, size))
     before = checkpointed(mended(paths, pairs, first, second))

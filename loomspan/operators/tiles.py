@@ -64,12 +64,12 @@ def blocks(positions: DataFrame, size: int = TILE, halo: int = HALO, extra: list
     return whole.where("own").drop("own")
 
 
-def met(pairs: DataFrame, side: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
-    """``pairs`` joined with the rows of ``side`` of their profile, renamed; the few profiles of many pairs by a salt."""
-    total = pairs.count()
+def met(rows: DataFrame, side: DataFrame, key: str, names: dict[str, str], pairs: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with those of ``side`` of their profile, renamed; the few profiles of many of the ``total`` pairs by a
+    salt."""
     often = F.broadcast(pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * SHARE > total).select(F.col(key).alias("often")))
     salt = lambda on: F.when(F.col("often").isNotNull(), on)
-    left = pairs.join(often, F.col(key) == F.col("often"), "left").withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64("pair_id"), F.lit(SALTS))), F.lit(0))).drop("often")
+    left = rows.join(often, F.col(key) == F.col("often"), "left").withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64("pair_id"), F.lit(SALTS))), F.lit(0))).drop("often")
     right = side.join(often, F.col("profile_id") == F.col("often"), "left")
     salts = F.coalesce(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0)))
     right = right.select(F.col("profile_id").alias(key), *[F.col(a).alias(b) for a, b in names.items()], F.explode(salts).alias("salt"))
@@ -192,8 +192,9 @@ def tile_rows(pairs: DataFrame, templates: DataFrame, targets: DataFrame, size:
     """pair_id, lx, ly, tx, ty, t, u: the lengths of each pair and the blocks of both sides of each of its tiles."""
     length = lambda rows, key, name: rows.groupBy(F.col("profile_id").alias(key)).agg(F.max("pos").cast("int").alias(name))
     own = pairs.select("pair_id", "template_id", "target_id").join(length(templates, "template_id", "lx"), "template_id").join(length(targets, "target_id", "ly"), "target_id")
-    both = met(own, blocks(templates, size, extra=extra[0]), "template_id", {"block": "tx", "rows": "t"})
-    rows = met(both, blocks(targets, size, extra=extra[1]), "target_id", {"block": "ty", "rows": "u"})
+    total = pairs.count()
+    both = met(own, blocks(templates, size, extra=extra[0]), "template_id", {"block": "tx", "rows": "t"}, pairs, total)
+    rows = met(both, blocks(targets, size, extra=extra[1]), "target_id", {"block": "ty", "rows": "u"}, pairs, total)
     # A tile's work is large for its bytes: tiles go to all tasks, however few bytes they have together.
     return rows.select("pair_id", "lx", "ly", "tx", "ty", "t", "u").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id", "tx", "ty")
 
