@@ -122,7 +122,7 @@ def _swept(size: int, mode: str):
     def swept(tiles: list[Iterator[Tile]], ids: pa.Array, lengths: list[tuple[int, int]]) -> pa.RecordBatch:
         band = Band(tiles, np.array(lengths), size, mode)
         # Of equal ends a gap's comes before a match's.
-        value, paths = Sweep(THREE, band.lengths, band).best(True, band.geometry, order=(2, 1, 0), once=True)
+        value, paths = Sweep(THREE, band.lengths, band).best("local", band.geometry, order=(2, 1, 0), once=True)
         columns = list(zip(*lengths, strict=True))
         steps = [[{"state": s, "x": x, "y": y} for s, x, y in path] for path in paths]
         return pa.RecordBatch.from_arrays(

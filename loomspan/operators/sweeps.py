@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators.dynamic import LEAST_POSTERIOR, NONE, PAIR, SHIFT, Machine, Path
+from loomspan.operators.dynamic import LEAST_POSTERIOR, NONE, PAIR, SHIFT, THREE, Machine, Path
 
 #: Bytes of diagonals that are kept; beyond it, blocks are computed again.
 ROOM = 64 << 20
@@ -97,13 +97,15 @@ class Sweep:
 
     # Best paths.
 
-    def _best_step(self, d: int, before: tuple, local: bool, geometry: Geometry | None) -> tuple:
+    def _best_step(self, d: int, before: tuple, mode: str, geometry: Geometry | None) -> tuple:
         """A diagonal's values, the last match on each one's path, and the packed arcs that gave them."""
         x0, x1 = self.span(d)
         value, arcs = self.empty(), np.zeros((self.states, self.pairs, self.lx + 2), self.packed)
         last = None if geometry is None else np.zeros(value.shape, np.int32)
-        if local:
+        if mode == "local":
             value[:, :, x0 + 1 : x1 + 2] = 0
+        if mode == "free":
+            value[0, :, [x + 1 for x in {0, d} if x0 <= x <= x1]] = 0
         if d == 0:
             value[0, :, 1] = 0
         weights = self.weights(d, x0, x1)
@@ -124,10 +126,13 @@ class Sweep:
     def _outside(self, geometry: Geometry | None) -> tuple:
         return self.empty(), None if geometry is None else np.zeros((self.states, self.pairs, self.lx + 2), np.int32), None
 
-    def best(self, local: bool, geometry: Geometry | None = None, ends: tuple[int, ...] | None = None, order: tuple[int, ...] | None = None, once: bool = False) -> tuple[np.ndarray, list[Path]]:
-        """The best value and path of each pair. Local paths end anywhere, whole ones in the last cell, in one of the states
-        ``ends``. Of equal ends the first one by the states' ``order``, then x, then y, is taken. With ``once`` weights are
-        asked for once, from the first diagonal to the last, and all packed arcs are kept: a byte or two for each cell."""
+    def best(self, mode: str = "whole", geometry: Geometry | None = None, order: tuple[int, ...] | None = None, once: bool = False) -> tuple[np.ndarray, list[Path]]:
+        """The best value and path of each pair.
+
+        ``whole`` paths lead from the first cell to the last; ``local`` ones begin and end anywhere, with a value above 0;
+        ``free`` ones begin in state 0 before the first residue of a side and end in it with the last residue of a side. Of
+        equal ends the first one by the states' ``order``, then x, then y, is taken. With ``once`` weights are asked for
+        once, from the first diagonal to the last, and all packed arcs are kept: a byte or two for each cell."""
         order, once = order or tuple(range(self.states)), once or self.block == self.count
         top, at = np.full(self.pairs, NONE), np.full((self.pairs, 3), -1)
         saved, kept = [], {}
@@ -135,13 +140,13 @@ class Sweep:
         for d in range(self.count):
             if d % self.block == 0:
                 saved.append(recent)
-            new = self._best_step(d, recent, local, geometry)
+            new = self._best_step(d, recent, mode, geometry)
             recent = (new, recent[0])
             if once:
                 kept[d] = new[2]
-            self._ends(d, new[0], local, ends or order, top, at)
+            self._ends(d, new[0], mode, order, top, at)
         value = np.where(np.isfinite(top), top, NONE)
-        open_ = {b: (int(s), int(x), int(y)) for b, (s, x, y) in enumerate(at) if s >= 0 and not (local and top[b] <= 0)}
+        open_ = {b: (int(s), int(x), int(y)) for b, (s, x, y) in enumerate(at) if s >= 0 and not (mode == "local" and top[b] <= 0)}
         paths: list[Path] = [[] for _ in range(self.pairs)]
         for number, block in reversed(list(enumerate(self._blocks()))):
             if not any(x + y >= block[0] for _, x, y in open_.values()):
@@ -149,7 +154,7 @@ class Sweep:
             if not once:
                 recent, kept = saved[number], {}
                 for d in block:
-                    new = self._best_step(d, recent, local, geometry)
+                    new = self._best_step(d, recent, mode, geometry)
                     recent, kept[d] = (new, recent[0]), new[2]
             for b, (s, x, y) in list(open_.items()):
                 while x + y >= block[0]:
@@ -164,12 +169,16 @@ class Sweep:
                     open_[b] = (s, x, y)
         return value, [p[::-1] for p in paths]
 
-    def _ends(self, d: int, value: np.ndarray, local: bool, states: tuple[int, ...], top: np.ndarray, at: np.ndarray) -> None:
+    def _ends(self, d: int, value: np.ndarray, mode: str, states: tuple[int, ...], top: np.ndarray, at: np.ndarray) -> None:
         x0, x1 = self.span(d)
-        if local:
-            here = np.where(self.inside(d), value[list(states), :, x0 + 1 : x1 + 2], NONE)
+        if mode != "whole":
+            good = self.inside(d)
+            if mode == "free":
+                x, states = np.arange(x0, x1 + 1), (0,)
+                good = good & ((x == self.lengths[:, :1]) | (d - x == self.lengths[:, 1:])) & (x > 0) & (d > x)
+            here = np.where(good, value[list(states), :, x0 + 1 : x1 + 2], NONE)
             most = here.max((0, 2))
-            for b in np.flatnonzero(most >= top):
+            for b in np.flatnonzero((most >= top) & np.isfinite(most)):
                 k, i = np.unravel_index(int(here[:, b].argmax()), here[:, b].shape)
                 place = (int(k), x0 + int(i), d - x0 - int(i))
                 own = (states.index(int(at[b, 0])), *at[b, 1:]) if at[b, 0] >= 0 else None
@@ -316,9 +325,18 @@ class Models:
 
         (self.q, self.a), (y, b) = sides(q, lengths[:, 0]), sides(t, lengths[:, 1])
         self.t, self.b = y[:, :, ::-1], b[:, :, ::-1]  # so that y = d - x runs forward
+        self.closed: dict[int, list[tuple[int, int]]] = {}
         least = np.minimum(60, (0.333 * lengths.min(1)).astype(int) + 1)
         self.least, self.lq, self.lt = least[:, None], lengths[:, :1], lengths[:, 1:]
 
+    def close(self, pair: int, path: Path, reach: int = 2) -> None:
+        """No further path of a pair enters a cell of ``path`` or one up to ``reach`` beside it."""
+        for _, x, y in path:
+            for k in range(-reach, reach + 1):
+                for cell in ((x + k, y), (x, y + k)):
+                    if min(cell) > 0:
+                        self.closed.setdefault(sum(cell), []).append((pair, cell[0]))
+
     def matched(self, d: int, x0: int, x1: int) -> np.ndarray:
         """[pair, x]: the shifted scores of cells that leave the least overlap."""
         out = np.full((len(self.lengths), x1 - x0 + 1), NONE)
@@ -342,6 +360,9 @@ class Models:
         out[7], out[8] = q[ii] + b[mm], q[mi] + b[mm]
         out[9], out[10] = a[dd], a[md]
         out[11], out[12] = a[mm] + t[ii], a[mm] + t[mi]
+        for pair, x in self.closed.get(d, ()):
+            if x0 <= x <= x1:
+                out[:, pair, x - x0] = NONE
         return out
 
     def started(self, d: int, x0: int, x1: int) -> np.ndarray:
@@ -430,7 +451,7 @@ def align_models(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray],
         return out
     p, s, q, t = ([z[k] for k in full] for z in (p, s, q, t))
     lengths, score = np.array([(len(a), len(b)) for a, b in zip(p, s, strict=True)]), column_scores(p, s)
-    value, paths = Sweep(PAIR, lengths, Models(lengths, score, q, t, shift), room).best(True)
+    value, paths = Sweep(PAIR, lengths, Models(lengths, score, q, t, shift), room).best("local")
     natural = Models(lengths, score, q, t, shift, math.log(2))
     sweep = Sweep(PAIR, lengths, natural, room)
     forward = sweep.forward(natural.started)
@@ -441,6 +462,48 @@ def align_models(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray],
     return out
 
 
+def alternatives(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray], t: list[np.ndarray], most: int, mode: str = "local", shift: float = SHIFT, room: int = ROOM) -> list[list[tuple[float, Path]]]:
+    """Up to ``most`` paths of each model pair, the best first, each away from the cells beside those before it.
+
+    Pairs with an empty side have none, and local paths end where no score above 0 is left."""
+    out: list[list[tuple[float, Path]]] = [[] for _ in p]
+    full = [k for k in range(len(p)) if len(p[k]) and len(s[k])]
+    if not full:
+        return out
+    p, s, q, t = ([z[k] for k in full] for z in (p, s, q, t))
+    lengths = np.array([(len(a), len(b)) for a, b in zip(p, s, strict=True)])
+    models = Models(lengths, column_scores(p, s), q, t, shift)
+    for _ in range(most):
+        value, paths = Sweep(PAIR, lengths, models, room).best(mode)
+        for b, path in enumerate(paths):
+            if path:
+                out[full[b]].append((float(value[b]), path))
+                models.close(b, path)
+        if not any(paths):
+            break
+    return out
+
+
+#: Fixed value: how near two residues of a chain must be to follow each other in a path of largest accuracy.
+ACCURACY_RADIUS = 7.0
+
+
+def accurate_under_chain(post: list[np.ndarray], follows: list[np.ndarray], at: list[np.ndarray], radius: float = ACCURACY_RADIUS, room: int = ROOM) -> tuple[np.ndarray, list[Path]]:
+    """Of each pair the local path of largest sum of posteriors [x, y] of its matches, gaps being free, that the chain of the
+    x side allows, and that sum. A cell keeps one path to each state, with the last match on it."""
+    lengths = np.array([z.shape for z in post])
+    table = padded([np.pad(z, ((1, 0), (1, 0))) for z in post], 0.0)
+
+    def weights(d: int, x0: int, x1: int) -> np.ndarray:
+        out, x = np.zeros((len(THREE.arcs), len(post), x1 - x0 + 1)), np.arange(x0, x1 + 1)
+        out[[0, 3, 6]] = np.ascontiguousarray(diagonal_of(table, d, x0, x1))
+        out[:, (x > lengths[:, :1]) | (d - x > lengths[:, 1:])] = NONE
+        return out
+
+    chain = Geometry(padded([np.asarray(f, bool) for f in follows], False).astype(bool), padded(at, np.nan), radius)
+    return Sweep(THREE, lengths, weights, room).best("local", chain)
+
+
 def in_batches(pairs: DataFrame, kernel: Callable[..., list[dict]], columns: list[str], sizes: tuple[Column, Column], schema: str, states: int = 5, most: int = 64, room: int = ROOM) -> DataFrame:
     """``kernel(lists of the columns of some pairs)``, a dict for each pair; keeps pair_id.
 

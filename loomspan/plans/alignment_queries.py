@@ -265,34 +265,70 @@ def constrained_align(spark, d):
     return dynamic.pairs_apply(_named(spark, d), one, ["name", "other"], "raw double, score double, path string")
 
 
-@query()
-def model_alignment(spark, d):
-    """Two profile models, of all of each user's events and the next user's: best path, sum, posteriors, accuracy."""
-    symbols = ["click", "error", "purchase", "signup", "view"]
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+MOVES = np.log2([0.95, 0.025, 0.025, 0.25, 0.75, 0.25, 0.75])
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events and the next user's, as codes: pair_id, q, t."""
     rk = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = t(spark, d, "events").withColumn("k", rk)
-    code = F.array_position(F.array(*map(F.lit, symbols)), F.col("event_type")).cast("int") - 1
+    code = F.array_position(F.array(*map(F.lit, SYMBOLS)), F.col("event_type")).cast("int") - 1
     users = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda z: z["c"]).alias("codes"))
-    pairs = users.select("user_id", F.col("codes").alias("q"), (F.col("user_id") + 1).alias("next")).join(users.select(F.col("user_id").alias("next"), F.col("codes").alias("t")), "next")
+    return users.select(F.col("user_id").alias("pair_id"), F.col("codes").alias("q"), (F.col("user_id") + 1).alias("next")).join(users.select(F.col("user_id").alias("next"), F.col("codes").alias("t")), "next")
+
 
-    def columns(codes):
-        hot = np.eye(len(symbols))[np.asarray(codes)] * 0.8 + 0.2 / len(symbols)
-        near = (hot + np.roll(hot, 1, 0) + np.roll(hot, -1, 0)) / 3
-        return near / near.sum(1, keepdims=True)
+def _columns(codes) -> np.ndarray:
+    hot = np.eye(len(SYMBOLS))[np.asarray(codes)] * 0.8 + 0.2 / len(SYMBOLS)
+    near = (hot + np.roll(hot, 1, 0) + np.roll(hot, -1, 0)) / 3
+    return near / near.sum(1, keepdims=True)
 
-    steps = np.log2([0.95, 0.025, 0.025, 0.25, 0.75, 0.25, 0.75])
+
+def _sides(q, u) -> tuple[list[np.ndarray], ...]:
+    """Columns of both sides, those of the second over the background, and their transitions by position."""
+    return [_columns(z) for z in q], [_columns(z) / 0.2 for z in u], *([np.tile(MOVES, (len(z) + 1, 1)) for z in side] for side in (q, u))
+
+
+@query()
+def model_alignment(spark, d):
+    """Two profile models, of all of each user's events and the next user's: best path, sum, posteriors, accuracy."""
 
     def some(q, u):
-        p, s = [columns(z) for z in q], [columns(z) / 0.2 for z in u]
-        moves = [[np.tile(steps, (len(z) + 1, 1)) for z in side] for side in (q, u)]
+        p, s, *moves = _sides(q, u)
         out = []
         for a, b, z in zip(p, s, sweeps.align_models(p, s, *moves), strict=True):
             on = np.array([np.log2(a[x - 1] @ b[y - 1]) for st, x, y in z.path if st == 0])
             out.append({"viterbi": round(z.score, 6), "forward": round(z.total, 6), "posterior": round(z.posterior, 6), "mac": round(z.gain, 6), "n_mac": len(z.accurate), "correlation": round(dynamic.neighbour_correlation(on), 6)})
         return out
 
-    sizes = F.size("q"), F.size("t")
-    return sweeps.in_batches(pairs.withColumnRenamed("user_id", "pair_id"), some, ["q", "t"], sizes, "viterbi double, forward double, posterior double, mac double, n_mac long, correlation double")
+    return sweeps.in_batches(_models(spark, d), some, ["q", "t"], (F.size("q"), F.size("t")), "viterbi double, forward double, posterior double, mac double, n_mac long, correlation double")
+
+
+@query()
+def model_alternatives(spark, d):
+    """The best three alignments of each pair of models, away from each other: local ones, and with free ends."""
+
+    def some(q, u):
+        sides = _sides(q, u)
+        both = {mode: sweeps.alternatives(*sides, 3, mode) for mode in ("local", "free")}
+        return [{"found": [{"mode": mode, "rank": k + 1, "score": round(v, 6), "n_match": sum(st == 0 for st, _, _ in path), "first": f"{path[0][1]}:{path[0][2]}", "last": f"{path[-1][1]}:{path[-1][2]}"} for mode in both for k, (v, path) in enumerate(both[mode][i])]} for i in range(len(q))]
+
+    kind = "found array<struct<mode:string,rank:int,score:double,n_match:int,first:string,last:string>>"
+    return sweeps.in_batches(_models(spark, d), some, ["q", "t"], (F.size("q"), F.size("t")), kind).select("pair_id", F.explode("found").alias("f")).select("pair_id", "f.*")
+
+
+@query()
+def chain_accuracy(spark, d):
+    """The path of largest expected accuracy that a chain on a helix allows, for name pairs."""
+
+    def some(names, others):
+        at = [np.arange(len(a)) for a in names]
+        xyz = [np.stack([2.3 * np.cos(1.745 * z), 2.3 * np.sin(1.745 * z), 1.5 * z], 1) for z in at]
+        post = [dynamic.posterior(dynamic.THREE, _phi(a, b))[1][0, 1:, 1:] for a, b in zip(names, others, strict=True)]
+        gains, paths = sweeps.accurate_under_chain(post, [np.zeros(len(z), bool) for z in at], xyz)
+        return [{"accuracy": round(float(g), 6), "path": _text(p)} for g, p in zip(gains, paths, strict=True)]
+
+    return sweeps.in_batches(_named(spark, d), some, ["name", "other"], (F.length("name"), F.length("other")), "accuracy double, path string", states=3)
 
 
 @query()
