@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.vectors import normalised
-from loomspan.operators import chain, potentials, tiles
+from loomspan.operators import chain, models, potentials, staging, tiles
+from loomspan.operators.profile import neutral_ranges
 from loomspan.plans.profile_queries import r, t
+from loomspan.sources import text_profiles, writers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -200,3 +202,78 @@ def searched_alignment(spark, d):
     known = known.join(own.join(rows.select(F.col("profile_id").alias("target_id"), F.col("pos").alias("y")), "target_id").select("pair_id", "y"), ["pair_id", "y"])
     found = chain.run(own, rows, rows, tiles.Scoring(model(35.0), NULL, TABLES), known)
     return found.overlap.join(found.scores.select("pair_id", r(F.col("score")).alias("score"), "lali"), "pair_id")
+
+
+BACKGROUND = [(3 + j % 4) / 89 for j in range(20)]
+EXCHANGE = [[0.62 if a == b else 0.02 for b in range(20)] for a in range(20)]
+# Milli-bits of the transitions of a position, and thousandths of its effective numbers, as functions of the position.
+MOVE_RULES = ["100 + pos * 7 % 50", "4000 + pos * 13 % 500", "4200 + pos * 11 % 400", "900 + pos * 5 % 70", "1100 + pos * 3 % 70", "1000 + pos * 17 % 90", "1200 + pos * 19 % 60"]
+NEFF_RULES = ["CASE WHEN pos % 9 = 4 THEN 0 ELSE 3000 + pos * 29 % 700 END", "1000 + pos * 31 % 200", "800 + pos * 37 % 300"]
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def models_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings' profiles as model files, written and read again, and made ready."""
+    rows = positions(spark, d).select(F.col("profile_id").cast("string").alias("name"), "pos", F.transform("p", lambda x: F.when(x > 0, F.round(-1000 * F.log2(x)))).alias("emissions"), F.coalesce(F.substring(F.lit(LETTERS), F.col("own") + 1, F.lit(1)), F.lit("X")).alias("aa"))
+    start = rows.select("name").distinct().select("name", F.lit(0).alias("pos"), F.array().cast("array<double>").alias("emissions"), F.lit("").alias("aa"))
+    moves, neffs = (F.array(*[F.expr(f"CAST({k} AS DOUBLE)") for k in rules]) for rules in (MOVE_RULES, NEFF_RULES))
+    whole = rows.unionByName(start).select("name", "aa", F.struct("pos", "emissions", moves.alias("transitions"), neffs.alias("neffs")).alias("c"))
+    whole = whole.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("c.pos", "aa"))).alias("letters"), F.array_sort(F.collect_list("c")).alias("columns"))
+    null = F.array(*[F.lit(float(round(-1000 * np.log2(b)))) for b in BACKGROUND])
+    path = staging.shared_path(spark, "models")
+    writers.write_models(whole.select("name", F.array_join("letters.aa", "").alias("sequence"), null.alias("null"), "columns"), path)
+    records = text_profiles.model_records(spark, path)
+    tags = records.select("name", F.explode(neutral_ranges(F.col("sequence"))).alias("z")).select("name", F.get("z", F.lit(0)).alias("first"), F.get("z", F.lit(1)).alias("last"))
+    return models.prepared(text_profiles.model_columns(records), EXCHANGE, models.Pseudocounts(), tags)
+
+
+def _prepared_sql() -> str:
+    """m: positions 0 to length + 1 with p, pav and transitions, from the embeddings without any file."""
+    null = f"list_transform([{', '.join(str(float(round(-1000 * np.log2(b)))) for b in BACKGROUND)}], lambda x: pow(2.0, -x / 1000))"
+    moves, neffs = (f"[{', '.join(f'({k})::DOUBLE' for k in rules)}]" for rules in (MOVE_RULES, NEFF_RULES))
+    off, stay = 0.15 * 0.0286, 1 / (1 / 0.75)
+    inner, last = "pos BETWEEN 1 AND len", "pos = len"
+    two = lambda k: f"pow(2.0, -tr[{k}] / 1000)"
+    m = [f"(n[1] - 1) * {two(1)} + {1 - 2 * off}", f"CASE WHEN pos = 0 OR {last} THEN 0 ELSE (n[1] - 1) * {two(2)} + {off} END", f"CASE WHEN pos = 0 OR {last} THEN 0 ELSE (n[1] - 1) * {two(3)} + {off} END"]
+    i = [f"n[2] * {two(4)} + {1 - stay}", f"n[2] * {two(5)} + {stay}"]
+    dd = [f"n[3] * {two(6)} + {1 - stay}", f"CASE WHEN {last} THEN 0 ELSE n[3] * {two(7)} + {stay} END"]
+    share = lambda part, k, scale: f"CASE WHEN ({part[k]}) > 0 THEN log2(({part[k]}) / ({' + '.join(f'({z})' for z in part)})) ELSE -100000.0 END * {scale}"
+    out = [share(m, 0, 1), share(m, 1, 0.6), share(m, 2, 0.6), share(i, 0, 1), share(i, 1, 0.6), share(dd, 0, 1), share(dd, 1, 0.6)]
+    return f"""{POSITIONS_SQL}, b AS (SELECT id, max(pos) AS len FROM o GROUP BY id),
+a AS (SELECT b.id, b.len, k.pos, list_transform(o.p, lambda x: CASE WHEN x > 0 THEN pow(2.0, -round(-1000 * log2(x)) / 1000) ELSE 0 END) AS f FROM b, LATERAL (SELECT unnest(range(0, b.len + 2)) AS pos) k LEFT JOIN o ON o.id = b.id AND o.pos = k.pos),
+c AS (SELECT *, {moves} AS tr, {neffs} AS n0, {null} AS pb FROM a),
+d AS (SELECT *, CASE WHEN pos > len THEN [1.0, 0.0, 0.0] ELSE [CASE WHEN {inner} AND n0[1] = 0 THEN 1.0 ELSE n0[1] / 1000 END, n0[2] / 1000, n0[3] / 1000] END AS n FROM c),
+e AS (SELECT *, CASE WHEN {inner} THEN list_transform(f, lambda x: (1 - least(1.0, 1 / (1 + n[1] / 1.5))) * x + least(1.0, 1 / (1 + n[1] / 1.5)) * (0.6 * x + 0.02 * list_sum(f))) END AS p0 FROM d),
+s AS (SELECT id, avg(n[1]) AS neff, [{", ".join(f"sum(p0[{k + 1}])" for k in range(20))}] AS s, any_value(pb) AS pb FROM e WHERE {inner} GROUP BY id),
+v AS (SELECT id, neff, list_transform(list_zip(s, pb), lambda z: 100 * z[2] / neff + z[1]) AS raw FROM s),
+w AS (SELECT id, neff, list_transform(raw, lambda x: x / list_sum(raw)) AS pav FROM v),
+m AS (SELECT e.id, e.pos, e.len, coalesce(p0, w.pav) AS p, w.pav, w.neff, CASE WHEN e.pos <= len THEN [{", ".join(out)}] END AS moves FROM e JOIN w USING (id))"""
+
+
+def _by_place(z: str) -> str:
+    return f"round(list_sum(list_transform({z}, lambda x, i: x * i)), 6)"
+
+
+@query(f"""WITH {_prepared_sql()} SELECT CAST(id AS VARCHAR) AS name, CAST(pos AS INT) AS pos, round(neff, 6) AS neff, {_by_place("p")} AS p, {_by_place("pav")} AS pav, {_by_place("moves")} AS moves FROM m""")
+def prepared_models(spark, d):
+    """Models written as files and read again: emissions with pseudocounts, averages and transitions, by position."""
+    summed = lambda c: r(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x))
+    return models_from_files(spark, d).select("name", "pos", r(F.col("neff")).alias("neff"), summed("p").alias("p"), summed("pav").alias("pav"), summed("transitions").alias("moves"))
+
+
+@query(f"""WITH {_prepared_sql()}, z AS (SELECT q.id AS pair_id, t.pos, list_transform(list_zip(t.p, q.pav, t.pav), lambda z: CASE WHEN z[2] + z[3] > 0 THEN z[1] / ((z[2] + z[3]) / 2) ELSE 0 END) AS s FROM m q JOIN m t ON t.id = q.id + 1 AND q.pos = 0)
+SELECT CAST(pair_id AS VARCHAR) AS pair_id, CAST(pos AS INT) AS pos, {_by_place("s")} AS s FROM z""")
+def null_divided_models(spark, d):
+    """The next model's columns over the mean of both models' averages."""
+    ready = models_from_files(spark, d)
+    pairs = ready.where("pos = 0").select(F.col("name").alias("pair_id"), F.col("name").alias("query"), (F.col("name").cast("long") + 1).cast("string").alias("template"))
+    summed = F.aggregate(F.transform("s", lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return models.over_null(pairs, ready, BACKGROUND).select("pair_id", "pos", r(summed).alias("s"))
+
+
+@query()
+def model_file_alignment(spark, d):
+    """From model files to alignments: each model and the next one, with transitions by position."""
+    ready = staging.checkpointed(models_from_files(spark, d))
+    pairs = ready.where("pos = 0").select(F.col("name").alias("pair_id"), F.col("name").alias("query"), (F.col("name").cast("long") + 1).cast("string").alias("template"))
+    return models.aligned(pairs, ready, BACKGROUND).withColumns({c: r(F.col(c)) for c in ("score", "total", "posterior", "gain")})

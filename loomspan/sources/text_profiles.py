@@ -99,13 +99,42 @@ def profile_columns(rows: DataFrame, section: str = "Original HHM") -> DataFrame
 
 
 def model_records(spark: SparkSession, path: str) -> DataFrame:
-    """Standalone models, one for each record that ends with ``//``: name, length, and lines after HMM."""
+    """Standalone models, one for each record that ends with ``//``: name, sequence, length, null (milli-bits of 20 residues,
+    alphabetic), lines (those behind the HMM line that aren't blank), parse_error."""
     text = spark.read.option("lineSep", "//\n").text(path).where("trim(value) <> ''")
 
     def field(k: str) -> Column:
-        return F.trim(F.regexp_extract("value", rf"(?m)^{k}\s+(.*)$", 1))
-
-    return text.select(field("NAME").alias("name"), field("LENG").try_cast("int").alias("length"), F.regexp_extract("value", r"(?s)\nHMM\s[^\n]*\n(.*)$", 1).alias("body"), F.when(~F.col("value").contains("\nHMM"), "no HMM block").alias("parse_error"))
+        return F.trim(F.regexp_extract("value", rf"(?m)^{k}[ \t]+(.*)$", 1))
+
+    body = F.split(F.regexp_extract("value", r"(?s)(?:^|\n)HMM[^\n]*\n(.*)$", 1), "\n")
+    rows = text.select(field("NAME").alias("name"), field("SEQ").alias("sequence"), field("LENG").try_cast("int").alias("length"), _milli(F.split(field("NULL"), r"\s+")).alias("null"), F.filter(body, lambda x: F.trim(x) != "").alias("lines"))
+    bad = F.when(F.size("lines") < 2, "no HMM block").when(F.col("length").isNull(), "no length").when(F.size("null") != 20, "20 background values")
+    bad = bad.when((F.length("sequence") > 0) & (F.length("sequence") != F.col("length")), "sequence of another length").when(F.size("lines") != 2 + 2 * F.col("length"), "columns than the stated length are more or fewer")
+    return rows.withColumn("parse_error", bad)
+
+
+def _milli(tokens: Column) -> Column:
+    """Milli-bits, null for ``*``."""
+    return F.transform(tokens, lambda x: F.when(x != "*", x.try_cast("double")))
+
+
+def model_columns(records: DataFrame) -> DataFrame:
+    """name, pos, length, emissions, transitions and neffs of ``model_records``, for positions 0 to length + 1; parse_error.
+
+    Position 0 has the transitions of the start, and the one behind the last has none; both have the background as emissions.
+    The effective number of matches is 1 where the file has 0. Records with an error give one row with it."""
+    good, n = F.col("parse_error").isNull(), F.col("length")
+    split = lambda k: F.split(F.trim(F.get("lines", k)), r"\s+")
+    none = F.array().cast("array<string>")
+    column = lambda i: F.struct(i.cast("int").alias("pos"), F.when((i > 0) & (i <= n), split(2 * i)).otherwise(none).alias("e"), F.when(i == 0, split(F.lit(1))).when(i <= n, split(2 * i + 1)).otherwise(none).alias("t"))
+    rows = records.select("name", "length", "null", "parse_error", F.explode(F.when(good, F.transform(F.sequence(F.lit(0), n + 1), column)).otherwise(F.array(F.struct(F.lit(None).cast("int").alias("pos"), none.alias("e"), none.alias("t"))))).alias("c"))
+    inner = F.col("c.pos").between(1, n)
+    moves, counts = _milli(F.slice("c.t", 1, 7)), F.transform(_milli(F.slice("c.t", 8, 3)), lambda x: x / 1000)
+    match = F.get(counts, F.lit(0))
+    counts = F.when(F.col("c.pos") <= n, F.array(F.when(inner & (match == 0), 1.0).otherwise(match), F.get(counts, F.lit(1)), F.get(counts, F.lit(2)))).otherwise(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    bad = F.when(inner & (F.size("c.e") < 22), "20 emissions").when((F.col("c.pos") <= n) & (F.size("c.t") < 10), "10 transitions")
+    emissions = F.when(inner, _milli(F.slice("c.e", 3, 20))).otherwise(F.col("null"))
+    return rows.select("name", "c.pos", "length", emissions.alias("emissions"), F.when(F.col("c.pos") <= n, moves).alias("transitions"), counts.alias("neffs"), F.coalesce("parse_error", bad).alias("parse_error"))
 
 
 def pair_distances(spark: SparkSession, path: str, floor: float = 0.01) -> DataFrame:

@@ -14,3 +14,21 @@ def write_fasta(gapped: DataFrame, path: str, a: str = "a", b: str = "b") -> Non
 def write_posterior(cells: DataFrame, path: str, least: float = 0.0) -> None:
     """pair_id, state, x, y, p as Parquet, by state."""
     cells.where(F.col("p") > least).write.partitionBy("state").parquet(path)
+
+
+def model_text(df: DataFrame) -> DataFrame:
+    """name, value: records as ``text_profiles.model_records`` reads them, without the line ``//`` at their end.
+
+    ``df`` has name, sequence, null and ``columns``, an array of (pos, emissions, transitions, neffs) from position 0 on, in
+    milli-bits and thousandths, null for none."""
+    put = lambda a: F.array_join(F.transform(a, lambda x: F.coalesce(F.round(x).cast("long").cast("string"), F.lit("*"))), "\t")
+    moves = lambda c: F.concat(F.lit("  "), put(F.concat(c["transitions"], c["neffs"])))
+    rest = F.slice("columns", F.lit(2), F.size("columns"))
+    body = F.transform(rest, lambda c: F.concat(F.substring(F.col("sequence"), c["pos"], F.lit(1)), F.lit(" "), c["pos"].cast("string"), F.lit("\t"), put(c["emissions"]), F.lit("\t"), c["pos"].cast("string"), F.lit("\n"), moves(c), F.lit("\n")))
+    head = [F.lit("NAME  "), F.col("name"), F.lit("\nSEQ   "), F.col("sequence"), F.lit("\nLENG  "), (F.size("columns") - 1).cast("string"), F.lit("\nNULL  "), put(F.col("null"))]
+    return df.select("name", F.concat(*head, F.lit("\nHMM    residues\n       transitions\n"), moves(F.get("columns", F.lit(0))), F.lit("\n"), F.array_join(body, "\n")).alias("value"))
+
+
+def write_models(df: DataFrame, path: str) -> None:
+    """Files of model records, as many as ``df`` has partitions."""
+    model_text(df).select("value").write.option("lineSep", "//\n").text(path)
