@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.edit import global_score
-from loomspan.operators import alignment, dynamic, refine, sweeps
+from loomspan.operators import alignment, dynamic, mapping, refine, sweeps
 from loomspan.plans.profile_queries import r, t
 
 QUERIES: dict = {}
@@ -343,3 +343,20 @@ def greedy_refine(spark, d):
 
     hits = best_aligned_name(spark, d).select(F.concat_ws("|", "name", "other").alias("pair_id"), "name", "other")
     return dynamic.pairs_apply(hits, one, ["name", "other"], "before long, after long, truth long")
+
+
+@query("""WITH n AS (SELECT a.p_partkey AS pair_id, a.p_name AS a, b.p_name AS b, a.p_name || ' of ' || a.p_type AS fa, b.p_brand || ': ' || b.p_name AS fb FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+l AS (SELECT *, least(length(a), length(b)) AS n, length(fb) - length(b) AS off FROM n)
+SELECT pair_id, CAST(n AS BIGINT) AS matches, repeat('-', off) || substr(fa, 1, n) || substr(fa, n + 1) || repeat('-', length(b) - n) AS a,
+  substr(fb, 1, off) || substr(b, 1, n) || repeat('-', length(fa) - n) || substr(b, n + 1) AS b FROM l""")
+def mapped_alignment(spark, d):
+    """Alignments of neighbouring product names, carried over to longer texts that hold them."""
+    part = t(spark, d, "part")
+    a = part.select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"), F.concat("p_name", F.lit(" of "), "p_type").alias("full_a"))
+    b = part.select((F.col("p_partkey") - 1).alias("pair_id"), F.col("p_name").alias("b"), F.concat("p_brand", F.lit(": "), "p_name").alias("full_b"))
+    rows = a.join(b, "pair_id")
+    longest = F.greatest(F.length("a"), F.length("b"))
+    rows = rows.withColumns({c: F.rpad(c, longest, "-") for c in "ab"})
+    steps, texts = mapping.carried(rows)
+    count = alignment.matches(steps).groupBy("pair_id").agg(F.count("*").alias("matches"))
+    return texts.join(count, "pair_id").select("pair_id", "matches", "a", "b")

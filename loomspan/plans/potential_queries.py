@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.vectors import normalised
-from loomspan.operators import chain, models, potentials, staging, tiles
+from loomspan.operators import chain, mapping, models, potentials, staging, tiles
 from loomspan.operators.profile import neutral_ranges
 from loomspan.plans.profile_queries import r, t
 from loomspan.sources import text_profiles, writers
@@ -277,3 +277,14 @@ def model_file_alignment(spark, d):
     ready = staging.checkpointed(models_from_files(spark, d))
     pairs = ready.where("pos = 0").select(F.col("name").alias("pair_id"), F.col("name").alias("query"), (F.col("name").cast("long") + 1).cast("string").alias("template"))
     return models.aligned(pairs, ready, BACKGROUND).withColumns({c: r(F.col(c)) for c in ("score", "total", "posterior", "gain")})
+
+
+_XYZ = "[2.3 * cos(1.745 * vec_id), 2.3 * sin(1.745 * vec_id), 1.5 * (vec_id % 50)]"
+
+
+@query(f"""WITH p AS (SELECT vec_id // 50 AS id, vec_id % 50 + 1 AS pos, {_XYZ} AS c FROM embeddings WHERE vec_id % 17 <> 5),
+d AS (SELECT a.id AS profile_id, a.pos AS i, b.pos AS j, sqrt(pow(a.c[1] - b.c[1], 2) + pow(a.c[2] - b.c[2], 2) + pow(a.c[3] - b.c[3], 2)) AS distance FROM p a JOIN p b ON a.id = b.id AND a.pos < b.pos)
+SELECT profile_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(distance, 6) AS distance FROM d WHERE distance < 8""")
+def chain_contacts(spark, d):
+    """Residues of a profile's chain that are nearer than 8."""
+    return mapping.contacts(positions(spark, d), "profile_id", "pos", "ca", 8.0).withColumn("distance", r(F.col("distance")))
