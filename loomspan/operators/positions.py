@@ -49,9 +49,12 @@ def template_positions(features: DataFrame, columns: DataFrame, matrix: list[lis
 
 def target_positions(features: DataFrame, columns: DataFrame, disorder: DataFrame, matrix: list[list[float]], null: list[float], threshold: float = DISORDER) -> DataFrame:
     """Predicted classes, all 0 where disorder exceeds ``threshold``; a position without disorder has none."""
-    rows = features.where("parse_error IS NULL").join(emitted(columns, matrix, null), ["profile_id", "pos"]).join(disorder, ["profile_id", "pos"], "left")
-    off = F.coalesce(F.col("disorder") > threshold, F.lit(False))
+    # Classes are found below the joins, masked above them: Spark shares what one projection has twice, and gets the lambdas
+    # of ``confident`` wrong where one use of them is behind a condition.
     access = confident(F.col("acc"))
-    own = F.col("aa_idx"), F.col("own"), F.col("raw"), F.col("p"), F.col("s")
     state, open_ = (argmax3(*[F.get(c, F.lit(i)) for i in range(3)]).cast("int") for c in (F.col("ss3"), access))
-    return rows.select("profile_id", "pos", *own, state.alias("ss"), masked(F.col("ss3"), off).alias("ss3"), masked(F.col("ss8"), off).alias("ss8"), masked(access, off).alias("acc"), open_.alias("acc_class"))
+    found = features.where("parse_error IS NULL").select("profile_id", "pos", "ss3", "ss8", access.alias("access"), state.alias("ss"), open_.alias("acc_class"))
+    rows = found.join(emitted(columns, matrix, null), ["profile_id", "pos"]).join(disorder, ["profile_id", "pos"], "left")
+    off = F.coalesce(F.col("disorder") > threshold, F.lit(False))
+    own = F.col("aa_idx"), F.col("own"), F.col("raw"), F.col("p"), F.col("s")
+    return rows.select("profile_id", "pos", *own, "ss", masked(F.col("ss3"), off).alias("ss3"), masked(F.col("ss8"), off).alias("ss8"), masked(F.col("access"), off).alias("acc"), "acc_class")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.vectors import normalised
 from loomspan.operators import chain, mapping, models, potentials, staging, tiles
-from loomspan.operators.profile import neutral_ranges
+from loomspan.operators import positions as positions_of_files
+from loomspan.operators.profile import MATRIX_ORDER, neutral_ranges
 from loomspan.plans.profile_queries import r, t
 from loomspan.sources import text_profiles, writers
 
@@ -184,7 +185,7 @@ def gap_potentials(spark, d):
 @query()
 def template_alignment(spark, d):
     """From positions through potentials to the mended alignment under the template's chain, scored anew."""
-    rows = positions(spark, d)
+    rows = staging.checkpointed(positions(spark, d))
     scores, steps = chain.aligned(pairs(rows), rows, rows, tiles.Scoring(model(35.0), NULL, TABLES))
     texts = chain.fasta(steps, chain.sequences(pairs(rows), rows, rows)).select("pair_id", "a", "b")
     return scores.withColumns({"raw": r(F.col("raw")), "score": r(F.col("score"))}).join(texts, "pair_id", "left")
@@ -195,15 +196,16 @@ def searched_alignment(spark, d):
     """The chained program: overlap with a known alignment before and after the greedy search towards it.
 
     Known are matches along a diagonal that the pair's number shifts, but for each eleventh residue."""
-    rows = positions(spark, d)
+    rows = staging.checkpointed(positions(spark, d))
     own = pairs(rows)
     shift = F.pmod(F.col("pair_id"), F.lit(5)) - 2
     known = own.join(rows.select(F.col("profile_id").alias("template_id"), F.col("pos").alias("x")), "template_id").where("x % 11 <> 0").select("pair_id", "x", (F.col("x") + shift).cast("int").alias("y"))
     known = known.join(own.join(rows.select(F.col("profile_id").alias("target_id"), F.col("pos").alias("y")), "target_id").select("pair_id", "y"), ["pair_id", "y"])
-    found = chain.run(own, rows, rows, tiles.Scoring(model(35.0), NULL, TABLES), known)
+    found = chain.run(own, rows, rows, tiles.Scoring(model(35.0), NULL, TABLES), staging.checkpointed(known))
     return found.overlap.join(found.scores.select("pair_id", r(F.col("score")).alias("score"), "lali"), "pair_id")
 
 
+STATE_LETTERS = "HGIEBTSL"
 BACKGROUND = [(3 + j % 4) / 89 for j in range(20)]
 EXCHANGE = [[0.62 if a == b else 0.02 for b in range(20)] for a in range(20)]
 # Milli-bits of the transitions of a position, and thousandths of its effective numbers, as functions of the position.
@@ -288,3 +290,51 @@ SELECT profile_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(distance, 6)
 def chain_contacts(spark, d):
     """Residues of a profile's chain that are nearer than 8."""
     return mapping.contacts(positions(spark, d), "profile_id", "pos", "ca", 8.0).withColumn("distance", r(F.col("distance")))
+
+
+def file_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions with what files hold: letters, milli-bits, and numbers that follow the position."""
+    rows = positions(spark, d).drop("own")
+    moves, neffs = (F.array(*[F.expr(f"CAST({k} AS DOUBLE)") for k in rules]) for rules in (MOVE_RULES, NEFF_RULES))
+    letter = F.when(F.col("aa_idx") < 20, F.substring(F.lit(MATRIX_ORDER), F.col("aa_idx") + 1, F.lit(1))).otherwise("X")
+    state = F.substring(F.lit(STATE_LETTERS), (F.array_position("ss8", F.array_max("ss8"))).cast("int"), F.lit(1))
+    return rows.withColumns({
+        "aa": letter, "ss8_letter": state, "ca_contact": F.col("pos") % 21, "cb_contact": (F.col("pos") + 7) % 21, "cb": F.transform("ca", lambda x: x + 1), "disorder": (F.col("pos") % 10) / 25,
+        "emissions": F.transform("p", lambda x: F.when(x > 0, F.round(-1000 * F.log2(x)))), "transitions": moves, "neffs": neffs,
+    })
+
+
+_SMOOTH = [2.0**-n for n in NULL]
+_MILLI = "list_transform(p, lambda x: CASE WHEN x > 0 THEN pow(2.0, -round(-1000 * log2(x)) / 1000) ELSE 0 END)"
+_WITH_NEFF = f"a AS (SELECT *, {_MILLI} AS f, ({NEFF_RULES[0]}) / 1000 AS neff FROM o)"
+_P = f"list_transform(list_zip(f, [{', '.join(map(str, _SMOOTH))}]), lambda z: ((neff - 1) * z[1] + 10 * (0.6 * z[1] + 0.02 * list_sum(f)) * z[2]) / (neff + 9))"
+
+
+@query(f"""WITH {POSITIONS_SQL}, {_WITH_NEFF}, s AS (SELECT *, list_position(ss8, list_max(ss8)) - 1 AS k, (id * 50 + pos - 1) % 17 = 5 AS gone FROM a)
+SELECT CAST(id AS VARCHAR) AS profile_id, CAST(pos AS INT) AS pos, CAST(aa AS INT) AS aa_idx, gone AS is_missing, CAST(CASE k WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS INT) AS ss,
+  CAST(CASE WHEN gone OR aa = 20 THEN -1 WHEN k = 0 THEN 1 WHEN k = 3 THEN 2 ELSE 0 END AS INT) AS class3, CAST(ac AS INT) AS acc_class, CASE WHEN NOT gone THEN round(round(2.3 * cos(1.745 * (id * 50 + pos - 1)), 6), 4) END AS ca_x, {_by_place("f")} AS raw, {_by_place(_P)} AS p FROM s""")
+def template_files(spark, d):
+    """Template files written from the embeddings and read again: features, classes, smoothed profile."""
+    path = staging.shared_path(spark, "templates")
+    writers.write_profiles(writers.template_text(file_positions(spark, d)), path)
+    rows = text_profiles.lines(spark, path)
+    got = positions_of_files.template_positions(text_profiles.template_features(rows), text_profiles.profile_columns(rows), EXCHANGE, NULL)
+    summed = lambda c: r(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x))
+    return got.select("profile_id", F.col("pos").cast("int").alias("pos"), "aa_idx", "is_missing", "ss", (F.array_position("ss3", F.lit(1.0)).cast("int") - 1).alias("class3"), "acc_class", r(F.get("ca", F.lit(0)), 4).alias("ca_x"), summed("raw").alias("raw"), summed("p").alias("p"))
+
+
+_SIX = "list_transform({0}, lambda x: round(x, 6))"
+
+
+@query(f"""WITH {POSITIONS_SQL}, {_WITH_NEFF}, s AS (SELECT *, {_SIX.format("ss3")} AS a3, {_SIX.format("acc")} AS b3, (pos % 10) / 25 > 0.2 AS off FROM a),
+k AS (SELECT *, CASE WHEN list_max(b3) >= 0.95 THEN list_transform(b3, lambda x, i: CASE WHEN i = list_position(list_transform(b3, lambda y: y >= 0.95), TRUE) THEN 1.0 ELSE 0.0 END) ELSE list_transform(b3, lambda x: CASE WHEN x <= 0.01 THEN 0 ELSE x END) END AS c3 FROM s)
+SELECT CAST(id AS VARCHAR) AS profile_id, CAST(pos AS INT) AS pos, CAST(aa AS INT) AS aa_idx, CAST(CASE WHEN a3[1] > a3[2] AND a3[1] > a3[3] THEN 0 WHEN a3[2] > a3[1] AND a3[2] > a3[3] THEN 1 ELSE 2 END AS INT) AS ss,
+  CASE WHEN off THEN 0 ELSE {_by_place("a3")} END AS ss3, CASE WHEN off THEN 0 ELSE {_by_place("c3")} END AS acc, CAST(CASE WHEN c3[1] > c3[2] AND c3[1] > c3[3] THEN 0 WHEN c3[2] > c3[1] AND c3[2] > c3[3] THEN 1 ELSE 2 END AS INT) AS acc_class, {_by_place(_P)} AS p FROM k""")
+def target_files(spark, d):
+    """Target files written from the embeddings and read again: predicted classes without disordered places, profile."""
+    path = staging.shared_path(spark, "targets")
+    writers.write_profiles(writers.target_text(file_positions(spark, d)), path)
+    rows = text_profiles.lines(spark, path)
+    got = positions_of_files.target_positions(text_profiles.target_features(rows), text_profiles.profile_columns(rows), text_profiles.disorder(rows), EXCHANGE, NULL)
+    summed = lambda c: r(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x))
+    return got.select("profile_id", F.col("pos").cast("int").alias("pos"), "aa_idx", "ss", summed("ss3").alias("ss3"), summed("acc").alias("acc"), "acc_class", summed("p").alias("p"))

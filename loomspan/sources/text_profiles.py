@@ -22,8 +22,12 @@ SECTIONS = {"Features": 1, "Original SS2": 1, "Original HHM": 5, "Original SS3+S
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """profile_id, line_no, line, section, at (line in its section, from 1 after its header lines)."""
-    text = spark.read.text(path, wholetext=True).select(without_extension(base_name(F.col("_metadata.file_path"))).alias("profile_id"), F.split("value", "\r?\n").alias("ls"))
+    """profile_id, line_no, line, section, at (line in its section, from 1 after its header lines).
+
+    A profile's id is its file's name or, where folders name one (profile_id=...), the folder's."""
+    files = spark.read.text(path, wholetext=True)
+    own = F.col("profile_id").cast("string") if "profile_id" in files.columns else without_extension(base_name(F.col("_metadata.file_path")))
+    text = files.select(own.alias("profile_id"), F.split("value", "\r?\n").alias("ls"))
     rows = text.select("profile_id", F.posexplode("ls").alias("line_no", "line"))
     w = Window.partitionBy("profile_id").orderBy("line_no")
     mark = F.when(F.col("line").startswith(MARKER), F.struct(F.trim(F.regexp_replace("line", f"^{MARKER}|(?i)\\s*file\\s*$", "")).alias("name"), F.col("line_no").alias("from")))
