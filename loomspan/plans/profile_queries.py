@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalar, similarity, vectors
-from loomspan.operators import profile
+from loomspan.operators import logsum, profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -235,9 +235,7 @@ def gap_potential_reuse(spark, d):
 WITH m AS (SELECT l_orderkey, max(l_quantity) AS m FROM lineitem GROUP BY l_orderkey)
 SELECT l.l_orderkey, round(max(m) + ln(sum(exp(l_quantity - m))), 6) AS lse FROM lineitem l JOIN m ON l.l_orderkey = m.l_orderkey GROUP BY l.l_orderkey""")
 def log_sum_exp(spark, d):
-    li = t(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    top = li.withColumn("m", F.max("l_quantity").over(Window.partitionBy("l_orderkey")))
-    return top.groupBy("l_orderkey").agg(r(scalar.log_sum_exp(F.col("l_quantity"), F.col("m"))).alias("lse"))
+    return logsum.log_sum_exp_by(t(spark, d, "lineitem"), ["l_orderkey"], "l_quantity").select("l_orderkey", r(F.col("lse")).alias("lse"))
 
 
 @query("""
