@@ -24,6 +24,11 @@ def matches(df: DataFrame) -> DataFrame:
     return df.where("x IS NOT NULL AND y IS NOT NULL")
 
 
+def unaligned(df: DataFrame, key: str, side: str = "x") -> DataFrame:
+    """key and the residues of one side that no match has."""
+    return df.where(F.col(side).isNotNull()).select(key, side).join(matches(df).select(key, side), [key, side], "left_anti")
+
+
 def signed(df: DataFrame, key: str) -> DataFrame:
     """Null coordinates as minus the last consumed index before them."""
     w = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

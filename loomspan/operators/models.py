@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from loomspan.functions.vectors import times_matrix
 from loomspan.operators import profile, sweeps
 
-# Transitions in a file's order, and in the order programs take them.
+# Transitions in a file's order, which is that of programs, too.
 MOVES = ["mm", "mi", "md", "im", "ii", "dm", "dd"]
-#: Pairs are aligned with positions 0 to length on each side.
-PRIOR_COUNT = 100.0
 
 
 @dataclass(frozen=True)
@@ -56,7 +54,7 @@ def prepared(columns: DataFrame, matrix: list[list[float]], mixture: Pseudocount
     rows = rows.withColumn("p", profile.admixed(F.col("f"), times_matrix(F.col("f"), turned), tau))
     whole = rows.where(inner).groupBy("name").agg(profile.mean_neff(match).alias("neff"))
     rows = rows.join(whole, "name")
-    average = background(rows.where(inner))
+    average = profile.background(rows.where(inner), "name", "p", 20, F.col("pb"), F.col("neff"))
     rows = rows.join(average, "name").withColumn("p", F.when(inner, F.col("p")).otherwise(F.col("pav")))
     log2p = {k: -F.get("transitions", F.lit(i)) / 1000 for i, k in enumerate(MOVES)}
     neff = {k: F.get("neffs", F.lit(i)) for i, k in enumerate("mid")}
@@ -64,13 +62,6 @@ def prepared(columns: DataFrame, matrix: list[list[float]], mixture: Pseudocount
     return rows.select("name", "pos", "length", "p", "pav", "neff", F.when(F.col("pos") <= F.col("length"), F.array(*[moves[k] for k in MOVES])).alias("transitions"))
 
 
-def background(rows: DataFrame) -> DataFrame:
-    """name, pav: the mean of ``p`` over a model's columns with prior counts of its own background ``pb``."""
-    sums = rows.groupBy("name").agg(*[F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(20)], F.max("neff").alias("neff"), F.first("pb").alias("pb"))
-    raw = F.array(*[PRIOR_COUNT * F.get("pb", F.lit(i)) / F.col("neff") + F.col(f"s{i}") for i in range(20)])
-    return sums.select("name", raw.alias("raw")).select("name", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda acc, v: acc + v)).alias("pav"))
-
-
 def linear(models: DataFrame, beta: float = 1.0) -> DataFrame:
     """``prepared`` models with their transitions as probabilities."""
     return models.withColumn("transitions", F.transform("transitions", lambda x: profile.linear_transition(x, beta)))

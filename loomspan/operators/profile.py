@@ -86,10 +86,11 @@ def gap_transitions(neff: dict[str, Column], log2p: dict[str, Column], first: Co
     return out
 
 
-def background(df: DataFrame, key: str, p: str, size: int, prior: list[float], neff: Column, weight: float = 100.0) -> DataFrame:
-    """key, pav: mean composition of a profile's columns with ``weight`` prior counts over its effective number."""
-    sums = df.groupBy(key).agg(*[F.sum(F.get(p, F.lit(i))).alias(f"s{i}") for i in range(size)], F.max(neff).alias("neff"))
-    raw = F.array(*[weight * prior[i] / F.col("neff") + F.col(f"s{i}") for i in range(size)])
+def background(df: DataFrame, key: str, p: str, size: int, prior: Column, neff: Column, weight: float = 100.0) -> DataFrame:
+    """key, pav: mean composition of a profile's columns ``p`` with ``weight`` counts of ``prior``, an array that is the same
+    in all rows of a key, over its effective number."""
+    sums = df.groupBy(key).agg(*[F.sum(F.get(p, F.lit(i))).alias(f"s{i}") for i in range(size)], F.max(neff).alias("neff"), F.first(prior).alias("prior"))
+    raw = F.array(*[weight * F.get("prior", F.lit(i)) / F.col("neff") + F.col(f"s{i}") for i in range(size)])
     return sums.select(key, raw.alias("raw")).select(key, F.transform("raw", lambda x: x / total(F.col("raw"))).alias("pav"))
 
 

@@ -149,8 +149,7 @@ def common_pairs(spark, d):
 
 @query(f"""WITH {M_SQL} SELECT a.pair_id, CAST(a.x AS BIGINT) AS x FROM ({A_SQL}) a WHERE a.x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.pair_id = a.pair_id AND m.x = a.x)""")
 def unaligned_residues(spark, d):
-    a = aligned(spark, d, "a")
-    return a.where("x IS NOT NULL").select("pair_id", "x").join(alignment.matches(a).select("pair_id", "x"), ["pair_id", "x"], "left_anti")
+    return alignment.unaligned(aligned(spark, d, "a"), "pair_id")
 
 
 @query(f"""WITH a AS ({A_SQL}), b AS ({B_SQL}), j AS (SELECT pair_id, step, a.x IS NOT DISTINCT FROM b.x AND a.y IS NOT DISTINCT FROM b.y AS same FROM a JOIN b USING (pair_id, step))
@@ -174,9 +173,11 @@ def path_rescore(spark, d):
 @query(f"""SELECT pair_id, string_agg(CASE WHEN x IS NULL THEN '-' ELSE left(event_type, 1) END, '' ORDER BY step) AS a, string_agg(CASE WHEN y IS NULL THEN '-' ELSE upper(left(event_type, 1)) END, '' ORDER BY step) AS b
 FROM ({A_SQL}) GROUP BY pair_id""")
 def gapped_strings(spark, d):
-    a = aligned(spark, d, "a")
-    line = lambda c, f: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", F.when(F.col(c).isNotNull(), f(F.left("event_type", F.lit(1)))).otherwise("-").alias("s")))), lambda z: z["s"]), "")
-    return a.groupBy("pair_id").agg(line("x", F.lower).alias("a"), line("y", F.upper).alias("b"))
+    rows = aligned(spark, d, "a")
+    letter = F.left("event_type", F.lit(1))
+    text = lambda c, f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("step", f(letter).alias("s"))))), lambda z: z["s"]), "")
+    texts = rows.groupBy("pair_id").agg(text("x", F.lower).alias("a"), text("y", F.upper).alias("b"))
+    return alignment.gapped(rows.join(texts, "pair_id"), "pair_id", "a", "b")
 
 
 @query(f"""WITH p AS (SELECT 0 AS part, pair_id, step, x, y FROM ({A_SQL}) WHERE step < 10 UNION ALL SELECT 1, pair_id, step, x, y FROM ({B_SQL}) WHERE step >= 20)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalar, similarity, vectors
-from loomspan.operators import logsum, profile
+from loomspan.operators import logsum, profile, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,8 +61,7 @@ def residue_encode(spark, d):
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM c""")
 def symbol_background(spark, d):
-    c = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return c.select("user_id", "event_type", r(F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("share"))
+    return series.shares(t(spark, d, "events"), "user_id", "event_type").withColumn("share", r(F.col("share")))
 
 
 @query("""
@@ -176,19 +175,15 @@ def ss_continuation(spark, d):
   count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def linear_window_features(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    parts = [F.coalesce((F.lead if k > 0 else F.lag)("value", abs(k)).over(w), F.lit(0.0)) if k else F.col("value") for k in (-5, -1, 0, 1, 5)]
-    near = F.count("*").over(w.rowsBetween(-5, 5))
-    return t(spark, d, "events").select("event_id", "user_id", F.transform(F.array(*parts), lambda x: (x * 100).cast("int")).alias("features"), near.alias("n"))
+    near = F.count("*").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-5, 5))
+    return t(spark, d, "events").select("event_id", "user_id", series.shifted("user_id", "event_id", "value", [-5, -1, 0, 1, 5]).alias("features"), near.alias("n"))
 
 
 @query("""SELECT event_id, user_id, list_transform([coalesce(lag(value, 5) OVER w, 0), coalesce(lag(value, 4) OVER w, 0), coalesce(lag(value, 3) OVER w, 0), coalesce(lag(value, 2) OVER w, 0), coalesce(lag(value, 1) OVER w, 0), value, coalesce(lead(value, 1) OVER w, 0), coalesce(lead(value, 2) OVER w, 0), coalesce(lead(value, 3) OVER w, 0), coalesce(lead(value, 4) OVER w, 0), coalesce(lead(value, 5) OVER w, 0)], lambda x: CAST(trunc(x * 100) AS INT)) AS features
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def linear_window_whole(spark, d):
     """All eleven offsets -5..5 of the value; zero outside."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    parts = [F.coalesce(F.lead("value", k).over(w) if k > 0 else F.lag("value", -k).over(w), F.lit(0.0)) if k else F.col("value") for k in range(-5, 6)]
-    return t(spark, d, "events").select("event_id", "user_id", F.transform(F.array(*parts), lambda x: (x * 100).cast("int")).alias("features"))
+    return t(spark, d, "events").select("event_id", "user_id", series.shifted("user_id", "event_id", "value", list(range(-5, 6))).alias("features"))
 
 
 @query("""
@@ -255,9 +250,8 @@ SELECT l_orderkey, round(0.1 * sum(q * (coalesce(a, 0) + coalesce(b, 0) + coales
   SELECT l_orderkey, l_quantity AS q, lag(l_quantity, 1) OVER w AS a, lag(l_quantity, 2) OVER w AS b, lag(l_quantity, 3) OVER w AS c, lag(l_quantity, 4) OVER w AS e
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) GROUP BY l_orderkey""")
 def neighbour_correlation(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    near = sum((F.coalesce(F.lag("l_quantity", k).over(w), F.lit(0.0)) for k in range(1, 5)), F.lit(0.0))
-    return t(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") * near).alias("v")).groupBy("l_orderkey").agg(r(0.1 * F.sum("v"), 4).alias("correlation"))
+    found = series.neighbour_correlation(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity")
+    return found.withColumn("correlation", r(F.col("correlation"), 4))
 
 
 @query("""(SELECT 'down' AS way, s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INT) AS rk FROM supplier QUALIFY rk <= 50)
@@ -295,10 +289,7 @@ def sort_whole(spark, d):
 WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS w, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS run, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
 SELECT l_orderkey, min(run) AS chosen_run FROM c WHERE run > (l_orderkey * 7919 % 1000) / 1000.0 * total GROUP BY l_orderkey""")
 def weighted_choice(spark, d):
-    w = Window.partitionBy("l_orderkey")
-    o = w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    c = t(spark, d, "lineitem").select("l_orderkey", F.sum("l_quantity").over(o).alias("run"), F.sum("l_quantity").over(w).alias("total"))
-    return c.where(F.col("run") > (F.col("l_orderkey") * 7919 % 1000) / 1000.0 * F.col("total")).groupBy("l_orderkey").agg(F.min("run").alias("chosen_run"))
+    return series.weighted_choice(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", F.col("l_orderkey") * 7919 % 1000 / 1000.0)
 
 
 @query("""
