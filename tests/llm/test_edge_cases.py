@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from loomspan.llm import decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
+from loomspan.llm import decontaminate, exact_dedup, html_text, language, line_dedup, manifest, ngram_join, packing, pii, repair, substring_dedup, token_counts, url_filter
 
 ON_DOCS = {
     "op1": line_dedup.remove_repeated_lines,
@@ -59,3 +59,26 @@ def test_pages(spark):
 def test_no_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(docs, none).count() == docs.count()
+
+
+def test_shared_ids(spark):
+    """Of equal texts the row of most code points stays, whatever other rows have its id; other texts of the id stay, too."""
+    rows = spark.createDataFrame([(1, "abc"), (2, "ab c "), (2, "abc"), (2, "zzz"), (3, "ab c ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text_sha256[:4], r.kept) for r in exact_dedup.exact_groups(rows).collect())
+    assert sum(k for _, _, k in got) == 2
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.deduplicate(rows).collect()) == [(2, "ab c "), (2, "zzz")]
+
+
+@pytest.mark.parametrize("names", [("__n_lines", "__n_removed"), ("__kept_id", "__kept_sha"), ("c", "g"), ("place", "digest")])
+def test_clashing_names(spark, docs, sf, names):
+    """Columns named as those inside the operators."""
+    d = docs
+    for c in names:
+        d = d.withColumn(c, d["source"])
+    for name in ("lines", "near_duplicates"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, d, sf).columns == d.columns
+    assert exact_dedup.deduplicate(d).columns == d.columns
+    assert manifest.manifest(d, "doc_id", "lang", manifest.FIELDS).count() == d.count()
+    assert token_counts.count_tokens(d).count() == d.count()
+    turns = d.select(d["doc_id"].alias("conv_id"), d["n_chars"].alias("turn"), d["lang"].alias("role"), "text", *names)
+    assert repair.paths(repair.keyed(turns)).where("cost IS NOT NULL").count() == turns.select("conv_id").distinct().count()
