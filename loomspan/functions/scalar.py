@@ -115,6 +115,28 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
 
 
+def fitted(x: Column, width: int) -> Column:
+    """A number with as many digits as ``width`` characters hold: in exponential form where its size needs that, else with a
+    decimal point. At least one digit follows the point of an exponential form, which may exceed the width."""
+    size, minus = F.coalesce(F.log10(F.abs(x)), F.lit(float("-inf"))), (x < 0).cast("int")
+    small = F.greatest(width - 6 - minus, F.lit(1))
+    digits = F.when(size > 0, width - 2 - minus - F.floor(size).cast("int")).otherwise(width - 2 - minus)
+
+    def form(start: str, places: Column, kind: str) -> Column:
+        return F.call_function("format_string", F.concat(F.lit(f"%{start}{width}."), places.cast("int").cast("string"), F.lit(kind)), x)
+
+    return F.when((size >= width - minus - 1) | (-size > 3), form("", small, "e")).otherwise(form("#", F.greatest(digits, F.lit(0)), "f"))
+
+
+def trimmed(s: Column, start: int, length: int) -> Column:
+    """``length`` characters from ``start`` (from 0) on; the whole text for a negative start, all that is left where the
+    length isn't positive or too large."""
+    at, size = F.lit(max(start, 0)), F.length(s)
+    rest = size - at
+    count = rest if length <= 0 else F.least(F.lit(length), rest)
+    return s if start < 0 else F.substring(s, at + 1, F.greatest(count, F.lit(0)))
+
+
 def keyed_uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) that depends on its keys only, not on partitions."""
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**53)) + 0.5) / float(2**53)

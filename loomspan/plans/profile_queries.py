@@ -312,3 +312,17 @@ def path_parts(spark, d):
     u = t(spark, d, "pages").select("page_id", F.split_part("url", F.lit("://"), F.lit(2)).alias("p"))
     p = F.col("p")
     return u.select("page_id", scalar.base_name(p).alias("base"), scalar.extension(p).alias("ext"), scalar.without_extension(p).alias("stem"), scalar.directory(p).alias("dir"))
+
+
+def _fitted_sql(x: str, w: int) -> str:
+    size, minus = f"(CASE WHEN {x} = 0 THEN '-inf'::DOUBLE ELSE log10(abs({x})) END)", f"CAST({x} < 0 AS INT)"
+    digits = f"({w} - 2 - {minus} - CASE WHEN {size} > 0 THEN CAST(floor({size}) AS INT) ELSE 0 END)"
+    return f"""CASE WHEN {size} >= {w} - {minus} - 1 OR -{size} > 3 THEN printf('%{w}.' || greatest({w} - 6 - {minus}, 1) || 'e', {x})
+      WHEN {digits} = 0 THEN lpad(printf('%.0f', {x}) || '.', CAST(greatest({w}, length(printf('%.0f', {x})) + 1) AS INT), ' ') ELSE printf('%{w}.' || {digits} || 'f', {x}) END"""
+
+
+@query(f"""SELECT c_custkey, {_fitted_sql("(c_acctbal * 1.2345678::DOUBLE)", 8)} AS wide, {_fitted_sql("(c_acctbal * 1.2345678::DOUBLE)", 5)} AS narrow, {_fitted_sql("(c_acctbal * 1.2345678::DOUBLE / 7e6)", 9)} AS small, substr(c_name, 4, 6) AS name FROM customer""")
+def fitted_numbers(spark, d):
+    """Numbers in a fixed width, and a part of a text."""
+    x = F.col("c_acctbal") * 1.2345678
+    return t(spark, d, "customer").select("c_custkey", scalar.fitted(x, 8).alias("wide"), scalar.fitted(x, 5).alias("narrow"), scalar.fitted(x / 7e6, 9).alias("small"), scalar.trimmed(F.col("c_name"), 3, 6).alias("name"))

@@ -44,3 +44,19 @@ def test_background_and_search(spark):
     assert df.select(profile.against_background(F.col("p"), F.col("b"))).first()[0] == [2.0, 0.5, 0.0]
     steps = spark.createDataFrame([(0, 1, 1), (1, 2, None), (2, 3, 2)], "step int, x int, y int")
     assert [tuple(r) for r in alignment.at_target(steps, 2).collect()] == [(2, 3, 2)] and not alignment.at_target(steps, 9).collect()
+
+
+def test_numbers_in_a_width(spark):
+    """As printf writes them with the digits that fit."""
+    values = [0.0, 1.0, -1.0, 12.5, -123.456, 99999.0, 1234567.0, -1234567.0, 0.01234, -0.000012, 9.99, 1e9]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for width in (5, 8):
+        for v, (got,) in zip(values, df.select(scalar.fitted(F.col("x"), width)).collect(), strict=True):
+            minus, size = int(v < 0), np.log10(abs(v)) if v else -np.inf
+            if size >= width - minus - 1 or -size > 3:
+                want = f"%{width}.{max(1, width - 6 - minus)}e" % v
+            else:
+                want = f"%#{width}.{width - 2 - minus - (int(size) if size > 0 else 0)}f" % v
+            assert got == want
+    texts = spark.createDataFrame([("abcdef",), ("ab",), (None,)], "s string")
+    assert [tuple(r) for r in texts.select(scalar.trimmed(F.col("s"), 1, 3), scalar.trimmed(F.col("s"), 1, 0), scalar.trimmed(F.col("s"), -1, 2), scalar.trimmed(F.col("s"), 4, 9)).collect()] == [("bcd", "bcdef", "abcdef", "ef"), ("b", "b", "ab", ""), (None, None, None, None)]
