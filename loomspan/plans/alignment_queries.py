@@ -361,3 +361,33 @@ def mapped_alignment(spark, d):
     steps, texts = mapping.carried(rows)
     count = alignment.matches(steps).groupBy("pair_id").agg(F.count("*").alias("matches"))
     return texts.join(count, "pair_id").select("pair_id", "matches", "a", "b")
+
+
+def _letter(side: str, at: str) -> str:
+    """Residues by rule: both sides repeat three letters, the second one with shifts."""
+    return f"substr('ACD', CAST({at} % 3 + 1 AS INT), 1)" if side == "x" else f"substr('ACD', CAST(({at} + {at} // 7) % 3 + 1 AS INT), 1)"
+
+
+@query(f"""WITH {M_SQL}, {MB_SQL}, l AS (SELECT pair_id, max(x) AS lx, max(y) AS ly FROM ({A_SQL}) GROUP BY pair_id),
+k AS (SELECT *, x - row_number() OVER (PARTITION BY pair_id ORDER BY x) AS gx, y - row_number() OVER (PARTITION BY pair_id ORDER BY x) AS gy FROM m),
+b AS (SELECT pair_id, min(x) AS x, min(y) AS y, count(*) AS n FROM k GROUP BY pair_id, gx, gy),
+g AS (SELECT pair_id, coalesce(lag(x + n) OVER w, 1) AS fx, coalesce(lag(y + n) OVER w, 1) AS fy, x AS tx, y AS ty, lag(x) OVER w IS NOT NULL AS after, TRUE AS before FROM b WINDOW w AS (PARTITION BY pair_id ORDER BY x)
+  UNION ALL SELECT pair_id, max(x + n), max(y + n), any_value(lx) + 1, any_value(ly) + 1, TRUE, FALSE FROM b JOIN l USING (pair_id) GROUP BY pair_id),
+s AS (SELECT *, least(tx - fx, ty - fy) AS size FROM g),
+r AS (SELECT *, CASE WHEN after THEN coalesce(list_min(list_filter(range(CAST(size AS BIGINT)), lambda i: {_letter("x", "(fx + i)")} <> {_letter("y", "(fy + i)")})), size) ELSE 0 END AS tail,
+  CASE WHEN before THEN coalesce(list_min(list_filter(range(1, CAST(size AS BIGINT) + 1), lambda i: {_letter("x", "(tx - i)")} <> {_letter("y", "(ty - i)")})) - 1, size) ELSE 0 END AS head FROM s),
+e AS (SELECT pair_id, fx + i AS x, fy + i AS y FROM (SELECT *, unnest(range(CAST(tail AS BIGINT))) AS i FROM r) UNION ALL SELECT pair_id, tx - i, ty - i FROM (SELECT *, unnest(range(1, CAST(least(head, size - tail) AS BIGINT) + 1)) AS i FROM r)),
+a AS (SELECT pair_id, x, y FROM m UNION ALL SELECT * FROM e)
+SELECT l.pair_id, (SELECT count(*) FROM a WHERE a.pair_id = l.pair_id) AS matches, (SELECT count(*) FROM m JOIN mb USING (pair_id, x, y) WHERE m.pair_id = l.pair_id) AS before, (SELECT count(*) FROM a JOIN mb USING (pair_id, x, y) WHERE a.pair_id = l.pair_id) AS after
+FROM l WHERE l.pair_id IN (SELECT pair_id FROM m)""")
+def mended_overlap(spark, d):
+    """Alignments whose blocks go on over equal residues, and the overlap with known ones before and after."""
+    a, known = aligned(spark, d, "a"), aligned(spark, d, "b")
+    found = alignment.matches(a).select("pair_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    letter = lambda at: F.substring(F.lit("ACD"), (at % 3 + 1).cast("int"), F.lit(1))
+    rx = a.where("x IS NOT NULL").select("pair_id", F.col("x").cast("int").alias("x"), letter(F.col("x")).alias("aa"))
+    ry = a.where("y IS NOT NULL").select("pair_id", F.col("y").cast("int").alias("y"), letter(F.col("y") + F.floor(F.col("y") / 7)).alias("aa"))
+    mended = alignment.extended(found, rx, ry, "pair_id")
+    count = mended.groupBy("pair_id").agg(F.count("*").alias("matches"))
+    overlap = [alignment.common(rows, known, "pair_id").withColumnRenamed("common", name) for rows, name in ((found, "before"), (mended, "after"))]
+    return count.join(overlap[0], "pair_id").join(overlap[1], "pair_id")

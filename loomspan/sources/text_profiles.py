@@ -56,7 +56,7 @@ def _tokens(line: str = "line") -> Column:
 
 
 def template_features(rows: DataFrame) -> DataFrame:
-    """profile_id, pos, aa, is_missing, ss8, acc_class, contacts, ca, cb, parse_error."""
+    """profile_id, pos, aa, is_missing, ss8, core, acc_class, pacc, contacts, ca, cb, parse_error."""
     t = rows.where("section = 'Features' AND at >= 1 AND trim(line) <> ''").select("profile_id", F.col("at").alias("pos"), _tokens().alias("t"))
 
     def number(i: int, kind: str) -> Column:
@@ -70,7 +70,7 @@ def template_features(rows: DataFrame) -> DataFrame:
         .when((missing == 0) & F.exists(F.concat(*xyz), lambda v: v.isNull()), "coordinates")
     )
     return t.select(
-        "profile_id", "pos", F.get("t", F.lit(1)).alias("aa"), (missing == 1).alias("is_missing"), F.get("t", F.lit(3)).alias("ss8"), number(5, "int").alias("acc_class"),
+        "profile_id", "pos", F.get("t", F.lit(1)).alias("aa"), (missing == 1).alias("is_missing"), F.get("t", F.lit(3)).alias("ss8"), F.get("t", F.lit(4)).alias("core"), number(5, "int").alias("acc_class"), number(6, "double").alias("pacc"),
         number(7, "int").alias("ca_contact"), number(8, "int").alias("cb_contact"), xyz[0].alias("ca"), xyz[1].alias("cb"), bad.alias("parse_error"),
     )
 

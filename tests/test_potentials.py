@@ -28,7 +28,7 @@ def sides(spark, tmp_path_factory):
     tpl = [f"SEQRES sequence = {SEQUENCE}", "//////////// Features", "head"]
     tpl += [f"{i} {aa} {int(i == 5)} {'HGIEBTSL'[i % 8]} A {i % 3} 10 3 4" + ("" if i == 5 else f" {3.8 * i} 0 0 {3.8 * i} 1 0") for i, aa in enumerate(SEQUENCE, 1)]
     tgt = [f"Sequence = {SEQUENCE}", "EVD =", "//////////// Original SS3+SS8+ACC file", "a", "b"]
-    tgt += ["0.6 0.3 0.1 " + " ".join(["0.125"] * 8) + (" 0.005 0.96 0.035" if i == 2 else " 0.5 0.005 0.495") for i in range(1, n + 1)]
+    tgt += ["0.6 0.3 0.1 " + " ".join(["0.125"] * 8) + (" 0.005 0.96 0.035" if i in (2, 3) else " 0.5 0.005 0.495") for i in range(1, n + 1)]
     tgt += ["//////////// Original DIS file", "head", *[f"{i} A . . {0.21 if i == 3 else 0.2}" for i in range(1, n + 1)]]
     folders = [tmp_path_factory.mktemp(k) for k in ("tpl", "tgt")]
     (folders[0] / "one.tpl").write_text("\n".join(tpl + columns(SEQUENCE)))
@@ -48,6 +48,7 @@ def test_positions(sides):
     assert (t[1].ss, t[1].ss3, t[1].acc, t[1].acc_class) == (2, [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 1)
     assert t[22].aa_idx == 20 and t[22].own is None and sum(t[22].raw) == 0
     assert u[2].acc == [0.0, 1.0, 0.0] and u[2].acc_class == 1 and u[1].acc == [0.5, 0.0, 0.495] and u[1].acc_class == 0
+    assert u[3].acc == [0.0, 0.0, 0.0] and u[3].acc_class == 1  # masked, but its class stays
     assert sum(u[3].ss8) == 0 and sum(u[2].ss8) == 1 and u[3].ss == 0  # disorder must exceed 0.2; the state stays
 
 
