@@ -138,7 +138,7 @@ def _scanner(broadcast):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, text, n_words, hits (indexes of hit words), items (ids as strings) of every row of ``docs``."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     rows = docs.select("doc_id", "text").selectExpr("doc_id", "text", "0L AS n_words", "CAST(NULL AS array<int>) AS hits", "CAST(NULL AS array<string>) AS items")
