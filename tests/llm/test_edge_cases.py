@@ -86,8 +86,8 @@ def test_clashing_names(spark, docs, sf, names):
 
 def test_repeated_items(spark, docs, monkeypatch):
     """Rows of the benchmark that repeat reach the driver once, so no shard is larger for them."""
-    seen, real = [], decontaminate.Patterns
-    monkeypatch.setattr(decontaminate, "Patterns", lambda items, window: seen.append(sum(len(t) for _, t in items)) or real(items, window))
+    seen, real = [], decontaminate.Patterns.__init__
+    monkeypatch.setattr(decontaminate.Patterns, "__init__", lambda self, items, window: seen.append(sum(len(t) for _, t in items)) or real(self, items, window))
     items = spark.createDataFrame([(7, "the lazy dog and runs away from it number 3")] * 2000 + [(k, f"text of item {k}") for k in range(4)], "item_id long, text string")
     got = decontaminate.matches(docs, items, shard_bytes=40).collect()
     assert len(got) == docs.count() and max(seen) < 200
