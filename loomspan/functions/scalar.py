@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,17 +116,24 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
 
 
+def _fitted(x: float, width: int) -> str:
+    size, minus = math.log10(abs(x)) if x else -math.inf, int(x < 0)
+    if math.isnan(x) or size >= width - minus - 1 or size < -3:
+        return f"%{width}.{max(width - 6 - minus, 1)}e" % x
+    return f"%#{width}.{width - 2 - minus - max(math.floor(size), 0)}f" % x
+
+
 def fitted(x: Column, width: int) -> Column:
     """A number with as many digits as ``width`` characters hold: in exponential form where its size needs that, else with a
-    decimal point. At least one digit follows the point of an exponential form, which may exceed the width."""
-    size, minus = F.coalesce(F.log10(F.abs(x)), F.lit(float("-inf"))), (x < 0).cast("int")
-    small = F.greatest(width - 6 - minus, F.lit(1))
-    digits = F.when(size > 0, width - 2 - minus - F.floor(size).cast("int")).otherwise(width - 2 - minus)
+    decimal point. At least one digit follows the point of an exponential form, which may exceed the width.
+
+    Digits are those of the number's exact value, as C rounds it; Java's formatter rounds its shortest decimal form."""
 
-    def form(start: str, places: Column, kind: str) -> Column:
-        return F.call_function("format_string", F.concat(F.lit(f"%{start}{width}."), places.cast("int").cast("string"), F.lit(kind)), x)
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _fitted(v, width) for v in values.to_pylist()], pa.string())
 
-    return F.when((size >= width - minus - 1) | (-size > 3), form("", small, "e")).otherwise(form("#", F.greatest(digits, F.lit(0)), "f"))
+    return text(x.cast("double"))
 
 
 def trimmed(s: Column, start: int, length: int) -> Column:

@@ -60,3 +60,10 @@ def test_numbers_in_a_width(spark):
             assert got == want
     texts = spark.createDataFrame([("abcdef",), ("ab",), (None,)], "s string")
     assert [tuple(r) for r in texts.select(scalar.trimmed(F.col("s"), 1, 3), scalar.trimmed(F.col("s"), 1, 0), scalar.trimmed(F.col("s"), -1, 2), scalar.trimmed(F.col("s"), 4, 9)).collect()] == [("bcd", "bcdef", "abcdef", "ef"), ("b", "b", "ab", ""), (None, None, None, None)]
+
+
+def test_numbers_halfway_between_two_texts(spark):
+    """The exact value decides, as in C; nulls stay, and what isn't finite is written as C does."""
+    cases = [(2.5, "3.086419"), (7.5, "9.259258"), (-75.0, "-92.5926"), (2500.0, "3086.419"), (None, None), (float("nan"), "     nan"), (float("inf"), "     inf"), (float("-inf"), "    -inf")]
+    df = spark.createDataFrame([(v,) for v, _ in cases], "x double")
+    assert [r[0] for r in df.select(scalar.fitted(F.col("x") * 1.2345678, 8)).collect()] == [w for _, w in cases]
