@@ -7,9 +7,11 @@ over the bytes that the longer one didn't code, takes over, down to a uniform by
 so each context is one row of code lengths and scoring a whole text is a table lookup for each byte. The language whose
 tree needs fewest bits wins; the score is its posterior under equal priors.
 
-Training reads at most ``docs_per_language`` labelled rows of each language (chosen by a hash of the id), counts n-grams in
-the tasks and sums them before the driver receives them. The trees have at most ``table_bytes``, and so has the broadcast:
-contexts of two and three bytes stay by their largest share in any language, a longer one never without its suffix.
+Training reads every labelled row that isn't held out, and the limit of code lengths every one that is. N-grams are counted in
+the tasks and summed before the driver receives them. The trees have at most ``table_bytes``, and so has the broadcast:
+contexts of two and three bytes stay by their largest share in any language, a longer one never without its suffix. They are
+chosen before counts are collected: those of other contexts arrive as counts of their suffixes, so what the driver receives
+has a bound too.
 
 Defined results: a null text, an empty one and one without a letter get ``und`` and score 0; a tie goes to the language
 that sorts first. Without any labelled row every text is ``und``. Rows that repeat are scored each for itself.
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import table
+from loomspan.llm.common import drop, staged, table
 from loomspan.llm.wordhash import buffers
 
 ORDER = 3
-DOCS_PER_LANGUAGE = 1500
 TABLE_BYTES = 64 << 20
-WINDOW = 1 << 20
+#: Bytes that are counted, and that are scored, at a time.
+COUNTED, SCORED = 1 << 20, 1 << 17
+#: Parts that a range of values is cut into, and values of one that are sorted in the driver.
+RANGES, FEW = 1000, 10_000
 #: Bits of a byte without a model; the share of labelled texts that sets the limit of code lengths, and what is allowed beyond it.
 UNIFORM = 8.0
 NEARLY_ALL = 0.999
@@ -45,18 +49,18 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def _windows(raw: np.ndarray, off: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+def _windows(raw: np.ndarray, off: np.ndarray, classes: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """Offset, symbol classes and the classes one to ORDER bytes back, for a bounded number of bytes at a time.
 
     Before a row's start there is class 0, that of the zero byte."""
-    for a in range(0, len(raw), WINDOW):
-        b = min(len(raw), a + WINDOW)
+    for a in range(0, len(raw), size):
+        b = min(len(raw), a + size)
         lead = min(a, ORDER)
         cls = classes[raw[a - lead : b]]
         back = []
         begins = off[np.searchsorted(off, a - ORDER, "left") : np.searchsorted(off, b, "left")]
         for k in range(1, ORDER + 1):
-            c = np.zeros(b - a, np.int32)
+            c = np.zeros(b - a, cls.dtype)
             have = max(0, k - lead)
             c[have:] = cls[lead - k + have : lead - k + b - a]
             for j in range(k):  # the first k bytes of a row don't see the row before
@@ -68,24 +72,27 @@ def _windows(raw: np.ndarray, off: np.ndarray, classes: np.ndarray) -> Iterator[
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, gram (four bytes, the oldest first), n: the counts of each batch."""
-    same = np.arange(256, dtype=np.int32)
+    same = np.arange(256, dtype=np.uint32)
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
             raw, off = buffers(batch.column("text").filter(pa.array(langs == lang)))
-            for _, b, (p1, p2, p3) in _windows(raw, off, same):
-                gram, n = np.unique(p3.astype(np.int64) << 24 | p2 << 16 | p1 << 8 | b, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for _, b, (p1, p2, p3) in _windows(raw, off, same, COUNTED):
+                gram, n = np.unique(p3 << 24 | p2 << 16 | p1 << 8 | b, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 class Trees:
-    """Frozen code lengths: ``row_of`` maps three classes of bytes to a row of ``bits`` [row * width + class, language]."""
+    """Frozen code lengths: ``row_of`` maps three classes of bytes to a row of ``bits`` [row * width + class, language].
 
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES):
+    ``grams`` are, of each language, four bytes as one number and their count; or also how many bytes before the last one are
+    counted (three by default): counts whose longer contexts have no room anyway may come summed, with zeros for the rest."""
+
+    def __init__(self, grams: dict[str, tuple[np.ndarray, ...]], table_bytes: int = TABLE_BYTES):
         self.langs = sorted(grams)
         seen = np.zeros(256, bool)
         seen[0] = True
-        for g, _ in grams.values():
+        for g, *_ in grams.values():
             for k in range(4):
                 seen[g >> 8 * k & 255] = True
         # Bytes that training never saw share the last class; each of them costs the same after any context.
@@ -96,18 +103,19 @@ class Trees:
         base[-1] = max(rare, 1e-9) / 256
 
         coded = {}
-        for x, (g, n) in grams.items():
+        for x, (g, n, *reach) in grams.items():
             c = [self.classes[g >> 8 * k & 255].astype(np.int64) for k in range(4)]
-            coded[x] = (c[3] * w * w + c[2] * w + c[1], c[0], n)
-        self.contexts = [np.unique(np.concatenate([c % w for c, _, _ in coded.values()]))]
+            coded[x] = (c[3] * w * w + c[2] * w + c[1], c[0], n, reach[0] if reach else np.full(len(g), ORDER))
+        self.contexts = [np.unique(np.concatenate([c % w for c, *_ in coded.values()]))]
         most = max(1, table_bytes // (4 * w * max(1, len(grams))) - 1 - len(self.contexts[0]))
         kinds = []
         for k in (2, 3):
-            at, inverse = np.unique(np.concatenate([c % w**k for c, _, _ in coded.values()]), return_inverse=True)
+            at, inverse = np.unique(np.concatenate([c[reach >= k] % w**k for c, _, _, reach in coded.values()]), return_inverse=True)
             share, begin = np.zeros(len(at)), 0
-            for c, _, n in coded.values():
-                own = np.bincount(inverse[begin : begin + len(c)], n, len(at)) / n.sum()
-                share, begin = np.maximum(share, own), begin + len(c)
+            for _, _, n, reach in coded.values():
+                end = begin + int((reach >= k).sum())
+                own = np.bincount(inverse[begin:end], n[reach >= k], len(at)) / n.sum()
+                share, begin = np.maximum(share, own), end
             kinds.append((at, share))
         order = np.repeat([2, 3], [len(at) for at, _ in kinds])
         code, share = (np.concatenate(x) for x in zip(*kinds, strict=True))
@@ -127,7 +135,7 @@ class Trees:
         bits[:, -1, :] += np.log2(max(rare, 1))
         self.bits = bits.reshape(-1, len(self.langs))
 
-    def _frozen(self, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def _frozen(self, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, reach: np.ndarray, base: np.ndarray) -> np.ndarray:
         """The distribution after each context, by escape method C with exclusion."""
         w = self.width
         below, at, out = base[None, :], np.zeros(1, np.int64), []
@@ -136,7 +144,7 @@ class Trees:
                 break
             own = code % w**k
             pos = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            ok = contexts[pos] == own
+            ok = (contexts[pos] == own) & (reach >= k)
             counts = np.bincount(pos[ok] * w + symbol[ok], n[ok], len(contexts) * w).reshape(-1, w)
             total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
             if k:
@@ -155,7 +163,7 @@ class Trees:
         """Bits of each row under each language."""
         out = np.zeros((len(off) - 1, len(self.langs)))
         w = self.width
-        for a, b, (p1, p2, p3) in _windows(raw, off, self.classes):
+        for a, b, (p1, p2, p3) in _windows(raw, off, self.classes, SCORED):
             at = self.row_of[p3 * (w * w) + p2 * w + p1].astype(np.int64) * w + b
             cost = self.bits[at]
             first = int(np.searchsorted(off, a, "right")) - 1
@@ -166,39 +174,68 @@ class Trees:
         return out
 
 
-def _sample(labelled: DataFrame, docs_per_language: int) -> DataFrame | None:
-    """About ``docs_per_language`` rows of each language at most, chosen by a hash of the id."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
+def _room(counted: DataFrame, langs: list[str], table_bytes: int) -> DataFrame:
+    """k (place of the language, from 1), gram, reach, n for ``Trees``: grams of contexts that have no room in the tables are
+    summed by their longest suffix that may have."""
+    grams = counted.select(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("k"), "gram", "n")
+    total = {r.k: r.n for r in grams.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    width = len({0} | set(grams.agg(F.collect_set(F.col("gram").bitwiseAND(255))).first()[0])) + 1
+    whole = F.create_map(*[F.lit(x) for pair in sorted(total.items()) for x in pair])
+    context = F.shiftright("gram", 8)
+    each = grams.select("k", "n", F.explode(F.array(F.struct(F.lit(2).alias("reach"), context.bitwiseAND(0xFFFF).alias("code")), F.struct(F.lit(3).alias("reach"), context.alias("code")))).alias("c")).groupBy("k", "c").agg(F.sum("n").alias("n"))
+    shares = each.groupBy("c.reach", "c.code").agg(F.max(F.col("n") / whole[F.col("k")]).alias("share"))
+    # A suffix has at least the share of its context and comes before it.
+    chosen = staged(shares.orderBy(F.desc("share"), "reach", "code").limit(max(1, table_bytes // (4 * width * len(langs)))).select("reach", "code"))
+    for reach, mask in ((2, 0xFFFF), (3, 0xFFFFFF)):
+        of = F.broadcast(chosen.where(F.col("reach") == reach).select(F.col("code").alias(f"c{reach}")))
+        grams = grams.join(of, context.bitwiseAND(mask) == F.col(f"c{reach}"), "left")
+    reach = F.when(F.col("c2").isNull(), 1).when(F.col("c3").isNull(), 2).otherwise(3)
+    kept = F.when(F.col("reach") == 1, F.col("gram").bitwiseAND(0xFFFF)).when(F.col("reach") == 2, F.col("gram").bitwiseAND(0xFFFFFF)).otherwise(F.col("gram"))
+    return grams.withColumn("reach", reach).select("k", "reach", kept.alias("gram"), "n").groupBy("k", "reach", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> Trees | None:
+    """Trees of all labelled rows that aren't held out."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "text")
+    counted = staged(labelled.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # Numbers instead of names reach the driver.
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    found = _room(counted, langs, table_bytes).toPandas() if langs else None
+    drop(docs.sparkSession, counted)
+    if found is None:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, int(min(1.0, docs_per_language / n) * 1_000_000))])
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    return Trees({langs[k - 1]: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64), g["reach"].to_numpy()) for k, g in found.groupby("k")}, table_bytes)
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes: int = TABLE_BYTES) -> Trees | None:
-    """Trees of the labelled rows that aren't held out: about ``docs_per_language`` of each language at most."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sample = _sample(labelled, docs_per_language)
-    if sample is None:
-        return None
-    counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Numbers instead of names reach the driver.
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    if not langs:
+def _quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of all values of the column ``v``, between neighbours in proportion; null without any.
+
+    A range is cut into parts whose rows are counted, and the part of the wanted rank is cut again until it has few rows."""
+    v = F.col("v")
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
         return None
-    found = counted.select(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("k"), "gram", "n").toPandas()
-    return Trees({langs[k - 1]: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64)) for k, g in found.groupby("k")}, table_bytes)
+    first, rest = divmod((n - 1) * share, 1)
+    rank, size = int(first), n  # among the values from ``low`` to ``high``
+    while low < high and size > FEW:
+        place = F.least(F.floor((v - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+        for part in values.where(v.between(low, high)).groupBy(place.alias("place")).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("place").collect():
+            if rank < part["n"]:
+                break
+            rank -= part["n"]
+        size, low, high = part["n"], part["low"], part["high"]
+    at = low if low == high else sorted(r["v"] for r in values.where(v.between(low, high)).collect())[rank]
+    upto, following = values.agg(F.count(F.when(v <= at, 1)), F.min(F.when(v > at, v))).first()
+    after = at if upto > first + 1 or following is None else following
+    return at + (after - at) * rest
 
 
-def limit(docs: DataFrame, trees: Trees | None, docs_per_language: int = DOCS_PER_LANGUAGE) -> float:
+def limit(docs: DataFrame, trees: Trees | None) -> float:
     """Bits a byte above which a text is in none of the languages: a tenth more than nearly all held-out labelled texts
     need under their own language, and never more than a byte that no model describes."""
     if trees is None:
         return UNIFORM
-    labelled = docs.where(F.col("lang").isin(trees.langs) & (F.length("text") > 0)).where(held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sample = _sample(labelled, docs_per_language)
-    if sample is None:
-        return UNIFORM
+    labelled = docs.where(F.col("lang").isin(trees.langs) & (F.length("text") > 0)).where(held_out(F.col("doc_id"))).select("lang", "text")
     broadcast = docs.sparkSession.sparkContext.broadcast(trees)
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +243,12 @@ def limit(docs: DataFrame, trees: Trees | None, docs_per_language: int = DOCS_PE
             raw, off = buffers(batch.column("text"))
             bits = broadcast.value.code_lengths(raw, off)
             own = np.searchsorted(broadcast.value.langs, batch.column("lang").to_pylist()) if len(bits) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(bits[np.arange(len(bits)), own] / np.diff(off))], names=["rate"])
+            yield pa.RecordBatch.from_arrays([pa.array(bits[np.arange(len(bits)), own] / np.diff(off))], names=["v"])
 
-    found = sample.select("lang", "text").mapInArrow(rates, "rate double").toPandas()["rate"].to_numpy()
-    return min(UNIFORM, SLACK * float(np.quantile(found, NEARLY_ALL))) if len(found) else UNIFORM
+    found = staged(labelled.mapInArrow(rates, "v double"))
+    most = _quantile(found, NEARLY_ALL)
+    drop(docs.sparkSession, found)
+    return UNIFORM if most is None else min(UNIFORM, SLACK * most)
 
 
 def _scorer(broadcast):

@@ -2,8 +2,11 @@
 
 import random
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from loomspan.llm import language
@@ -41,3 +44,42 @@ def test_limit_by_hand(spark, sf):
     want = {r.doc_id for r in docs.collect() if r.text and language.LETTER.search(r.text) and rates(trees, [r.text]).min() * len(r.text.encode()) <= most * len(r.text.encode()) + 8}
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()} == want
     assert language.limit(docs.limit(0), trees) == 8.0 == language.limit(docs, None)
+
+
+def many(spark, n=9000):
+    """More rows of a language than were once read of one."""
+    rng = random.Random(5)
+    words = [["der", "die", "und", "Haus", "gelb"], ["the", "and", "house", "blue", "that"]]
+    rows = [(k, " ".join(rng.choice(words[k % 2]) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", " zq", f" {k}"]), ["de", "en"][k % 2], "s", 1) for k in range(n)]
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def counted(rows, held):
+    """Four bytes as a number and their count, of each language."""
+    out = {}
+    for _, text, lang, *_ in (r for r in rows if r[0] not in held):
+        raw = bytes(3) + text.encode()
+        out.setdefault(lang, Counter()).update(int.from_bytes(raw[i : i + 4], "big") for i in range(len(raw) - 3))
+    return {x: (np.array(sorted(c)), np.array([c[g] for g in sorted(c)], float)) for x, c in out.items()}
+
+
+@pytest.mark.parametrize("table_bytes", [64 << 20, 40_000, 9_000])
+def test_model_and_limit_of_all_rows(spark, table_bytes):
+    rows, docs = many(spark)
+    held = {r[0] for r in docs.where(language.held_out(docs.doc_id)).select("doc_id").collect()}
+    want, got = language.Trees(counted(rows, held), table_bytes), language.fit(docs, table_bytes=table_bytes)
+    assert got.langs == want.langs and (got.classes == want.classes).all() and (got.row_of == want.row_of).all() and np.array_equal(got.bits, want.bits)
+    assert table_bytes > 1 << 20 or len(want.contexts[2]) < len(language.Trees(counted(rows, held)).contexts[2])
+    bits = rates(want, [r[1] for r in rows if r[0] in held])
+    own = [float(b[want.langs.index(r[2])]) for b, r in zip(bits, (r for r in rows if r[0] in held), strict=True)]
+    assert np.isclose(language.limit(docs, got), min(8.0, 1.1 * np.quantile(own, 0.999)), rtol=1e-12)
+
+
+def test_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(language, "FEW", 3)
+    monkeypatch.setattr(language, "RANGES", 4)
+    rng = random.Random(2)
+    for values in ([], [1.5], [2.0] * 50, [rng.random() ** 9 * 100 for _ in range(400)], [1.0] * 90 + [1.0 + 2**-52] * 7 + [9.0] * 4, [5e-324, 0.0] * 5):
+        for share in (0.0, 0.5, 0.96, 0.999, 1.0):
+            got = language._quantile(spark.createDataFrame([(x,) for x in values], "v double"), share)
+            assert got is None if not values else np.isclose(got, np.quantile(values, share), rtol=1e-14, atol=0), (values[:5], share)
