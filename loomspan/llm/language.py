@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +33,8 @@ from loomspan.llm.wordhash import buffers
 
 ORDER = 3
 TABLE_BYTES = 64 << 20
-#: Bytes that are counted, and that are scored, at a time.
-COUNTED, SCORED = 1 << 20, 1 << 17
+#: Bytes that are counted, and that are scored, at a time; rows that are scored at a time.
+COUNTED, SCORED, ROWS = 1 << 20, 1 << 17, 500
 #: Parts that a range of values is cut into, and values of one that are sorted in the driver.
 RANGES, FEW = 1000, 10_000
 #: Bits of a byte without a model; the share of labelled texts that sets the limit of code lengths, and what is allowed beyond it.
@@ -251,34 +250,40 @@ def limit(docs: DataFrame, trees: Trees | None) -> float:
     return UNIFORM if most is None else min(UNIFORM, SLACK * most)
 
 
+KIND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
+
+
 def _scorer(broadcast):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(text: pa.Array) -> list[pa.Array]:
         trees = broadcast.value
-        for batch in batches:
-            row = batch.column("row")
-            text = batch.column("text") if batch.num_columns > 1 else pc.struct_field(row, "text")
-            letters = np.array([bool(x) and LETTER.search(x) is not None for x in text.to_pylist()], bool)
-            raw, off = buffers(text)
-            if trees is None:
-                lang, p, least = np.full(len(letters), "und", object), np.zeros(len(letters)), np.zeros(len(letters))
-            else:
-                bits = trees.code_lengths(raw, off)
-                best = bits.argmin(1) if len(bits) else np.zeros(0, int)
-                p = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1) if len(bits) else np.zeros(0)
-                lang = np.array(trees.langs, object)[best]
-                least = bits.min(1) if len(bits) else np.zeros(0)
-            lang[~letters] = "und"
-            yield pa.RecordBatch.from_arrays([row, pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(least), pa.array(np.diff(off).astype(np.int64))], names=["row", "lang_pred", "score", "bits", "n_bytes"])
+        letters = np.array([bool(x) and LETTER.search(x) is not None for x in text.to_pylist()], bool)
+        raw, off = buffers(text)
+        if trees is None:
+            lang, p, least = np.full(len(letters), "und", object), np.zeros(len(letters)), np.zeros(len(letters))
+        else:
+            bits = trees.code_lengths(raw, off)
+            least = bits.min(1)
+            p = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
+            lang = np.array(trees.langs, object)[bits.argmin(1)]
+        lang[~letters] = "und"
+        return [pa.array(lang, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(least), pa.array(np.diff(off).astype(np.int64))]
+
+    def score(text: pa.Array) -> pa.Array:
+        parts = [some(text.slice(a, ROWS)) for a in range(0, len(text), ROWS)]
+        arrays = [pa.concat_arrays(z) for z in zip(*parts, strict=True)] if parts else [pa.array([], k) for k in (pa.string(), pa.float64(), pa.float64(), pa.int64())]
+        return pa.StructArray.from_arrays(arrays, names=KIND.names)
 
     return score
 
 
 def predict(docs: DataFrame, trees: Trees | None, keep: list[str]) -> DataFrame:
-    """row (a struct of the ``keep`` columns), lang_pred, score, the best language's bits and n_bytes; only ``text`` is an input of the prediction."""
+    """row (a struct of the ``keep`` columns), lang_pred, score, the best language's bits and n_bytes; only ``text`` is an input of the prediction.
+
+    Only texts travel to Python, and only results back."""
+    # Else a filter on the result would be pushed below it, and each text be scored twice.
+    score = F.arrow_udf(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), KIND).asNondeterministic()
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    rows = docs.select(row) if "text" in keep else docs.select(row, "text")
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), schema)
+    return docs.select(row, score("text").alias("found")).select("row", "found.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
