@@ -129,16 +129,6 @@ DIGEST_SQL = """SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(l
   CAST(list_sum(list_transform(f, lambda v, i: v * i)) AS BIGINT) AS by_place FROM f"""
 
 
-def digest_of(cells: DataFrame) -> DataFrame:
-    """Number of sparse entries, sum, and sum by place of each cell's features."""
-    entries = potentials.sparse("features")
-
-    def summed(of):
-        return F.aggregate("z", F.lit(0).cast("long"), lambda acc, e: acc + of(e))
-
-    return cells.select("pair_id", "x", "y", F.col("features"), entries.alias("z")).select("pair_id", "x", "y", F.size("z").alias("n_entries"), (summed(lambda e: e["value"]) - 1).alias("total"), summed(lambda e: e["value"] * e["d"]).alias("by_place"))
-
-
 def digest(f: np.ndarray) -> list[np.ndarray]:
     """Number of sparse entries, sum, and sum by place of each cell's features; all are whole numbers."""
     return [((f != 0).sum(1) + 1).astype(np.int32), f.sum(1).astype(np.int64), (f @ np.arange(1.0, f.shape[1] + 1)).astype(np.int64)]
@@ -155,8 +145,7 @@ def template_cell_features(spark, d):
 
 @query(f"WITH {_features_sql('target')} {DIGEST_SQL}")
 def target_cell_features(spark, d):
-    rows = positions(spark, d)
-    return digest_of(potentials.cell_features(pairs(rows), rows, rows, NULL, TABLES, "target", SUBSTITUTION))
+    return digested(positions(spark, d), tiles.similarity_of(NULL, TABLES, "target", SUBSTITUTION))
 
 
 def _weight(k: str) -> str:
