@@ -66,6 +66,7 @@ class Sweep:
         bits = [len(arcs).bit_length() for arcs in self.into]
         self.shifts, self.masks = np.cumsum([0, *bits[:-1]]).tolist(), [(1 << b) - 1 for b in bits]
         self.packed = np.uint8 if sum(bits) <= 8 else np.uint16
+        self.codes = [self.packed((self.into[t].index(m) + 1) << self.shifts[t]) for m, (_, t) in enumerate(self.machine.arcs)]
 
     @property
     def count(self) -> int:
@@ -77,6 +78,10 @@ class Sweep:
     def empty(self, value: float = NONE) -> np.ndarray:
         return np.full((self.states, self.pairs, self.lx + 2), value)
 
+    def across(self, value: float, kind: type = float) -> np.ndarray:
+        """As ``empty``, with the pairs beside each other in memory: spans of all pairs are one run, which best paths gain by."""
+        return np.full((self.states, self.lx + 2, self.pairs), value, kind).transpose(0, 2, 1)
+
     def inside(self, d: int) -> np.ndarray:
         """[pair, x]: the cells of a diagonal within each pair's lengths."""
         x0, x1 = self.span(d)
@@ -100,7 +105,7 @@ class Sweep:
     def _best_step(self, d: int, before: tuple, mode: str, geometry: Geometry | None) -> tuple:
         """A diagonal's values, the last match on each one's path, and the packed arcs that gave them."""
         x0, x1 = self.span(d)
-        value, arcs = self.empty(), np.zeros((self.states, self.pairs, self.lx + 2), self.packed)
+        value, arcs = self.across(NONE), self.across(0, self.packed)
         last = None if geometry is None else np.zeros(value.shape, np.int32)
         if mode == "local":
             value[:, :, x0 + 1 : x1 + 2] = 0
@@ -119,12 +124,16 @@ class Sweep:
                     better &= geometry.allows(s, known, to.start - 1, to.stop - 2)
                 carried = np.broadcast_to(np.arange(to.start - 1, to.stop - 1), known.shape) if t == 0 else known if self.machine.steps[t] == (1, 0) else 0
                 np.copyto(last[t][:, to], carried, where=better, casting="unsafe")
-            np.copyto(value[t][:, to], new, where=better)
-            np.copyto(arcs[t][:, to], (self.into[t].index(m) + 1) << self.shifts[t], where=better, casting="unsafe")
+            if geometry is not None:
+                np.copyto(value[t][:, to], new, where=better)
+            else:
+                np.maximum(value[t][:, to], new, out=value[t][:, to])
+            # A state's arcs come in rising order, so the largest is the one that was better last.
+            np.maximum(arcs[t][:, to], np.multiply(better, self.codes[m], dtype=self.packed), out=arcs[t][:, to])
         return value, last, np.bitwise_or.reduce(arcs[:, :, x0 + 1 : x1 + 2])
 
     def _outside(self, geometry: Geometry | None) -> tuple:
-        return self.empty(), None if geometry is None else np.zeros((self.states, self.pairs, self.lx + 2), np.int32), None
+        return self.across(NONE), None if geometry is None else np.zeros((self.states, self.pairs, self.lx + 2), np.int32), None
 
     def best(self, mode: str = "whole", geometry: Geometry | None = None, order: tuple[int, ...] | None = None, once: bool = False) -> tuple[np.ndarray, list[Path]]:
         """The best value and path of each pair.
@@ -311,10 +320,12 @@ class Models:
     """Pairs of profile models for ``dynamic.PAIR``: scores of columns by diagonal, and transitions by position.
 
     ``q`` and ``t`` are [position 0..L, (mm, mi, md, im, ii, dm, dd)] in log2 of each pair; ``score(d, x0, x1)`` is [pair, x]
-    for matches of x and d - x, both from 1. Nothing here grows with the product of both lengths."""
+    for matches of x and d - x, both from 1. Nothing here grows with the product of both lengths: weights
+    of diagonals are kept for further sweeps in ``room`` bytes at most."""
 
-    def __init__(self, lengths: np.ndarray, score: Diagonal, q: list[np.ndarray], t: list[np.ndarray], shift: float = SHIFT, base: float = 1.0):
+    def __init__(self, lengths: np.ndarray, score: Diagonal, q: list[np.ndarray], t: list[np.ndarray], shift: float = SHIFT, base: float = 1.0, room: int = 0):
         self.lengths, self.score, self.shift, self.base = lengths, score, shift, base
+        self.room, self.kept = room, {}
         self.ly = int(lengths[:, 1].max())
 
         def sides(models: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,17 +336,21 @@ class Models:
 
         (self.q, self.a), (y, b) = sides(q, lengths[:, 0]), sides(t, lengths[:, 1])
         self.t, self.b = y[:, :, ::-1], b[:, :, ::-1]  # so that y = d - x runs forward
-        self.closed: dict[int, list[tuple[int, int]]] = {}
+        self.closed: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         least = np.minimum(60, (0.333 * lengths.min(1)).astype(int) + 1)
         self.least, self.lq, self.lt = least[:, None], lengths[:, :1], lengths[:, 1:]
 
-    def close(self, pair: int, path: Path, reach: int = 2) -> None:
-        """No further path of a pair enters a cell of ``path`` or one up to ``reach`` beside it."""
-        for _, x, y in path:
-            for k in range(-reach, reach + 1):
-                for cell in ((x + k, y), (x, y + k)):
-                    if min(cell) > 0:
-                        self.closed.setdefault(sum(cell), []).append((pair, cell[0]))
+    def close(self, paths: list[Path], reach: int = 2) -> None:
+        """No further path of a pair enters a cell of its path in ``paths`` or one up to ``reach`` beside it."""
+        pair = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+        xy, k = np.array([z[1:] for p in paths for z in p], int).reshape(-1, 1, 2), np.arange(-reach, reach + 1)
+        beside = (xy + np.concatenate([np.stack([k, 0 * k], 1), np.stack([0 * k, k], 1)])).reshape(-1, 2)
+        pair, fits = np.repeat(pair, 2 * len(k)), (beside > 0).all(1)
+        order = np.argsort(beside[fits].sum(1), kind="stable")
+        pair, x, d = pair[fits][order], beside[fits, 0][order], beside[fits].sum(1)[order]
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        for a, z in zip(first, [*first[1:], len(d)], strict=True):
+            self.closed.setdefault(int(d[a]), []).append((pair[a:z], x[a:z]))
 
     def matched(self, d: int, x0: int, x1: int) -> np.ndarray:
         """[pair, x]: the shifted scores of cells that leave the least overlap."""
@@ -350,6 +365,19 @@ class Models:
         return out
 
     def __call__(self, d: int, x0: int, x1: int) -> np.ndarray:
+        if d in self.kept:
+            return self._without_closed(self.kept[d].copy(order="K") if d in self.closed else self.kept[d], d, x0, x1)
+        out = self._open(d, x0, x1)
+        if self.room:
+            out = np.ascontiguousarray(out.transpose(0, 2, 1)).transpose(0, 2, 1)  # as ``Sweep.across``
+        if out.nbytes <= self.room:
+            self.room -= out.nbytes
+            self.kept[d] = out
+            out = out.copy(order="K") if d in self.closed else out
+        return self._without_closed(out, d, x0, x1)
+
+    def _open(self, d: int, x0: int, x1: int) -> np.ndarray:
+        """Weights before any cell is closed."""
         mm, mi, md, im, ii, dm, dd = range(7)
         along, back = slice(x0, x1 + 1), slice(self.ly - d + x0, self.ly - d + x1 + 1)
         q, a, t, b = self.q[:, :, along], self.a[:, :, along], self.t[:, :, back], self.b[:, :, back]
@@ -360,9 +388,12 @@ class Models:
         out[7], out[8] = q[ii] + b[mm], q[mi] + b[mm]
         out[9], out[10] = a[dd], a[md]
         out[11], out[12] = a[mm] + t[ii], a[mm] + t[mi]
+        return out
+
+    def _without_closed(self, out: np.ndarray, d: int, x0: int, x1: int) -> np.ndarray:
         for pair, x in self.closed.get(d, ()):
-            if x0 <= x <= x1:
-                out[:, pair, x - x0] = NONE
+            here = (x >= x0) & (x <= x1)
+            out[:, pair[here], x[here] - x0] = NONE
         return out
 
     def started(self, d: int, x0: int, x1: int) -> np.ndarray:
@@ -462,25 +493,34 @@ def align_models(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray],
     return out
 
 
-def alternatives(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray], t: list[np.ndarray], most: int, mode: str = "local", shift: float = SHIFT, room: int = ROOM) -> list[list[tuple[float, Path]]]:
+def alternatives(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray], t: list[np.ndarray], most: int, mode: str | tuple[str, ...] = "local", shift: float = SHIFT, room: int = ROOM) -> list:
     """Up to ``most`` paths of each model pair, the best first, each away from the cells beside those before it.
 
-    Pairs with an empty side have none, and local paths end where no score above 0 is left."""
-    out: list[list[tuple[float, Path]]] = [[] for _ in p]
+    Pairs with an empty side have none, and local paths end where no score above 0 is left. Of several modes, a list of such
+    lists; they share the weights."""
+    if not isinstance(mode, str):
+        return _alternatives(p, s, q, t, most, mode, shift, room)
+    return _alternatives(p, s, q, t, most, (mode,), shift, room)[0]
+
+
+def _alternatives(p: list[np.ndarray], s: list[np.ndarray], q: list[np.ndarray], t: list[np.ndarray], most: int, modes: tuple[str, ...], shift: float, room: int) -> list[list[list[tuple[float, Path]]]]:
+    out: list[list[list[tuple[float, Path]]]] = [[[] for _ in p] for _ in modes]
     full = [k for k in range(len(p)) if len(p[k]) and len(s[k])]
     if not full:
         return out
     p, s, q, t = ([z[k] for k in full] for z in (p, s, q, t))
     lengths = np.array([(len(a), len(b)) for a, b in zip(p, s, strict=True)])
-    models = Models(lengths, column_scores(p, s), q, t, shift)
-    for _ in range(most):
-        value, paths = Sweep(PAIR, lengths, models, room).best(mode)
-        for b, path in enumerate(paths):
-            if path:
-                out[full[b]].append((float(value[b]), path))
-                models.close(b, path)
-        if not any(paths):
-            break
+    models = Models(lengths, column_scores(p, s), q, t, shift, room=room)
+    for mode, found in zip(modes, out, strict=True):
+        models.closed.clear()
+        for _ in range(most):
+            value, paths = Sweep(PAIR, lengths, models, room).best(mode)
+            for b, path in enumerate(paths):
+                if path:
+                    found[full[b]].append((float(value[b]), path))
+            if not any(paths):
+                break
+            models.close(paths)
     return out
 
 

@@ -310,8 +310,8 @@ def model_alternatives(spark, d):
     """The best three alignments of each pair of models, away from each other: local ones, and with free ends."""
 
     def some(q, u):
-        sides = _sides(q, u)
-        both = {mode: sweeps.alternatives(*sides, 3, mode) for mode in ("local", "free")}
+        modes = ("local", "free")
+        both = dict(zip(modes, sweeps.alternatives(*_sides(q, u), 3, modes), strict=True))
         return [{"found": [{"mode": mode, "rank": k + 1, "score": round(v, 6), "n_match": sum(st == 0 for st, _, _ in path), "first": f"{path[0][1]}:{path[0][2]}", "last": f"{path[-1][1]}:{path[-1][2]}"} for mode in both for k, (v, path) in enumerate(both[mode][i])]} for i in range(len(q))]
 
     kind = "found array<struct<mode:string,rank:int,score:double,n_match:int,first:string,last:string>>"

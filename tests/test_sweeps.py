@@ -149,3 +149,23 @@ def test_alternatives(mode):
             assert not closed & {(x, y) for _, x, y in path}
             closed |= {c for _, x, y in path for k in range(-2, 3) for c in ((x + k, y), (x, y + k))}
     assert sweeps.alternatives([np.zeros((0, 4))], [s], [q], [t], 2, mode) == [[]]
+
+
+def test_alternatives_of_several_modes_share_weights(monkeypatch):
+    """Each mode's paths are those it finds alone, whether weights of diagonals are kept or not; scores are computed once."""
+    rng = np.random.default_rng(11)
+    sizes = [(9, 7), (5, 12), (11, 11)]
+    p, s = ([rng.random((n[k], 4)) + 0.1 for n in sizes] for k in (0, 1))
+    q, t = ([np.log2(rng.random((n[k] + 1, 7)) * 0.5 + 0.4) for n in sizes] for k in (0, 1))
+    asked = []
+    known = sweeps.column_scores
+
+    def counted(*sides):
+        score = known(*sides)
+        return lambda d, x0, x1: asked.append(d) or score(d, x0, x1)
+
+    alone = [sweeps.alternatives(p, [z * 4 for z in s], q, t, 3, mode) for mode in ("local", "free")]
+    monkeypatch.setattr(sweeps, "column_scores", counted)
+    assert sweeps.alternatives(p, [z * 4 for z in s], q, t, 3, ("local", "free")) == alone
+    assert len(asked) == len(set(asked)) and any(len(x) > 1 for mode in alone for x in mode)
+    assert sweeps.alternatives(p, [z * 4 for z in s], q, t, 3, ("local", "free"), room=3000) == alone
