@@ -35,6 +35,8 @@ ORDER = 3
 TABLE_BYTES = 64 << 20
 #: Bytes that are counted, and that are scored, at a time; rows that are scored at a time.
 COUNTED, SCORED, ROWS = 1 << 20, 1 << 17, 500
+#: Code lengths that are worked out at a time in the driver.
+CELLS = 1 << 18
 #: Parts that a range of values is cut into, and values of one that are sorted in the driver.
 RANGES, FEW = 1000, 10_000
 #: Bits of a byte without a model; the share of labelled texts that sets the limit of code lengths, and what is allowed beyond it.
@@ -122,41 +124,50 @@ class Trees:
         two, three = (np.sort(code[chosen[order[chosen] == k]]) for k in (2, 3))
         self.contexts += [two, three[np.isin(three % (w * w), two)]]
 
-        rows, total = np.zeros(1, np.int64), 1
+        rows, total = np.zeros(1, np.int32), 1
         for contexts in self.contexts:
             rows = np.tile(rows, w)
             rows[contexts] = total + np.arange(len(contexts))
             total += len(contexts)
-        self.row_of = rows.astype(np.int32)
+        self.row_of = rows
         bits = np.empty((total, w, len(self.langs)), np.float32)
         for j, x in enumerate(self.langs):
-            bits[:, :, j] = -np.log2(self._frozen(*coded[x], base))
+            a = 0
+            for part in self._frozen(*coded[x], base):
+                bits[a : a + len(part), :, j] = -np.log2(part)
+                a += len(part)
         bits[:, -1, :] += np.log2(max(rare, 1))
         self.bits = bits.reshape(-1, len(self.langs))
 
-    def _frozen(self, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, reach: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """The distribution after each context, by escape method C with exclusion."""
+    def _frozen(self, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, reach: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
+        """The distribution after each context, by escape method C with exclusion, of a bounded number of contexts at a time."""
         w = self.width
-        below, at, out = base[None, :], np.zeros(1, np.int64), []
+        step = max(1, CELLS // w)
+        below, prior = base[None, :], np.zeros(1, np.int64)
         for k, contexts in enumerate([np.zeros(1, np.int64), *self.contexts]):
             if not len(contexts):  # no room for this order
                 break
             own = code % w**k
             pos = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            ok = (contexts[pos] == own) & (reach >= k)
-            counts = np.bincount(pos[ok] * w + symbol[ok], n[ok], len(contexts) * w).reshape(-1, w)
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            if k:
-                at = np.searchsorted(prior, contexts % w ** (k - 1))
-            shorter = below[at]
-            left = np.where(counts > 0, 0, shorter)
-            rest = left.sum(1, keepdims=True)
-            scale = np.where(rest > 0, total + kinds, np.maximum(total, 1))
-            coded = counts / np.maximum(scale, 1) + left / np.where(rest > 0, rest, 1) * kinds / np.maximum(scale, 1)
-            below = np.where(total > 0, coded, shorter)
-            out.append(below)
-            prior = contexts
-        return np.concatenate(out)
+            of = np.flatnonzero((contexts[pos] == own) & (reach >= k))
+            of = of[np.argsort(pos[of], kind="stable")]
+            begins = range(0, len(contexts), step)
+            cut = np.searchsorted(pos[of], [*begins, len(contexts)])
+            done = np.empty((len(contexts) if k < len(self.contexts) else 0, w))  # the longest contexts have none above them
+            for a, i, j in zip(begins, cut, cut[1:], strict=False):
+                some, have = contexts[a : a + step], of[i:j]
+                counts = np.bincount((pos[have] - a) * w + symbol[have], n[have], len(some) * w).reshape(-1, w)
+                total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+                shorter = below[np.searchsorted(prior, some % w ** (k - 1)) if k else [0]]
+                left = np.where(counts > 0, 0, shorter)
+                rest = left.sum(1, keepdims=True)
+                scale = np.where(rest > 0, total + kinds, np.maximum(total, 1))
+                coded = counts / np.maximum(scale, 1) + left / np.where(rest > 0, rest, 1) * kinds / np.maximum(scale, 1)
+                coded = np.where(total > 0, coded, shorter)
+                yield coded
+                if len(done):
+                    done[a : a + len(some)] = coded
+            below, prior = done, contexts
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each row under each language."""
@@ -245,6 +256,7 @@ def limit(docs: DataFrame, trees: Trees | None) -> float:
             yield pa.RecordBatch.from_arrays([pa.array(bits[np.arange(len(bits)), own] / np.diff(off))], names=["v"])
 
     found = staged(labelled.mapInArrow(rates, "v double"))
+    broadcast.destroy()  # its rows are staged, and the driver needn't hold two copies of the trees
     most = _quantile(found, NEARLY_ALL)
     drop(docs.sparkSession, found)
     return UNIFORM if most is None else min(UNIFORM, SLACK * most)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import free_name, skewed_join, staged, table
+from loomspan.llm.common import drop, free_name, skewed_join, staged, table
 from loomspan.llm.url_filter import components
 from loomspan.llm.wordhash import buffers, combine, mix, slices, words
 
@@ -204,10 +204,10 @@ def _classified(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD
     buckets = staged(inside.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1"))
     stars = inside.join(buckets, ["band", "h"]).where("node <> v").select(F.col("node").alias("u"), "v")
     near = components(stars)  # of candidates
-    members = staged(near.join(copies, "node"))
-    total = members.groupBy("root").agg(F.sum("grams").alias("total")).withColumn("m", F.ceil(F.col("total") / task_grams).cast("int"))
-    deal = max(1, -(-(members.agg(F.sum("grams")).first()[0] or 0) // task_grams))
-    members = members.join(total, "root")
+    near = staged(near.join(copies, "node"))
+    total = near.groupBy("root").agg(F.sum("grams").alias("total")).withColumn("m", F.ceil(F.col("total") / task_grams).cast("int"))
+    deal = max(1, -(-(near.agg(F.sum("grams")).first()[0] or 0) // task_grams))
+    members = near.join(total, "root")
 
     columns = ["node", "bands", "key", "only", "m"]
     small = members.where(F.col("m") == 1).withColumn("key", F.pmod(F.xxhash64("root"), F.lit(deal))).withColumn("only", F.lit(-1)).select(columns)
@@ -231,6 +231,7 @@ def _classified(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD
     groups = components(found.where("b_id IS NOT NULL").select(a.alias("u"), b.alias("v")))
     known = copies.select("s1", "s2", "node", "n_copies").join(links, "node", "left").join(groups, "node", "left")
     known = staged(known.select("s1", "s2", "n_copies", "node", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    drop(docs.sparkSession, copies, buckets, near, found)
     own = skewed_join(signed.where("grams > 0").select("doc_id", "th", "s1", "s2"), known, ["s1", "s2"], "n_copies", signed.count()).select("doc_id", "th", "node", "class", "n_links")
     none = F.lit(None).cast(known.schema["node"].dataType)
     return own.unionByName(signed.where("grams = 0").select("doc_id", "th", none.alias("node"), none.alias("class"), F.lit(0).cast("long").alias("n_links"))), repeats

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from loomspan.llm import bcr, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
+from loomspan.llm import bcr, common, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -358,6 +358,13 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_components_leave_one_table(spark):
+    before = len(common._STAGED)
+    got = url_filter.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    assert len(common._STAGED) == before + 1
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(41)}
+
+
 def test_url_aliases(spark):
     pages = [
         (1, "http://a.org/x", '<link rel="canonical" href="https://foo.net/es/1">'), (2, "http://b.org/y", "<link href='/z' rel=canonical>"),

@@ -1,6 +1,7 @@
 """The pipeline's language stage on foreign, random and short texts, and against a plain computation."""
 
 import random
+import tracemalloc
 
 from collections import Counter
 
@@ -83,3 +84,26 @@ def test_exact_quantile(spark, monkeypatch):
         for share in (0.0, 0.5, 0.96, 0.999, 1.0):
             got = language._quantile(spark.createDataFrame([(x,) for x in values], "v double"), share)
             assert got is None if not values else np.isclose(got, np.quantile(values, share), rtol=1e-14, atol=0), (values[:5], share)
+
+
+def test_trees_in_bounded_memory():
+    """The driver makes the code lengths of a full table in little more than the table takes."""
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 60, (300_000, 4)) @ (256 ** np.arange(4)))
+    table_bytes = 32 << 20
+    tracemalloc.start()
+    trees = language.Trees({"en": (grams, rng.integers(1, 9, len(grams)).astype(float))}, table_bytes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.8 * table_bytes < trees.bits.nbytes <= table_bytes and most < 4 * table_bytes, most
+    # Each context's bytes share one distribution; those never seen cost the last class each.
+    p = np.exp2(-trees.bits[:, 0].astype(float)).reshape(-1, trees.width)
+    assert np.allclose(p[:, :-1].sum(1) + (257 - trees.width) * p[:, -1], 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("cells", [1, 1000])
+def test_trees_in_parts(spark, monkeypatch, cells):
+    rows, _ = many(spark, 300)
+    whole = language.Trees(counted(rows, set()))
+    monkeypatch.setattr(language, "CELLS", cells)
+    assert np.array_equal(language.Trees(counted(rows, set())).bits, whole.bits)
