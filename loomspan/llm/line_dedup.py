@@ -50,37 +50,36 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return skewed_join(windows, seen, ["h1", "h2"], "n", total).where(~same).select("doc_id", "th", "pos")
 
 
-@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_lines", T.IntegerType()).add("n_removed", T.IntegerType()))
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_removed", T.IntegerType()))
 def _without(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts in it:
         out = []
         for text, at in zip(texts, starts, strict=True):
             if text is None:
-                out.append((None, 0, 0))
+                out.append((None, 0))
                 continue
             ls = text.split("\n")
-            if at is None or not len(at):
-                out.append((text, len(ls), 0))
-                continue
             gone = np.zeros(len(ls), bool)
             at = np.asarray(at)
             for k in range(WINDOW):
                 gone[at + k] = True
-            out.append(("\n".join(x for x, g in zip(ls, gone, strict=True) if not g), len(ls), int(gone.sum())))
-        yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+            out.append(("\n".join(x for x, g in zip(ls, gone, strict=True) if not g), int(gone.sum())))
+        yield pd.DataFrame(out, columns=["text", "n_removed"])
 
 
 def remove_repeated_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
     """``docs`` with the lines of repeated windows removed from text, and the numbers of lines before and of removed ones.
 
     A text is filtered in one pass with a mask, however many of its lines go; Spark's own look-ups in arrays and maps would
-    take a pass for each line."""
+    take a pass for each line. Texts that lose no line don't travel to Python."""
     i, h, pos, x = (free_name(docs, c) for c in ("__id", "__th", "__pos", "__x"))
     gone = repeated_windows(docs).groupBy(F.col("doc_id").alias(i), F.col("th").alias(h)).agg(F.collect_set("pos").alias(pos))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
-    joined = docs.join(gone, same, "left").withColumn(x, _without("text", pos))
-    keep = [F.col(f"{x}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*keep, F.col(f"{x}.n_lines").alias(n_lines), F.col(f"{x}.n_removed").alias(n_removed))
+    joined = docs.join(gone, same, "left").withColumn(x, _without(F.when(F.col(pos).isNotNull(), F.col("text")), pos))
+    kept = F.when(F.col(pos).isNull(), F.col("text")).otherwise(F.col(f"{x}.text")).alias("text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    keep = [kept if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*keep, lines.alias(n_lines), F.coalesce(f"{x}.n_removed", F.lit(0)).alias(n_removed))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

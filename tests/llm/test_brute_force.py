@@ -6,11 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
 from loomspan.llm import bcr, common, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
@@ -387,6 +390,21 @@ def test_packing_of_one_text(spark):
     assert sum(r.length for r in got) == 900 * got[0].doc_tokens
 
 
+def test_line_dedup_unchanged_texts_stay(spark, monkeypatch):
+    """Only texts that lose lines travel to Python."""
+    plain = line_dedup._without.func
+
+    def checked(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts in it:
+            assert not (texts.notna() & starts.isna()).any()
+            yield from plain(iter([(texts, starts)]))
+
+    monkeypatch.setattr(line_dedup, "_without", pandas_udf(checked, line_dedup._without.returnType))
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "y\nz"), (4, ""), (5, None)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a\nb\nc\nd", 4, 0), (2, "x", 4, 3), (3, "y\nz", 2, 0), (4, "", 1, 0), (5, None, 0, 0)]
+
+
 def test_line_dedup_shared_ids(spark):
     """Different texts of one id are different documents: the window that both begin with stays in one of them."""
     same = "a\nb\nc\n"
