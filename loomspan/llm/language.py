@@ -8,10 +8,11 @@ so each context is one row of code lengths and scoring a whole text is a table l
 tree needs fewest bits wins; the score is its posterior under equal priors.
 
 Training reads every labelled row that isn't held out, and the limit of code lengths every one that is. N-grams are counted in
-the tasks and summed before the driver receives them. The trees have at most ``table_bytes``, and so has the broadcast:
-contexts of two and three bytes stay by their largest share in any language, a longer one never without its suffix. They are
-chosen before counts are collected: those of other contexts arrive as counts of their suffixes, so what the driver receives
-has a bound too.
+the tasks and summed before the driver receives them. The trees have at most ``table_bytes``: contexts of two and three bytes
+stay by their largest share in any language, a longer one never without its suffix. They are chosen before counts are
+collected: those of other contexts arrive as counts of their suffixes. The driver never works out code lengths: it passes the
+counts on, and each Python worker makes the table from them once. There is at most a count for each cell of the table; as most
+bytes follow few contexts, counts take a small part of the table's memory.
 
 Defined results: a null text, an empty one and one without a letter get ``und`` and score 0; a tie goes to the language
 that sorts first. Without any labelled row every text is ``und``. Rows that repeat are scored each for itself.
@@ -35,7 +36,7 @@ ORDER = 3
 TABLE_BYTES = 64 << 20
 #: Bytes that are counted, and that are scored, at a time; rows that are scored at a time.
 COUNTED, SCORED, ROWS = 1 << 20, 1 << 17, 500
-#: Code lengths that are worked out at a time in the driver.
+#: Code lengths that are worked out at a time.
 CELLS = 1 << 18
 #: Parts that a range of values is cut into, and values of one that are sorted in the driver.
 RANGES, FEW = 1000, 10_000
@@ -87,10 +88,25 @@ class Trees:
     """Frozen code lengths: ``row_of`` maps three classes of bytes to a row of ``bits`` [row * width + class, language].
 
     ``grams`` are, of each language, four bytes as one number and their count; or also how many bytes before the last one are
-    counted (three by default): counts whose longer contexts have no room anyway may come summed, with zeros for the rest."""
+    counted (three by default): counts whose longer contexts have no room anyway may come summed, with zeros for the rest.
+    Only these travel; the table is made where code lengths are first asked for."""
 
     def __init__(self, grams: dict[str, tuple[np.ndarray, ...]], table_bytes: int = TABLE_BYTES):
         self.langs = sorted(grams)
+        self.table_bytes = table_bytes
+        self.grams = {x: (g.astype(np.uint32), n, *[r.astype(np.int8) for r in reach]) for x, (g, n, *reach) in grams.items()}
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("langs", "table_bytes", "grams")}
+
+    def __getattr__(self, name: str):
+        if name not in ("classes", "width", "contexts", "row_of", "bits"):
+            raise AttributeError(name)
+        self._make()
+        return self.__dict__[name]
+
+    def _make(self) -> None:
+        grams, table_bytes = self.grams, self.table_bytes
         seen = np.zeros(256, bool)
         seen[0] = True
         for g, *_ in grams.values():
@@ -210,11 +226,13 @@ def fit(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> Trees | None:
     counted = staged(labelled.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # Numbers instead of names reach the driver.
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    found = _room(counted, langs, table_bytes).toPandas() if langs else None
+    # As Arrow: a row as a Python object would take some twenty times the memory.
+    found = _room(counted, langs, table_bytes).toArrow() if langs else None
     drop(docs.sparkSession, counted)
     if found is None:
         return None
-    return Trees({langs[k - 1]: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64), g["reach"].to_numpy()) for k, g in found.groupby("k")}, table_bytes)
+    k, gram, n, reach = (found[c].to_numpy() for c in ("k", "gram", "n", "reach"))
+    return Trees({x: (gram[k == j], n[k == j].astype(np.float64), reach[k == j]) for j, x in enumerate(langs, 1)}, table_bytes)
 
 
 def _quantile(values: DataFrame, share: float) -> float | None:
@@ -256,7 +274,7 @@ def limit(docs: DataFrame, trees: Trees | None) -> float:
             yield pa.RecordBatch.from_arrays([pa.array(bits[np.arange(len(bits)), own] / np.diff(off))], names=["v"])
 
     found = staged(labelled.mapInArrow(rates, "v double"))
-    broadcast.destroy()  # its rows are staged, and the driver needn't hold two copies of the trees
+    broadcast.destroy()  # its rows are staged, and no worker needs to hold two tables
     most = _quantile(found, NEARLY_ALL)
     drop(docs.sparkSession, found)
     return UNIFORM if most is None else min(UNIFORM, SLACK * most)

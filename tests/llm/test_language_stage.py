@@ -1,5 +1,6 @@
 """The pipeline's language stage on foreign, random and short texts, and against a plain computation."""
 
+import pickle
 import random
 import tracemalloc
 
@@ -107,3 +108,36 @@ def test_trees_in_parts(spark, monkeypatch, cells):
     whole = language.Trees(counted(rows, set()))
     monkeypatch.setattr(language, "CELLS", cells)
     assert np.array_equal(language.Trees(counted(rows, set())).bits, whole.bits)
+
+
+def traced(f):
+    """What f returns, and the most bytes of Python that it took."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_driver_never_holds_the_table():
+    """What the driver makes and passes on are counts; each worker makes the table, in little more than the table takes."""
+    rng = np.random.default_rng(4)
+    grams = np.unique(rng.integers(0, 60, (200_000, 4)) @ (256 ** np.arange(4)))
+    of = {"en": (grams, rng.integers(1, 9, len(grams)).astype(float))}
+    sent, most = traced(lambda: pickle.dumps(language.Trees(of, 32 << 20), 5))
+    assert len(sent) < 16 * len(grams) and most < 32 * len(grams), (len(sent), most)
+    arrived = pickle.loads(sent)
+    bits, most = traced(lambda: arrived.bits)
+    assert 0.8 * (32 << 20) < bits.nbytes <= 32 << 20 and most < 4 * (32 << 20), most
+    assert len(pickle.dumps(arrived, 5)) == len(sent) and np.array_equal(bits, language.Trees(of, 32 << 20).bits)
+
+
+def test_fit_in_little_memory_of_the_driver(spark):
+    """Counts reach the driver as columns, not as a Python object each."""
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400)), "en", "s", 400) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    language.fit(docs.limit(5))
+    n = sum(len(g) for g, _ in counted(rows, {r[0] for r in docs.where(language.held_out(docs.doc_id)).collect()}).values())
+    _, most = traced(lambda: language.fit(docs))
+    assert n > 100_000 and most < 100 * n, (n, most)
