@@ -226,12 +226,14 @@ def fit(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> Trees | None:
     counted = staged(labelled.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # Numbers instead of names reach the driver.
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    # As Arrow: a row as a Python object would take some twenty times the memory.
-    found = _room(counted, langs, table_bytes).toArrow() if langs else None
+    # As Arrow: a row as a Python object would take some twenty times the memory. Four bytes less 2^31 fit an int.
+    narrow = "k", F.col("reach").cast("tinyint").alias("reach"), (F.col("gram") - 2**31).cast("int").alias("gram"), "n"
+    found = _room(counted, langs, table_bytes).select(*narrow).toArrow() if langs else None
     drop(docs.sparkSession, counted)
     if found is None:
         return None
     k, gram, n, reach = (found[c].to_numpy() for c in ("k", "gram", "n", "reach"))
+    gram = gram.astype(np.int64) + 2**31
     return Trees({x: (gram[k == j], n[k == j].astype(np.float64), reach[k == j]) for j, x in enumerate(langs, 1)}, table_bytes)
 
 

@@ -141,3 +141,11 @@ def test_fit_in_little_memory_of_the_driver(spark):
     n = sum(len(g) for g, _ in counted(rows, {r[0] for r in docs.where(language.held_out(docs.doc_id)).collect()}).values())
     _, most = traced(lambda: language.fit(docs))
     assert n > 100_000 and most < 100 * n, (n, most)
+
+
+def test_counts_of_high_bytes(spark):
+    rows = [(k, "äß€ 😀 ÿ߿" * (k % 5 + 1) + f" né{k}", ["de", "fr"][k % 2], "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want, got = language.Trees(counted(rows, {r[0] for r in docs.where(language.held_out(docs.doc_id)).collect()})), language.fit(docs)
+    assert (got.row_of == want.row_of).all() and np.array_equal(got.bits, want.bits)
+    assert max(g.max() for g, *_ in got.grams.values()) >= 2**31
